@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The compared tool works on two finished table exports; it has no stream,
+watermark, window-over-time or stateful operator, so none is built here.
+"""
