@@ -20,17 +20,15 @@ CONTROL_CHARS = r"[\p{Cf}\p{Cc}]"
 SPACE_RUN = r"[\s\p{Z}]+"
 # Trailing ".0", ".00", ... is dropped textually.
 TRAILING_ZEROS = r"\.0+$"
-# Text sentinels blanked by the string rule (any case).
-STRING_NAN = r"(?i)^nan$"
-STRING_NONE = r"(?i)^none$"
+# Text sentinels blanked by the string rule (any case): nan, none.
+STRING_SENTINELS = r"(?i)^(nan|none)$"
 # Text sentinels blanked by the key rule (exact spellings only).
 KEY_SENTINELS = r"^(?:nan|None|NaN|NaT)$"
 # Separator of the composite key.
 KEY_SEPARATOR = "|"
 # Text that a numeric cast may accept: plain decimal / exponent numbers, or
 # nan / inf / infinity. Anything else is not a number on either engine.
-NUMBER_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-SPECIAL_NUMBER_SHAPE = r"(?i)^(nan|[+-]?inf(inity)?)$"
+NUMBER_SHAPE = r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:nan|[+-]?inf(inity)?))$"
 # Numeric tolerance and rounding scale of the number rule.
 NUMERIC_TOLERANCE = 0.0001
 NUMERIC_SCALE = 4
@@ -55,11 +53,9 @@ def squash_spaces(col: Column | str) -> Column:
 def clean_string(col: Column | str, case_sensitive: bool = True) -> Column:
     """String compare form: squash spaces, drop commas and a trailing ``.0+``,
     blank ``nan``/``none`` in any case, trim; lower-case when not case-sensitive."""
-    x = F.regexp_replace(squash_spaces(col), ",", "")
+    x = F.replace(squash_spaces(col), F.lit(","), F.lit(""))
     x = F.regexp_replace(x, TRAILING_ZEROS, "")
-    x = F.regexp_replace(x, STRING_NAN, "")
-    x = F.regexp_replace(x, STRING_NONE, "")
-    x = F.trim(x)
+    x = F.trim(F.regexp_replace(x, STRING_SENTINELS, ""))
     return x if case_sensitive else F.lower(x)
 
 
@@ -69,15 +65,14 @@ def guarded_double(text: Column) -> Column:
     ``try_cast`` alone would accept Java float suffixes (``1d``) and hex
     floats; the shape guard keeps the accepted set identical across engines.
     """
-    ok = text.rlike(NUMBER_SHAPE) | text.rlike(SPECIAL_NUMBER_SHAPE)
-    return F.when(ok, text.try_cast("double"))
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
 
 
 def clean_number(col: Column | str) -> Column:
     """Number compare form: squash spaces, drop ``%`` and ``,``, trim, cast
     (blank or garbage → null), round half-to-even to 4 places."""
-    x = F.regexp_replace(squash_spaces(col), "%", "")
-    x = F.trim(F.regexp_replace(x, ",", ""))
+    x = F.replace(squash_spaces(col), F.lit("%"), F.lit(""))
+    x = F.trim(F.replace(x, F.lit(","), F.lit("")))
     return F.bround(guarded_double(x), NUMERIC_SCALE)
 
 

@@ -70,12 +70,21 @@ class DateFormat:
     shape: str         # anchored regex the text must match before parsing
 
 
+_FIXED = {"%m": ("MM", "[0-9]{2}"), "%d": ("dd", "[0-9]{2}"), "%H": ("HH", "[0-9]{2}"),
+          "%M": ("mm", "[0-9]{2}"), "%S": ("ss", "[0-9]{2}")}
+
+
 def _derive(fmt: str) -> DateFormat:
+    """Spark pattern and shape regex from a strftime format. Fields written
+    back to back (``%Y%m%d``) take fixed two-digit widths, others 1-2 digits."""
+    toks = re.findall(r"%[A-Za-z]|.", fmt)
     spark, shape = [], ["^"]
-    for tok in re.findall(r"%[A-Za-z]|.", fmt):
+    for i, tok in enumerate(toks):
         if tok in _FIELD:
-            spark.append(_FIELD[tok][0])
-            shape.append(_FIELD[tok][1])
+            glued = any(0 <= j < len(toks) and toks[j] in _FIELD for j in (i - 1, i + 1))
+            pat, rx = _FIXED[tok] if glued and tok in _FIXED else _FIELD[tok]
+            spark.append(pat)
+            shape.append(rx)
         else:
             spark.append(f"'{tok}'" if tok.isalpha() else tok)
             shape.append(re.escape(tok))

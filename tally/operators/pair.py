@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tally.operators.normalize import KEY
+from tally.operators.positions import GROUP_ROWS, POS, global_positions
 from tally.operators.profile import q
 
 SIDE, RN, SEQ, S, TT, NS, NT, STATUS = "_side", "_rn", "_seq", "_s", "_t", "_ns", "_nt", "_status"
@@ -48,7 +49,6 @@ SURPLUS_IN_TARGET = "SURPLUS_IN_TARGET"
 HOT_KEY_ROWS = 2_000_000
 MAX_HOT_KEYS = 10_000
 HOT_SAMPLE_ROWS = 20_000_000
-_LOCAL_BITS = 33
 
 
 def _struct_type(columns: list[str]) -> T.StructType:
@@ -91,21 +91,18 @@ def _cold_pairs(u: DataFrame, n_order: int) -> DataFrame:
 
 
 def _hot_pairs(u: DataFrame, n_order: int, partitions: int) -> DataFrame:
-    sort_cols = [F.col(KEY), F.col(SIDE), *_order_cols(n_order)]
-    ranked = (u.repartitionByRange(partitions, *sort_cols).sortWithinPartitions(*sort_cols)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-              .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
-    seg = ranked.groupBy(KEY, SIDE, "_pid").agg(F.min("_loc").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(KEY, SIDE).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    per_key = Window.partitionBy(KEY)
-    seg = (seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-           .withColumn(NS, F.sum(F.when(F.col(SIDE) == 0, F.col("_n")).otherwise(0)).over(per_key))
-           .withColumn(NT, F.sum(F.when(F.col(SIDE) == 1, F.col("_n")).otherwise(0)).over(per_key)))
-    # seg has ≤ 2·|hot keys| + partitions rows: a proven bound, so broadcast it.
-    numbered = (ranked.join(F.broadcast(seg), [KEY, SIDE, "_pid"])
-                .withColumn(RN, F.col("_off") + F.col("_loc") - F.col("_first")))
-    return _group_pairs(numbered.select(KEY, RN, S, TT, NS, NT))
+    """Positions for hot keys via range partitioning (see ``global_positions``).
+
+    Side totals per hot key come from a partial aggregate (one row per hot key
+    and side, bounded by the hot-key list) joined back by broadcast, never from
+    a window over the key's rows."""
+    numbered = global_positions(u, _order_cols(n_order), partitions, group=[KEY, SIDE])
+    totals = numbered.groupBy(KEY).agg(
+        F.max(F.when(F.col(SIDE) == 0, F.col(GROUP_ROWS)).otherwise(F.lit(0))).alias(NS),
+        F.max(F.when(F.col(SIDE) == 1, F.col(GROUP_ROWS)).otherwise(F.lit(0))).alias(NT))
+    pairs = numbered.select(KEY, F.col(POS).alias(RN), S, TT).groupBy(KEY, RN).agg(
+        F.first(S, ignorenulls=True).alias(S), F.first(TT, ignorenulls=True).alias(TT))
+    return pairs.join(F.broadcast(totals), KEY)
 
 
 def classify(paired: DataFrame) -> DataFrame:

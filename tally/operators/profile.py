@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.functions.clean import SPECIAL_NUMBER_SHAPE, NUMBER_SHAPE, blank_nulls
+from tally.functions.clean import NUMBER_SHAPE, blank_nulls
 from tally.functions.dates import (DATE_SHARE, FORMATS, DateFormat, date_like, is_sentinel,
                                    parse_with, py_strip)
 
@@ -84,7 +84,7 @@ def numeric_stats(values: Column) -> tuple[Column, Column, Column]:
     """(non-sentinel, castable, contains '-') indicators; nulls are ignored."""
     real = values.isNotNull() & ~values.isin(NUMERIC_SENTINELS)
     stripped = F.regexp_replace(values, "[%,]", "")
-    castable = stripped.rlike(NUMBER_SHAPE) | stripped.rlike(SPECIAL_NUMBER_SHAPE)
+    castable = stripped.rlike(NUMBER_SHAPE)
     return real, real & castable, real & values.contains("-")
 
 

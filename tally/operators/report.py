@@ -9,7 +9,7 @@ instead of a global row_number (which would run in one task).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions.clean import any_true, blank_nulls
@@ -17,11 +17,11 @@ from tally.operators.diff import COLUMN_NAME, flags, src, tgt
 from tally.operators.normalize import KEY
 from tally.operators.pair import (MATCHED, MISSING_IN_SOURCE, MISSING_IN_TARGET, NS, NT, RN, S,
                                   STATUS, SURPLUS_IN_SOURCE, SURPLUS_IN_TARGET, TT)
+from tally.operators.positions import global_positions
 from tally.operators.profile import q
 
 RECORD_STATUS = "Record Status"
 COUNT = "Count"
-_LOCAL_BITS = 33
 
 
 def _status(name: str) -> Column:
@@ -138,24 +138,9 @@ def top_n(cells: DataFrame, keys: list[str], include: list[str], value_names: tu
     return with_comments(cells.orderBy(*report_order(keys)).limit(n).select(*[q(c) for c in cols]), comment_columns)
 
 
-def row_positions(df: DataFrame, order: list[Column], partitions: int) -> DataFrame:
-    """0-based global position ``_pos`` in ``order`` without a single-task
-    row_number: range partition + local sort, per-partition counts (a table
-    of ``partitions`` rows, broadcast) give each partition its offset."""
-    ranked = (df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-              .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
-    seg = ranked.groupBy("_pid").agg(F.min("_loc").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = ranked.join(F.broadcast(seg), "_pid").withColumn("_pos", F.col("_off") + F.col("_loc") - F.col("_first"))
-    return out.drop("_mid", "_pid", "_loc", "_first", "_n", "_off")
-
-
 def paginate(cells: DataFrame, keys: list[str], include: list[str], value_names: tuple[str, str],
              page_rows: int, partitions: int) -> DataFrame:
     """Report rows with a 1-based ``page`` of ``page_rows`` rows each."""
     cols = report_columns(keys, include, value_names, cells.columns)
-    pos = row_positions(cells, report_order(keys), partitions)
+    pos = global_positions(cells, report_order(keys), partitions)
     return pos.select(*[q(c) for c in cols], (F.floor(F.col("_pos") / page_rows) + 1).cast("bigint").alias("page"))
