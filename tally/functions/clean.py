@@ -6,7 +6,8 @@ chain into one projection inside whole-stage codegen. No Python UDFs.
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,16 +15,20 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # Patterns and sentinels that must equal the reference rules.
 # ---------------------------------------------------------------------------
-# Invisible format and control characters, removed before spaces collapse.
-CONTROL_CHARS = r"[\p{Cf}\p{Cc}]"
-# Any run of whitespace or Unicode separators becomes one space.
-SPACE_RUN = r"[\s\p{Z}]+"
+# Invisible format and control characters (Unicode categories Cf, Cc) are
+# removed before spaces collapse; every other whitespace or separator
+# character (categories Zs, Zl, Zp) becomes a space, and space runs collapse.
+# The character tables are built by rule from the Unicode database (see
+# ``invisible_chars`` / ``separator_chars``) and applied with ``translate``.
+CONTROL_CATEGORIES = ("Cc", "Cf")
+SEPARATOR_CATEGORIES = ("Zs", "Zl", "Zp")
+SPACE_RUN = " {2,}"
 # Trailing ".0", ".00", ... is dropped textually.
 TRAILING_ZEROS = r"\.0+$"
 # Text sentinels blanked by the string rule (any case): nan, none.
-STRING_SENTINELS = r"(?i)^(nan|none)$"
+STRING_SENTINELS = ["nan", "none"]
 # Text sentinels blanked by the key rule (exact spellings only).
-KEY_SENTINELS = r"^(?:nan|None|NaN|NaT)$"
+KEY_SENTINELS = ["nan", "None", "NaN", "NaT"]
 # Separator of the composite key.
 KEY_SEPARATOR = "|"
 # Text that a numeric cast may accept: plain decimal / exponent numbers, or
@@ -34,6 +39,27 @@ NUMERIC_TOLERANCE = 0.0001
 NUMERIC_SCALE = 4
 
 
+@lru_cache(maxsize=None)
+def _category_chars(categories: tuple[str, ...]) -> str:
+    return "".join(ch for ch in map(chr, range(0x110000)) if unicodedata.category(ch) in categories)
+
+
+def invisible_chars() -> str:
+    """Every code point of category Cc or Cf (deleted)."""
+    return _category_chars(CONTROL_CATEGORIES)
+
+
+def separator_chars() -> str:
+    """Every separator other than the plain space (mapped to a space)."""
+    return _category_chars(SEPARATOR_CATEGORIES).replace(" ", "")
+
+
+def white_space_chars() -> str:
+    """Unicode White_Space: the whitespace the key rule removes."""
+    return "".join(ch for ch in _category_chars(SEPARATOR_CATEGORIES + CONTROL_CATEGORIES)
+                   if ch.isspace() and not "\x1c" <= ch <= "\x1f")
+
+
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -44,18 +70,26 @@ def blank_nulls(col: Column | str) -> Column:
 
 
 def squash_spaces(col: Column | str) -> Column:
-    """Drop control/format chars, collapse space runs to one space, trim."""
-    x = F.regexp_replace(blank_nulls(col), CONTROL_CHARS, "")
-    x = F.regexp_replace(x, SPACE_RUN, " ")
+    """Drop control/format chars, turn separators into spaces, collapse space
+    runs to one space, trim. One ``translate`` (a per-character table, no
+    regex); the run collapse only runs on values that hold a double space."""
+    seps = separator_chars()
+    x = F.translate(blank_nulls(col), seps + invisible_chars(), " " * len(seps))
+    x = F.when(x.contains("  "), F.regexp_replace(x, SPACE_RUN, " ")).otherwise(x)
     return F.trim(x)
 
 
+def drop_trailing_zeros(x: Column) -> Column:
+    """Textual removal of a trailing ``.0+`` (regex only where it can match)."""
+    return F.when(x.endswith("0") & x.contains("."), F.regexp_replace(x, TRAILING_ZEROS, "")).otherwise(x)
+
+
 def clean_string(col: Column | str, case_sensitive: bool = True) -> Column:
     """String compare form: squash spaces, drop commas and a trailing ``.0+``,
     blank ``nan``/``none`` in any case, trim; lower-case when not case-sensitive."""
-    x = F.replace(squash_spaces(col), F.lit(","), F.lit(""))
-    x = F.regexp_replace(x, TRAILING_ZEROS, "")
-    x = F.trim(F.regexp_replace(x, STRING_SENTINELS, ""))
+    x = drop_trailing_zeros(F.replace(squash_spaces(col), F.lit(","), F.lit("")))
+    x = F.when((F.length(x) <= 4) & F.lower(x).isin(*STRING_SENTINELS), F.lit("")).otherwise(x)
+    x = F.trim(x)
     return x if case_sensitive else F.lower(x)
 
 
@@ -73,19 +107,26 @@ def clean_number(col: Column | str) -> Column:
     (blank or garbage → null), round half-to-even to 4 places."""
     x = F.replace(squash_spaces(col), F.lit("%"), F.lit(""))
     x = F.trim(F.replace(x, F.lit(","), F.lit("")))
-    return F.bround(guarded_double(x), NUMERIC_SCALE)
+    return round_half_even(guarded_double(x), NUMERIC_SCALE)
+
+
+def round_half_even(x: Column, scale: int) -> Column:
+    """Round a double to ``scale`` places, ties to even, in float arithmetic
+    (scale, ``rint``, unscale): no per-value BigDecimal."""
+    factor = float(10 ** scale)
+    return F.rint(x * F.lit(factor)) / F.lit(factor)
 
 
 def normalize_key(col: Column | str) -> Column:
     """Key normalisation: squash spaces, drop a trailing ``.0+``, blank the
     exact sentinels nan/None/NaN/NaT. Commas and case are kept."""
-    x = F.regexp_replace(squash_spaces(col), TRAILING_ZEROS, "")
-    return F.regexp_replace(x, KEY_SENTINELS, "")
+    x = drop_trailing_zeros(squash_spaces(col))
+    return F.when(x.isin(*KEY_SENTINELS), F.lit("")).otherwise(x)
 
 
 def key_part(col: Column | str) -> Column:
     """One composite-key component: no whitespace at all, lower case."""
-    return F.lower(F.regexp_replace(blank_nulls(col), r"\s+", ""))
+    return F.lower(F.translate(blank_nulls(col), white_space_chars(), ""))
 
 
 def composite_key(cols: list[Column | str]) -> Column:

@@ -49,8 +49,11 @@ DATE_SENTINELS = ["", "nan", "None", "NaN", "NaT"]
 DATE_SHARE = 0.6
 # Output rendering of every normalised date.
 OUTPUT_PATTERN = "yyyy/MM/dd"
-# Python-style whitespace (str.strip) as a regex class.
-PY_SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\p{Z}]"
+# Characters Python's str.strip() removes (str.isspace): ASCII controls
+# 09-0D and 1C-1F, then every Unicode space separator, line and paragraph sep.
+PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                  "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                  "\u2028\u2029\u202f\u205f\u3000")
 
 _FIELD = {
     "%Y": ("yyyy", "[0-9]{4}"),
@@ -112,8 +115,8 @@ TWO_DIGIT_YEAR = r"^([0-9]{2})([-/])([0-9]{2})([-/])([0-9]{2})$"
 
 
 def py_strip(col: Column) -> Column:
-    """``str.strip()`` semantics: trim every Python whitespace char."""
-    return F.regexp_replace(col, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
+    """``str.strip()`` semantics: trim every Python whitespace char (no regex)."""
+    return F.btrim(col, F.lit(PY_SPACE_CHARS))
 
 
 def is_sentinel(text: Column) -> Column:

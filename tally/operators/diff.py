@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.functions.clean import any_true, blank_nulls, clean_number, clean_string, diff_numeric, diff_string
+from tally.functions.clean import blank_nulls, clean_number, clean_string, diff_numeric, diff_string
 from tally.operators.pair import MATCHED, RN, S, STATUS, TT
 from tally.operators.normalize import KEY
 
@@ -44,28 +44,56 @@ def matched(paired: DataFrame) -> DataFrame:
     return paired.where(F.col(STATUS) == MATCHED)
 
 
-def with_flags(paired: DataFrame, compare: list[str], numeric: set[str], case_sensitive: bool = True) -> DataFrame:
+def stored_flags(compare: list[str]) -> dict[str, Column]:
+    """Flags already materialised as ``__diff_{c}`` columns (see ``with_flags``)."""
+    return {c: F.col(f"`{flag_name(c)}`") for c in compare}
+
+
+def with_flags(paired: DataFrame, fl: dict[str, Column]) -> DataFrame:
     """Matched pairs plus one boolean ``__diff_{c}`` per compared column."""
-    fl = flags(compare, numeric, case_sensitive)
     return matched(paired).withColumns({flag_name(c): f for c, f in fl.items()})
 
 
-def mismatched(paired: DataFrame, compare: list[str], numeric: set[str], case_sensitive: bool = True) -> DataFrame:
+def add_flags(paired: DataFrame, fl: dict[str, Column]) -> DataFrame:
+    """All pairs plus ``__diff_{c}`` (false unless matched and different), so
+    a materialised copy carries the flags and no output re-cleans values."""
+    is_m = F.col(STATUS) == MATCHED
+    return paired.withColumns({flag_name(c): F.coalesce(is_m & f, F.lit(False)) for c, f in fl.items()})
+
+
+def any_flag(fl: dict[str, Column]) -> Column:
+    """True when any column differs: ``greatest`` over the boolean flags.
+    Code generation splits its arguments into separate methods (a plain OR
+    chain of many cleaning rules overflows the 64 KB method limit), and no
+    higher-order function is involved (those are evaluated interpreted)."""
+    flags = list(fl.values())
+    if not flags:
+        return F.lit(False)
+    return flags[0] if len(flags) == 1 else F.greatest(*flags)
+
+
+def mismatched(paired: DataFrame, fl: dict[str, Column]) -> DataFrame:
     """Matched pairs with at least one differing column."""
-    fl = flags(compare, numeric, case_sensitive)
-    return matched(paired).where(any_true(list(fl.values())))
+    return matched(paired).where(any_flag(fl))
 
 
-def cells(paired: DataFrame, compare: list[str], numeric: set[str], labels: dict[str, str],
-          context: list[str], value_names: tuple[str, str], case_sensitive: bool = True) -> DataFrame:
+def cells(paired: DataFrame, fl: dict[str, Column], labels: dict[str, str],
+          context: list[str], value_names: tuple[str, str]) -> DataFrame:
     """One row per differing cell: context columns (source side), column label,
     source value and target value (normalised, not cleaned; null → '')."""
-    fl = flags(compare, numeric, case_sensitive)
-    arr = F.array(*[F.struct(f.alias("_f"), F.lit(labels[c]).alias("_c"),
-                             blank_nulls(src(c)).alias("_sv"), blank_nulls(tgt(c)).alias("_tv"))
-                    for c, f in fl.items()])
-    exploded = matched(paired).select(F.col(KEY), F.col(RN), *[src(c).alias(c) for c in context],
-                                      F.inline(F.filter(arr, lambda x: x["_f"])))
+    # Flags and values are projected first (code-generated, split into
+    # methods), then inline + filter over plain columns: no higher-order
+    # function (interpreted) and no generator body holding every rule.
+    names = list(fl)
+    staged = matched(paired).select(
+        F.col(KEY), F.col(RN), *[src(c).alias(c) for c in context],
+        *[f.alias(f"_f{i}") for i, f in enumerate(fl.values())],
+        *[blank_nulls(src(c)).alias(f"_sv{i}") for i, c in enumerate(names)],
+        *[blank_nulls(tgt(c)).alias(f"_tv{i}") for i, c in enumerate(names)])
+    arr = F.array(*[F.struct(F.col(f"_f{i}").alias("_f"), F.lit(labels[c]).alias("_c"),
+                             F.col(f"_sv{i}").alias("_sv"), F.col(f"_tv{i}").alias("_tv"))
+                    for i, c in enumerate(names)])
+    exploded = staged.select(F.col(KEY), F.col(RN), *[F.col(f"`{c}`") for c in context], F.inline(arr)).where(F.col("_f"))
     sv, tv = value_names
     return exploded.select(KEY, RN, *[F.col(f"`{c}`") for c in context],
                            F.col("_c").alias(COLUMN_NAME), F.col("_sv").alias(sv), F.col("_tv").alias(tv))

@@ -44,25 +44,56 @@ class DateDecision:
     fmt: DateFormat | None
 
 
-def date_profile_row(df: DataFrame, columns: list[str]) -> dict:
-    """One aggregate: per column, non-sentinel count, date-like count and the
-    number of values each common format parses (stripped values)."""
-    aggs = []
+def _date_cells(columns: list[str], tag: str) -> list[Column]:
+    """One struct per (row, column): column id, non-sentinel, date-like and a
+    bitmask of the common formats that parse the stripped value. Parsing is
+    only tried on date-like values: every format's shape implies date-like,
+    so the counts are the same and most values skip all eleven formats."""
+    out = []
     for i, c in enumerate(columns):
         v = py_strip(blank_nulls(q(c)))
         real = ~is_sentinel(v)
-        aggs.append(F.count_if(real).alias(f"n{i}"))
-        aggs.append(F.count_if(real & date_like(v)).alias(f"d{i}"))
+        looks = real & date_like(v)
+        mask = F.lit(0)
         for j, fmt in enumerate(FORMATS):
-            aggs.append(F.count_if(real & parse_with(v, fmt).isNotNull()).alias(f"p{i}_{j}"))
-    return df.agg(*aggs).first().asDict() if aggs else {}
+            mask = mask + F.when(parse_with(v, fmt).isNotNull(), F.lit(1 << j)).otherwise(F.lit(0))
+        out.append(F.struct(F.lit(f"{tag}{i}").alias("col"), real.alias("real"), looks.alias("looks"),
+                            F.when(looks, mask).otherwise(F.lit(0)).alias("mask")))
+    return out
+
 
+def _profile_counts(df: DataFrame, cells: list[Column]) -> dict:
+    """Count the profile cells by their (column, flags) combination: ONE
+    aggregate with a handful of groups per column (map-side combined), then
+    the per-column counters are summed on the driver from those groups."""
+    return _tally_groups(df.select(F.inline(F.array(*cells))).groupBy("col", "real", "looks", "mask").count().collect())
 
-def decide_dates(row: dict, columns: list[str], explicit: set[str]) -> dict[str, DateDecision]:
+
+def _tally_groups(groups) -> dict:
+    counts: dict = {}
+    for g in groups:
+        c, n = g["col"], int(g["count"])
+        if g["real"]:
+            counts[f"{c}n"] = counts.get(f"{c}n", 0) + n
+        if g["looks"]:
+            counts[f"{c}d"] = counts.get(f"{c}d", 0) + n
+            for j in range(len(FORMATS)):
+                if g["mask"] >> j & 1:
+                    counts[f"{c}p{j}"] = counts.get(f"{c}p{j}", 0) + n
+    return counts
+
+
+def date_profile_row(df: DataFrame, columns: list[str]) -> dict:
+    """Per column: non-sentinel count, date-like count and the number of
+    values each common format parses (stripped values)."""
+    return _profile_counts(df, _date_cells(columns, "")) if columns else {}
+
+
+def decide_dates(row: dict, columns: list[str], explicit: set[str], tag: str = "") -> dict[str, DateDecision]:
     out = {}
     for i, c in enumerate(columns):
-        n, d = int(row[f"n{i}"]), int(row[f"d{i}"])
-        parses = tuple(int(row[f"p{i}_{j}"]) for j in range(len(FORMATS)))
+        n, d = row.get(f"{tag}{i}n", 0), row.get(f"{tag}{i}d", 0)
+        parses = tuple(row.get(f"{tag}{i}p{j}", 0) for j in range(len(FORMATS)))
         need = max(n * DATE_SHARE, 1)
         is_date = c in explicit or (n > 0 and d >= need)
         fmt = next((f for f, p in zip(FORMATS, parses) if n > 0 and p >= need), None)
@@ -70,16 +101,35 @@ def decide_dates(row: dict, columns: list[str], explicit: set[str]) -> dict[str,
     return out
 
 
+def _date_columns(candidates: list[str], explicit: set[str]) -> list[str]:
+    return list(dict.fromkeys([*sorted(explicit), *candidates]))
+
+
 def detect_dates(df: DataFrame, candidates: list[str], explicit: set[str],
                  fraction: float | None = None) -> dict[str, DateDecision]:
     """P1 + P2 for one side: which columns are dates and in which format."""
-    cols = list(dict.fromkeys([*sorted(explicit), *candidates]))
+    cols = _date_columns(candidates, explicit)
     if not cols:
         return {}
     row = date_profile_row(_maybe_sample(df, fraction), cols)
     return decide_dates(row, cols, explicit)
 
 
+def detect_dates_both(source: DataFrame, target: DataFrame, s_candidates: list[str], s_explicit: set[str],
+                      t_candidates: list[str], t_explicit: set[str], fraction: float | None = None):
+    """P1 + P2 for both sides in ONE job: every (row, column) becomes a small
+    profile cell tagged with its side and column; one grouped count over the
+    union gives every counter of both sides."""
+    s_cols, t_cols = _date_columns(s_candidates, s_explicit), _date_columns(t_candidates, t_explicit)
+    if not s_cols and not t_cols:
+        return {}, {}
+    s_cells = _maybe_sample(source, fraction).select(F.inline(F.array(*_date_cells(s_cols, "s"))))
+    t_cells = _maybe_sample(target, fraction).select(F.inline(F.array(*_date_cells(t_cols, "t"))))
+    groups = s_cells.unionByName(t_cells).groupBy("col", "real", "looks", "mask").count()
+    row = _tally_groups(groups.collect())
+    return decide_dates(row, s_cols, s_explicit, "s"), decide_dates(row, t_cols, t_explicit, "t")
+
+
 def numeric_stats(values: Column) -> tuple[Column, Column, Column]:
     """(non-sentinel, castable, contains '-') indicators; nulls are ignored."""
     real = values.isNotNull() & ~values.isin(NUMERIC_SENTINELS)
@@ -93,12 +143,18 @@ def numeric_profile_row(source: DataFrame, target: DataFrame, columns: list[str]
     """P3 counters over both sides pooled (one union, one aggregate)."""
     both = (_maybe_sample(source.select(*[q(c) for c in columns]), fraction)
             .unionByName(_maybe_sample(target.select(*[q(c) for c in columns]), fraction)))
-    aggs = []
+    cells = []
     for i, c in enumerate(columns):
         real, castable, dash = numeric_stats(q(c))
-        aggs += [F.count_if(real).alias(f"t{i}"), F.count_if(castable).alias(f"c{i}"),
-                 F.count_if(dash).alias(f"d{i}")]
-    return both.agg(*aggs).first().asDict()
+        cells.append(F.struct(F.lit(i).alias("col"), real.alias("real"), castable.alias("cast"), dash.alias("dash")))
+    groups = both.select(F.inline(F.array(*cells))).groupBy("col", "real", "cast", "dash").count().collect()
+    row = {f"{k}{i}": 0 for i in range(len(columns)) for k in "tcd"}
+    for g in groups:
+        i, n = g["col"], int(g["count"])
+        row[f"t{i}"] += n if g["real"] else 0
+        row[f"c{i}"] += n if g["cast"] else 0
+        row[f"d{i}"] += n if g["dash"] else 0
+    return row
 
 
 def decide_numeric(row: dict, columns: list[str]) -> set[str]:
@@ -145,8 +201,9 @@ def date_format_frame(df: DataFrame, columns: list[str], side: str) -> DataFrame
     for c in columns:
         v = py_strip(blank_nulls(q(c)))
         real = ~is_sentinel(v)
+        looks = real & date_like(v)
         aggs.append(F.struct(F.lit(c).alias("column_name"), F.count_if(real).alias("nonsentinel"),
-                             *[F.count_if(real & parse_with(v, f).isNotNull()).alias(f"p{j}")
+                             *[F.count_if(looks & parse_with(v, f).isNotNull()).alias(f"p{j}")
                                for j, f in enumerate(FORMATS)]))
     row = df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
     need = F.greatest(F.col("nonsentinel") * F.lit(DATE_SHARE), F.lit(1.0))

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.functions.clean import any_true, blank_nulls
-from tally.operators.diff import COLUMN_NAME, flags, src, tgt
+from tally.functions.clean import blank_nulls
+from tally.operators.diff import COLUMN_NAME, any_flag, src, tgt
 from tally.operators.normalize import KEY
 from tally.operators.pair import (MATCHED, MISSING_IN_SOURCE, MISSING_IN_TARGET, NS, NT, RN, S,
                                   STATUS, SURPLUS_IN_SOURCE, SURPLUS_IN_TARGET, TT)
@@ -28,10 +28,8 @@ def _status(name: str) -> Column:
     return F.col(STATUS) == F.lit(name)
 
 
-def column_counts(paired: DataFrame, compare: list[str], numeric: set[str], labels: dict[str, str],
-                  case_sensitive: bool = True) -> DataFrame:
+def column_counts(paired: DataFrame, fl: dict[str, Column], labels: dict[str, str]) -> DataFrame:
     """Discrepancies per column (only columns with any), one aggregate."""
-    fl = flags(compare, numeric, case_sensitive)
     is_m = _status(MATCHED)
     row = paired.agg(F.array(*[F.struct(F.lit(labels[c]).alias(COLUMN_NAME),
                                         F.count_if(is_m & f).cast("bigint").alias(COUNT))
@@ -39,20 +37,17 @@ def column_counts(paired: DataFrame, compare: list[str], numeric: set[str], labe
     return row.select(F.inline("a")).where(F.col(COUNT) > 0)
 
 
-def columns_with_diffs(paired: DataFrame, compare: list[str], numeric: set[str],
-                       case_sensitive: bool = True) -> DataFrame:
+def columns_with_diffs(paired: DataFrame, fl: dict[str, Column]) -> DataFrame:
     """Names of compared columns with at least one difference (any over flags)."""
-    fl = flags(compare, numeric, case_sensitive)
     is_m = _status(MATCHED)
     row = paired.agg(F.array(*[F.struct(F.lit(c).alias("column_name"),
                                         F.max(is_m & f).alias("has_diff")) for c, f in fl.items()]).alias("a"))
     return row.select(F.inline("a")).where(F.col("has_diff")).select("column_name")
 
 
-def summary(paired: DataFrame, compare: list[str], numeric: set[str], labels: dict[str, str],
-            source_label: str, target_label: str, case_sensitive: bool = True) -> DataFrame:
+def summary(paired: DataFrame, fl: dict[str, Column], labels: dict[str, str],
+            source_label: str, target_label: str) -> DataFrame:
     """Ordered (ordinal, metric, value) rows from ONE aggregate."""
-    fl = flags(compare, numeric, case_sensitive)
     is_m = _status(MATCHED)
     has_s, has_t = F.col(S).isNotNull(), F.col(TT).isNotNull()
     n = lambda cond: F.count_if(cond).cast("bigint")
@@ -61,7 +56,7 @@ def summary(paired: DataFrame, compare: list[str], numeric: set[str], labels: di
         n(_status(MISSING_IN_SOURCE)).alias("miss_s"), n(_status(MISSING_IN_TARGET)).alias("miss_t"),
         n(_status(SURPLUS_IN_SOURCE)).alias("sur_s"), n(_status(SURPLUS_IN_TARGET)).alias("sur_t"),
         n(has_s & (F.col(NS) > 1)).alias("dup_s"), n(has_t & (F.col(NT) > 1)).alias("dup_t"),
-        n(is_m & any_true(list(fl.values()))).alias("affected"),
+        n(is_m & any_flag(fl)).alias("affected"),
         F.array(*[F.struct((-F.count_if(is_m & f)).cast("bigint").alias("neg"), F.lit(labels[c]).alias("label"))
                   for c, f in fl.items()]).alias("per_col"))
     total = F.aggregate("per_col", F.lit(0).cast("bigint"), lambda acc, x: acc - x["neg"])

@@ -29,14 +29,15 @@ def blank(x: str) -> str:
 
 
 def squash(x: str) -> str:
-    y = f"regexp_replace({blank(x)}, {lit(C.CONTROL_CHARS)}, '', 'g')"
+    seps = C.separator_chars()
+    y = f"translate({blank(x)}, {lit(seps + C.invisible_chars())}, {lit(' ' * len(seps))})"
     return f"trim(regexp_replace({y}, {lit(C.SPACE_RUN)}, ' ', 'g'))"
 
 
 def clean_string(x: str, case_sensitive: bool = True) -> str:
     y = f"replace({squash(x)}, ',', '')"
     y = f"regexp_replace({y}, {lit(C.TRAILING_ZEROS)}, '')"
-    y = f"trim(regexp_replace({y}, {lit(C.STRING_SENTINELS)}, ''))"
+    y = f"trim(case when lower({y}) in ({', '.join(lit(v) for v in C.STRING_SENTINELS)}) then '' else {y} end)"
     return y if case_sensitive else f"lower({y})"
 
 
@@ -46,16 +47,17 @@ def guarded_double(y: str) -> str:
 
 def clean_number(x: str) -> str:
     y = f"trim(replace(replace({squash(x)}, '%', ''), ',', ''))"
-    return f"round_even({guarded_double(y)}, {C.NUMERIC_SCALE})"
+    factor = float(10 ** C.NUMERIC_SCALE)
+    return f"(round_even({guarded_double(y)} * {factor}, 0) / {factor})"
 
 
 def normalize_key(x: str) -> str:
     y = f"regexp_replace({squash(x)}, {lit(C.TRAILING_ZEROS)}, '')"
-    return f"regexp_replace({y}, {lit(C.KEY_SENTINELS)}, '')"
+    return f"(case when {y} in ({', '.join(lit(v) for v in C.KEY_SENTINELS)}) then '' else {y} end)"
 
 
 def composite_key(cols: list[str]) -> str:
-    parts = [f"lower(regexp_replace({blank(c)}, '\\s+', '', 'g'))" for c in cols]
+    parts = [f"lower(translate({blank(c)}, {lit(C.white_space_chars())}, ''))" for c in cols]
     return f"concat_ws({lit(C.KEY_SEPARATOR)}, {', '.join(parts)})"
 
 
@@ -75,7 +77,7 @@ def diff_string(a: str, b: str) -> str:
 
 
 def py_strip(x: str) -> str:
-    return f"regexp_replace({x}, {lit(f'^{DT.PY_SPACE}+|{DT.PY_SPACE}+$')}, '', 'g')"
+    return f"trim({x}, {lit(DT.PY_SPACE_CHARS)})"
 
 
 def sentinel(v: str, values) -> str:

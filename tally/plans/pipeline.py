@@ -21,8 +21,9 @@ from tally.operators import diff as D
 from tally.operators import pair as P
 from tally.operators import report as R
 from tally.operators.normalize import KEY, add_key, normalize_dates, normalize_keys, rename, stringify
-from tally.operators.profile import DateDecision, detect_dates, detect_numeric, numeric_profile_row, decide_numeric
+from tally.operators.profile import DateDecision, decide_numeric, detect_dates_both, numeric_profile_row
 from tally.session import scratch_path
+from tally.sources.balance import balance
 from tally.spec import Alignment, ReconSpec, align
 
 
@@ -46,13 +47,12 @@ def prepare_sides(source: DataFrame, target: DataFrame, spec: ReconSpec,
                   profile_fraction: float | None = None):
     """Align, stringify, normalise keys and dates; returns (alignment, s, t, date decisions)."""
     al = align(spec, source.columns, target.columns)
-    s = rename(stringify(source), al.source_renames)
-    t = rename(stringify(target), al.target_renames)
+    s = rename(stringify(balance(source)), al.source_renames)
+    t = rename(stringify(balance(target)), al.target_renames)
     s, t = normalize_keys(s, al.keys), normalize_keys(t, al.keys)
     auto_s = [c for c in al.compare if c not in al.source_dates] if spec.auto_detect_dates else []
     auto_t = [c for c in al.compare if c not in al.target_dates] if spec.auto_detect_dates else []
-    s_dec = detect_dates(s, auto_s, al.source_dates, profile_fraction)
-    t_dec = detect_dates(t, auto_t, al.target_dates, profile_fraction)
+    s_dec, t_dec = detect_dates_both(s, t, auto_s, al.source_dates, auto_t, al.target_dates, profile_fraction)
     s, t = normalize_dates(s, s_dec), normalize_dates(t, t_dec)
     s, t = normalize_keys(s, al.keys), normalize_keys(t, al.keys)
     return al, add_key(s, al.keys), add_key(t, al.keys), s_dec, t_dec
@@ -72,6 +72,7 @@ def prepare(source: DataFrame, target: DataFrame, spec: ReconSpec, *,
 class ReconResult:
     prepared: Prepared
     paired: DataFrame
+    flags_stored: bool = False
 
     # -- shorthand ---------------------------------------------------------
     @property
@@ -82,16 +83,18 @@ class ReconResult:
     def al(self) -> Alignment:
         return self.prepared.alignment
 
-    def _args(self):
+    def fl(self) -> dict:
+        """Per-column difference flags: stored columns of a materialised copy,
+        else the cleaning rules evaluated on the paired values."""
         p = self.prepared
-        return p.alignment.compare, p.numeric
+        if self.flags_stored:
+            return D.stored_flags(p.alignment.compare)
+        return D.flags(p.alignment.compare, p.numeric, self.spec.case_sensitive)
 
     # -- outputs -----------------------------------------------------------
     def cells(self) -> DataFrame:
         """Differing cells with internal (_key, _rn) columns."""
-        compare, numeric = self._args()
-        return D.cells(self.paired, compare, numeric, self.prepared.labels, self.al.context,
-                       self.spec.value_label, self.spec.case_sensitive)
+        return D.cells(self.paired, self.fl(), self.prepared.labels, self.al.context, self.spec.value_label)
 
     def discrepancies(self) -> DataFrame:
         return self.cells().drop(KEY, P.RN)
@@ -112,25 +115,19 @@ class ReconResult:
         return R.full_data(self.paired, self.al.compare)
 
     def column_counts(self) -> DataFrame:
-        compare, numeric = self._args()
-        return R.column_counts(self.paired, compare, numeric, self.prepared.labels, self.spec.case_sensitive)
+        return R.column_counts(self.paired, self.fl(), self.prepared.labels)
 
     def summary(self) -> DataFrame:
-        compare, numeric = self._args()
-        return R.summary(self.paired, compare, numeric, self.prepared.labels, self.spec.source_label,
-                         self.spec.target_label, self.spec.case_sensitive)
+        return R.summary(self.paired, self.fl(), self.prepared.labels, self.spec.source_label, self.spec.target_label)
 
     def flags(self) -> DataFrame:
-        compare, numeric = self._args()
-        return D.with_flags(self.paired, compare, numeric, self.spec.case_sensitive)
+        return D.with_flags(self.paired, self.fl())
 
     def mismatched(self) -> DataFrame:
-        compare, numeric = self._args()
-        return D.mismatched(self.paired, compare, numeric, self.spec.case_sensitive)
+        return D.mismatched(self.paired, self.fl())
 
     def columns_with_diffs(self) -> DataFrame:
-        compare, numeric = self._args()
-        return R.columns_with_diffs(self.paired, compare, numeric, self.spec.case_sensitive)
+        return R.columns_with_diffs(self.paired, self.fl())
 
     def top_n(self, n: int) -> DataFrame:
         return R.top_n(self.cells(), self.al.keys, self.al.include, self.spec.value_label, n,
@@ -141,15 +138,20 @@ class ReconResult:
         return R.paginate(self.cells(), self.al.keys, self.al.include, self.spec.value_label, page_rows, parts)
 
     # -- sinks -------------------------------------------------------------
+    def materialize(self, path: str | None = None) -> "ReconResult":
+        """Write the paired rows with their difference flags once (parquet in
+        the shared checkpoint folder) and return a result reading that copy:
+        later outputs neither re-shuffle nor re-clean values, and a lost
+        executor only re-reads files."""
+        spark = self.paired.sparkSession
+        path = path or scratch_path(spark, f"paired-{uuid.uuid4().hex}")
+        D.add_flags(self.paired, self.fl()).write.mode("overwrite").parquet(path)
+        return ReconResult(self.prepared, spark.read.parquet(path), flags_stored=True)
+
     def write(self, out_dir: str, fmt: str = "parquet", materialize: bool = True) -> dict:
         """Write every output (complete sets, no row cap) and return counts
         and paths. The paired rows are written once and re-read."""
-        result = self
-        if materialize:
-            spark = self.paired.sparkSession
-            path = scratch_path(spark, f"paired-{uuid.uuid4().hex}")
-            self.paired.write.mode("overwrite").parquet(path)
-            result = ReconResult(self.prepared, spark.read.parquet(path))
+        result = self.materialize() if materialize else self
         outputs = {
             "discrepancies": result.report(),
             "missing_in_target": result.missing_in_target(comments=True),

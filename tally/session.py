@@ -19,7 +19,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
-               .config("spark.driver.memory", os.environ.get("TALLY_DRIVER_MEMORY", "16g")))
+               .config("spark.driver.memory", os.environ.get("TALLY_DRIVER_MEMORY", "16g"))
+               # Generated code for wide rule sets exceeds HotSpot's 8000-byte
+               # JIT limit; let the JVM compile it (set the same option in
+               # spark.executor.extraJavaOptions on a cluster).
+               .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+               .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
