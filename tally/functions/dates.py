@@ -147,12 +147,16 @@ def widen_two_digit_year(text: Column) -> Column:
                     century, yy)
 
 
-def normalize_fallback(col: Column | str) -> Column:
-    """No format found: try the fallback list; unparseable keeps its text."""
+def fallback_parse(col: Column | str) -> Column:
+    """Timestamp from the first fallback format that parses, else null."""
     text = blank_nulls(col)
     wide = F.when(text.rlike(TWO_DIGIT_YEAR), widen_two_digit_year(text))
-    parsed = F.coalesce(*[parse_with(wide if f in WIDENED else text, f) for i, f in enumerate(FALLBACK_FORMATS)])
-    return F.coalesce(F.date_format(parsed, OUTPUT_PATTERN), text)
+    return F.coalesce(*[parse_with(wide if f in WIDENED else text, f) for f in FALLBACK_FORMATS])
+
+
+def normalize_fallback(col: Column | str) -> Column:
+    """No format found: try the fallback list; unparseable keeps its text."""
+    return F.coalesce(F.date_format(fallback_parse(col), OUTPUT_PATTERN), blank_nulls(col))
 
 
 def normalize_date(col: Column | str, fmt: DateFormat | None) -> Column:

@@ -149,8 +149,10 @@ def numeric_profile_row(source: DataFrame, target: DataFrame, columns: list[str]
         cells.append(F.struct(F.lit(i).alias("col"), real.alias("real"), castable.alias("cast"), dash.alias("dash")))
     groups = both.select(F.inline(F.array(*cells))).groupBy("col", "real", "cast", "dash").count().collect()
     row = {f"{k}{i}": 0 for i in range(len(columns)) for k in "tcd"}
+    row["rows"] = 0   # every row of both sides yields one cell per column
     for g in groups:
         i, n = g["col"], int(g["count"])
+        row["rows"] += n if i == 0 else 0
         row[f"t{i}"] += n if g["real"] else 0
         row[f"c{i}"] += n if g["cast"] else 0
         row[f"d{i}"] += n if g["dash"] else 0
@@ -226,3 +228,152 @@ def numeric_profile_frame(source: DataFrame, target: DataFrame, columns: list[st
     tot = F.col("nonsentinel")
     is_num = (tot > 0) & (F.col("castable") / tot >= NUMERIC_SHARE) & (F.col("with_dash") / tot < DASH_SHARE)
     return row.select("column_name", "nonsentinel", "castable", "with_dash", F.coalesce(is_num, F.lit(False)).alias("is_numeric"))
+
+
+# ---------------------------------------------------------------------------
+# Single-pass profile: dates (both sides) and numbers (pooled) in ONE job
+# ---------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Profile:
+    source_dates: dict[str, DateDecision]
+    target_dates: dict[str, DateDecision]
+    numeric: set[str]
+    total_rows: int
+
+
+_CELL_KEYS = ["col", "real", "looks", "exact", "mask", "n_real", "n_cast", "n_dash", "f_real", "f_cast", "f_dash"]
+
+
+def _cells_frame(df: DataFrame, columns: list[str], numeric_cols: set[str], keys: set[str], tag: str) -> DataFrame:
+    """Profile cells: one row per (input row, column) with everything both
+    decisions need, built in staged projections so that no rule's expression
+    tree is copied into another (Spark keeps a projection boundary where a
+    costly column is read more than once, and code generation stays small).
+
+    Date part: non-sentinel, date-like, bitmask of the common formats that
+    parse the stripped text (tried only on date-like values: every format
+    shape implies date-like), and whether the raw text equals its stripped
+    form (a known format parses the raw text). Number part: the indicators of
+    the final value if the column stays text (keys normalised twice) and if it
+    falls back to the no-format date rule: a value the fallback parses becomes
+    yyyy/MM/dd text (present, not a number, no dash), any other is unchanged.
+    """
+    from tally.functions.clean import normalize_key
+    from tally.functions.dates import fallback_parse
+    n = len(columns)
+    # stage 1: text as profiled, and the final text of a non-date column
+    st1 = df.select(*[blank_nulls(q(c)).alias(f"v{i}") for i, c in enumerate(columns)],
+                    *[(normalize_key(q(c)) if c in keys else q(c)).alias(f"k{i}") for i, c in enumerate(columns)])
+    # stage 2: stripped text
+    st2 = st1.select(*[F.col(f"v{i}") for i in range(n)], *[F.col(f"k{i}") for i in range(n)],
+                     *[py_strip(F.col(f"v{i}")).alias(f"s{i}") for i in range(n)])
+    # stage 3: date-like test
+    looks3 = []
+    for i in range(n):
+        real = ~is_sentinel(F.col(f"s{i}"))
+        looks3 += [real.alias(f"real{i}"), (real & date_like(F.col(f"s{i}"))).alias(f"looks{i}")]
+    st3 = st2.select("*", *looks3)
+    # stage 4: formats, exactness, number indicators, fallback parse
+    out4 = []
+    for i, c in enumerate(columns):
+        looks, sv = F.col(f"looks{i}"), F.col(f"s{i}")
+        mask = F.lit(0)
+        for j, fmt in enumerate(FORMATS):
+            mask = mask + F.when(parse_with(sv, fmt).isNotNull(), F.lit(1 << j)).otherwise(F.lit(0))
+        out4 += [F.col(f"real{i}"), looks, (looks & (F.col(f"v{i}") == sv)).alias(f"exact{i}"),
+                 F.when(looks, mask).otherwise(F.lit(0)).alias(f"mask{i}")]
+        if c in numeric_cols:
+            nr, nc, nd = numeric_stats(F.col(f"k{i}"))
+            dated = looks & fallback_parse(F.col(f"v{i}")).isNotNull()
+        else:
+            nr = nc = nd = dated = F.lit(False)
+        out4 += [nr.alias(f"n_real{i}"), nc.alias(f"n_cast{i}"), nd.alias(f"n_dash{i}"), dated.alias(f"dated{i}")]
+    st4 = st3.select(*out4)
+    # stage 5: fallback outcome indicators, then one cell per column
+    cells = []
+    for i in range(n):
+        dated = F.col(f"dated{i}")
+        cells.append(F.struct(F.lit(f"{tag}{i}").alias("col"), F.col(f"real{i}").alias("real"),
+                              F.col(f"looks{i}").alias("looks"), F.col(f"exact{i}").alias("exact"),
+                              F.col(f"mask{i}").alias("mask"), F.col(f"n_real{i}").alias("n_real"),
+                              F.col(f"n_cast{i}").alias("n_cast"), F.col(f"n_dash{i}").alias("n_dash"),
+                              (dated | F.col(f"n_real{i}")).alias("f_real"),
+                              (~dated & F.col(f"n_cast{i}")).alias("f_cast"),
+                              (~dated & F.col(f"n_dash{i}")).alias("f_dash")))
+    return st4.select(F.inline(F.array(*cells)))
+
+
+def profile_both(source: DataFrame, target: DataFrame, compare: list[str], keys: list[str],
+                 s_explicit: set[str], t_explicit: set[str], auto_detect: bool = True,
+                 fraction: float | None = None) -> Profile:
+    """Date columns and formats per side plus number columns (pooled over
+    both sides) from ONE grouped count over profile cells of both inputs.
+    ``source``/``target`` carry keys normalised once (the date profile input)."""
+    s_cols = _date_columns([c for c in compare if c not in s_explicit] if auto_detect else [], s_explicit)
+    t_cols = _date_columns([c for c in compare if c not in t_explicit] if auto_detect else [], t_explicit)
+    s_cols += [c for c in compare if c not in s_cols]
+    t_cols += [c for c in compare if c not in t_cols]
+    num = set(compare)
+    key_set = set(keys)
+    s_cells = _cells_frame(_maybe_sample(source, fraction), s_cols, num, key_set, "s")
+    t_cells = _cells_frame(_maybe_sample(target, fraction), t_cols, num, key_set, "t")
+    groups = s_cells.unionByName(t_cells).groupBy(*_CELL_KEYS).count().collect()
+
+    sums: dict = {}
+    def add(k, n):
+        sums[k] = sums.get(k, 0) + n
+    for g in groups:
+        c, n = g["col"], int(g["count"])
+        if g["real"]:
+            add(f"{c}n", n)
+        if g["looks"]:
+            add(f"{c}d", n)
+            for j in range(len(FORMATS)):
+                if g["mask"] >> j & 1:
+                    add(f"{c}p{j}", n)
+                    if g["exact"]:
+                        add(f"{c}e{j}", n)
+        for k in ("n_real", "n_cast", "n_dash", "f_real", "f_cast", "f_dash"):
+            if g[k]:
+                add(f"{c}{k}", n)
+        if c in ("s0", "t0"):
+            add("rows", n)
+
+    auto_s = [c for c in s_cols if c not in s_explicit and auto_detect and c in compare]
+    auto_t = [c for c in t_cols if c not in t_explicit and auto_detect and c in compare]
+    s_dec = _decide(sums, s_cols, s_explicit, auto_s, "s")
+    t_dec = _decide(sums, t_cols, t_explicit, auto_t, "t")
+
+    def side_stats(c: str, cols: list[str], dec: dict, tag: str) -> tuple[int, int, int]:
+        i = cols.index(c)
+        d = dec.get(c)
+        if d is None or not d.is_date:
+            return tuple(sums.get(f"{tag}{i}{k}", 0) for k in ("n_real", "n_cast", "n_dash"))
+        if d.fmt is None:
+            return tuple(sums.get(f"{tag}{i}{k}", 0) for k in ("f_real", "f_cast", "f_dash"))
+        j = FORMATS.index(d.fmt)
+        return sums.get(f"{tag}{i}e{j}", 0), 0, 0      # normalised dates: text, no dash
+
+    numeric = set()
+    for c in compare:
+        a, b = side_stats(c, s_cols, s_dec, "s"), side_stats(c, t_cols, t_dec, "t")
+        tot, nc, dc = a[0] + b[0], a[1] + b[1], a[2] + b[2]
+        if tot and nc / tot >= NUMERIC_SHARE and dc / tot < DASH_SHARE:
+            numeric.add(c)
+    return Profile(s_dec, t_dec, numeric, sums.get("rows", 0))
+
+
+def _decide(sums: dict, cols: list[str], explicit: set[str], auto: list[str], tag: str) -> dict[str, DateDecision]:
+    """Date decisions for the explicit and auto-detected columns of one side."""
+    out = {}
+    for i, c in enumerate(cols):
+        if c not in explicit and c not in auto:
+            continue
+        n, d = sums.get(f"{tag}{i}n", 0), sums.get(f"{tag}{i}d", 0)
+        parses = tuple(sums.get(f"{tag}{i}p{j}", 0) for j in range(len(FORMATS)))
+        need = max(n * DATE_SHARE, 1)
+        is_date = c in explicit or (n > 0 and d >= need)
+        fmt = next((f for f, p in zip(FORMATS, parses) if n > 0 and p >= need), None)
+        out[c] = DateDecision(c, n, d, parses, c in explicit, is_date, fmt)
+    return out

@@ -21,7 +21,7 @@ from tally.operators import diff as D
 from tally.operators import pair as P
 from tally.operators import report as R
 from tally.operators.normalize import KEY, add_key, normalize_dates, normalize_keys, rename, stringify
-from tally.operators.profile import DateDecision, decide_numeric, detect_dates_both, numeric_profile_row
+from tally.operators.profile import DateDecision, profile_both
 from tally.session import scratch_path
 from tally.sources.balance import balance
 from tally.spec import Alignment, ReconSpec, align
@@ -43,29 +43,43 @@ class Prepared:
         return {c: self.alignment.label(c) for c in self.alignment.compare}
 
 
-def prepare_sides(source: DataFrame, target: DataFrame, spec: ReconSpec,
-                  profile_fraction: float | None = None):
-    """Align, stringify, normalise keys and dates; returns (alignment, s, t, date decisions)."""
+def _sides(source: DataFrame, target: DataFrame, spec: ReconSpec):
+    """Aligned, stringified sides with keys normalised once (profile input)."""
     al = align(spec, source.columns, target.columns)
     s = rename(stringify(balance(source)), al.source_renames)
     t = rename(stringify(balance(target)), al.target_renames)
-    s, t = normalize_keys(s, al.keys), normalize_keys(t, al.keys)
-    auto_s = [c for c in al.compare if c not in al.source_dates] if spec.auto_detect_dates else []
-    auto_t = [c for c in al.compare if c not in al.target_dates] if spec.auto_detect_dates else []
-    s_dec, t_dec = detect_dates_both(s, t, auto_s, al.source_dates, auto_t, al.target_dates, profile_fraction)
+    return al, normalize_keys(s, al.keys), normalize_keys(t, al.keys)
+
+
+def _finish(al: Alignment, s: DataFrame, t: DataFrame, s_dec, t_dec):
+    """Dates normalised, keys normalised again, composite key added."""
     s, t = normalize_dates(s, s_dec), normalize_dates(t, t_dec)
     s, t = normalize_keys(s, al.keys), normalize_keys(t, al.keys)
-    return al, add_key(s, al.keys), add_key(t, al.keys), s_dec, t_dec
+    return add_key(s, al.keys), add_key(t, al.keys)
+
+
+def prepare_sides(source: DataFrame, target: DataFrame, spec: ReconSpec,
+                  profile_fraction: float | None = None):
+    """Align, stringify, normalise keys and dates; returns (alignment, s, t, date decisions)."""
+    al, s, t = _sides(source, target, spec)
+    prof = profile_both(s, t, al.compare, al.keys, al.source_dates, al.target_dates,
+                        spec.auto_detect_dates, profile_fraction)
+    s, t = _finish(al, s, t, prof.source_dates, prof.target_dates)
+    return al, s, t, prof.source_dates, prof.target_dates
 
 
 def prepare(source: DataFrame, target: DataFrame, spec: ReconSpec, *,
             numeric: set[str] | None = None, profile_fraction: float | None = None) -> Prepared:
-    al, s, t, s_dec, t_dec = prepare_sides(source, target, spec, profile_fraction)
-    total = None
-    if numeric is None:
-        row = numeric_profile_row(s, t, al.compare, profile_fraction) if al.compare else {}
-        numeric = decide_numeric(row, al.compare) if al.compare else set()
-    return Prepared(spec, al, s, t, numeric, s_dec, t_dec, total)
+    """Everything before pairing. ONE profile job decides date columns,
+    formats and number columns for both sides (skipped entirely when
+    ``numeric`` is given and no date column needs profiling)."""
+    al, s, t = _sides(source, target, spec)
+    prof = profile_both(s, t, al.compare, al.keys, al.source_dates, al.target_dates,
+                        spec.auto_detect_dates, profile_fraction)
+    s, t = _finish(al, s, t, prof.source_dates, prof.target_dates)
+    total = None if profile_fraction else prof.total_rows
+    return Prepared(spec, al, s, t, prof.numeric if numeric is None else numeric,
+                    prof.source_dates, prof.target_dates, total)
 
 
 @dataclass
@@ -192,10 +206,13 @@ def reconcile(source: DataFrame, target: DataFrame, spec: ReconSpec, *,
 def _auto_hot_keys(prep: Prepared, order: list[str], hot_key_rows: int) -> list[str]:
     s, t = prep.source, prep.target
     spark = s.sparkSession
-    # Cheap upper bound first: no key can be hot when both sides together are
-    # smaller than the threshold (row counts are metadata reads for parquet).
-    total = s.select(KEY).count() + t.select(KEY).count()
-    prep.total_rows = total
+    # No key can be hot when both sides together are smaller than the
+    # threshold. The row total comes free with the number profile; it is
+    # counted only when that profile was skipped or sampled.
+    total = prep.total_rows
+    if total is None:
+        total = s.select(KEY).count() + t.select(KEY).count()
+        prep.total_rows = total
     if total <= hot_key_rows:
         return []
     keys = s.select(KEY).unionByName(t.select(KEY))
