@@ -151,5 +151,22 @@ def pair_rows(source: DataFrame, target: DataFrame, source_cols: list[str], targ
     return classify(cold.unionByName(hot))
 
 
+def number_within_key(df: DataFrame, order: list[Column], hot_keys: list[str] | None = None,
+                      partitions: int | None = None) -> DataFrame:
+    """``df`` (with ``_key``) plus ``_rn``: 0-based position inside its key in
+    ``order``. Cold keys use a window (one task per key is fine below the
+    hot-key threshold); hot keys use ``global_positions`` so one key spreads
+    over many tasks."""
+    w = Window.partitionBy(KEY).orderBy(*order)
+    if not hot_keys:
+        return df.withColumn(RN, (F.row_number().over(w) - 1).cast("bigint"))
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col(KEY).isin(hot_keys)
+    cold = df.where(~is_hot).withColumn(RN, (F.row_number().over(w) - 1).cast("bigint"))
+    hot = (global_positions(df.where(is_hot), order, parts, group=[KEY])
+           .withColumn(RN, F.col(POS).cast("bigint")).drop(POS, GROUP_ROWS))
+    return cold.unionByName(hot)
+
+
 def estimate_partitions(total_rows: int, rows_per_partition: int = 2_000_000) -> int:
     return max(1, math.ceil(total_rows / rows_per_partition))

@@ -16,7 +16,7 @@ from tally.functions import clean as C
 from tally.functions import dates as DT
 from tally.operators import profile as PR
 from tally.operators.normalize import KEY, add_key, normalize_keys, normalize_dates, rename, stringify
-from tally.operators.pair import RN
+from tally.operators.pair import RN, find_hot_keys, number_within_key
 from tally.operators.profile import q
 from tally.plans import oracle as O
 from tally.plans.fixtures import FIXTURES, load, register_tables
@@ -299,8 +299,10 @@ def q_positional_keys(spark, sf):
     s, t, fx = load(spark, sf, "lines")
     keys = list(fx.spec.key_columns)
     k = add_key(normalize_keys(s, keys), keys)
-    w = Window.partitionBy(KEY).orderBy(*[F.col(c).asc_nulls_first() for c in fx.spec.order_by])
-    return k.select(KEY, (F.row_number().over(w) - 1).cast("bigint").alias(RN), "ok", "ln", "pk", "sk", "price")
+    order = [F.col(c).asc_nulls_first() for c in fx.spec.order_by] + [F.monotonically_increasing_id().asc()]
+    total = k.count()
+    hot = find_hot_keys(spark, k.select(KEY), total)
+    return number_within_key(k, order, hot).select(KEY, RN, "ok", "ln", "pk", "sk", "price")
 
 
 def sql_positional_keys() -> str:

@@ -140,3 +140,12 @@ def test_pages_and_top_n(spark):
     assert [p["count"] for p in pages] == [1000, 1000, 1000, 333]
     top = r.top_n(5).collect()
     assert len(top) == 5 and all(x["Column Name"] == "order_date - ordered_on" for x in top)
+
+
+def test_number_within_key_hot_equals_window(spark):
+    from tally.operators.pair import number_within_key
+    df = spark.range(4000).select((F.col("id") % 7 == 0).cast("string").alias("_key"), F.col("id").alias("v"))
+    order = [F.col("v").asc()]
+    plain = sorted(tuple(r) for r in number_within_key(df, order).collect())
+    hot = sorted(tuple(r) for r in number_within_key(df, order, hot_keys=["false"], partitions=5).collect())
+    assert plain == hot
