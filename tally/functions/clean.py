@@ -87,12 +87,28 @@ def drop_trailing_zeros(x: Column) -> Column:
 def clean_string(col: Column | str, case_sensitive: bool = True) -> Column:
     """String compare form: squash spaces, drop commas and a trailing ``.0+``,
     blank ``nan``/``none`` in any case, trim; lower-case when not case-sensitive."""
-    x = drop_trailing_zeros(F.replace(squash_spaces(col), F.lit(","), F.lit("")))
+    return string_tail(squash_spaces(col), case_sensitive)
+
+
+def drop_char(x: Column, ch: str) -> Column:
+    """Remove every ``ch`` (only values holding one are rewritten)."""
+    return F.when(x.contains(ch), F.replace(x, F.lit(ch), F.lit(""))).otherwise(x)
+
+
+def string_tail(squashed: Column, case_sensitive: bool = True) -> Column:
+    """The string rule after ``squash_spaces``."""
+    x = drop_trailing_zeros(drop_char(squashed, ","))
     x = F.when((F.length(x) <= 4) & F.lower(x).isin(*STRING_SENTINELS), F.lit("")).otherwise(x)
     x = F.trim(x)
     return x if case_sensitive else F.lower(x)
 
 
+def number_tail(squashed: Column) -> Column:
+    """The number rule after ``squash_spaces``."""
+    x = F.trim(drop_char(drop_char(squashed, "%"), ","))
+    return round_half_even(guarded_double(x), NUMERIC_SCALE)
+
+
 def guarded_double(text: Column) -> Column:
     """Cast text to double only when it has a number's shape, else null.
 
@@ -105,9 +121,7 @@ def guarded_double(text: Column) -> Column:
 def clean_number(col: Column | str) -> Column:
     """Number compare form: squash spaces, drop ``%`` and ``,``, trim, cast
     (blank or garbage → null), round half-to-even to 4 places."""
-    x = F.replace(squash_spaces(col), F.lit("%"), F.lit(""))
-    x = F.trim(F.replace(x, F.lit(","), F.lit("")))
-    return round_half_even(guarded_double(x), NUMERIC_SCALE)
+    return number_tail(squash_spaces(col))
 
 
 def round_half_even(x: Column, scale: int) -> Column:

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.functions.clean import blank_nulls, clean_number, clean_string, diff_numeric, diff_string
+from tally.functions.clean import (blank_nulls, clean_number, clean_string, diff_numeric, diff_string,
+                                   number_tail, squash_spaces, string_tail)
 from tally.operators.pair import MATCHED, RN, S, STATUS, TT
 from tally.operators.normalize import KEY
 
@@ -54,11 +55,30 @@ def with_flags(paired: DataFrame, fl: dict[str, Column]) -> DataFrame:
     return matched(paired).withColumns({flag_name(c): f for c, f in fl.items()})
 
 
-def add_flags(paired: DataFrame, fl: dict[str, Column]) -> DataFrame:
-    """All pairs plus ``__diff_{c}`` (false unless matched and different), so
-    a materialised copy carries the flags and no output re-cleans values."""
+def add_flags(paired: DataFrame, compare: list[str], numeric: set[str], case_sensitive: bool = True) -> DataFrame:
+    """All pairs plus ``__diff_{c}`` (false unless matched and different).
+
+    Staged: the space rule runs once per value in one projection, the
+    string / number tails and the comparison in the next. Each stage reads
+    the previous stage's columns more than once, so Spark keeps the stages
+    apart instead of copying every rule into every place it is used; the
+    generated code stays small and each value is cleaned once."""
+    base = paired.columns
+    squashed = paired.select("*", *[squash_spaces(src(c)).alias(f"_a{i}") for i, c in enumerate(compare)],
+                             *[squash_spaces(tgt(c)).alias(f"_b{i}") for i, c in enumerate(compare)])
+    cleaned = []
+    for i, c in enumerate(compare):
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        tail = number_tail if c in numeric else (lambda x: string_tail(x, case_sensitive))
+        cleaned += [tail(a).alias(f"_x{i}"), tail(b).alias(f"_y{i}")]
+    tails = squashed.select(*[F.col(f"`{c}`") for c in base], *cleaned)
     is_m = F.col(STATUS) == MATCHED
-    return paired.withColumns({flag_name(c): F.coalesce(is_m & f, F.lit(False)) for c, f in fl.items()})
+    flags = {}
+    for i, c in enumerate(compare):
+        x, y = F.col(f"_x{i}"), F.col(f"_y{i}")
+        f = diff_numeric(x, y) if c in numeric else diff_string(x, y)
+        flags[flag_name(c)] = F.coalesce(is_m & f, F.lit(False))
+    return tails.select(*[F.col(f"`{c}`") for c in base], *[v.alias(k) for k, v in flags.items()])
 
 
 def any_flag(fl: dict[str, Column]) -> Column:

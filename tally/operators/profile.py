@@ -242,10 +242,7 @@ class Profile:
     total_rows: int
 
 
-_CELL_KEYS = ["col", "real", "looks", "exact", "mask", "n_real", "n_cast", "n_dash", "f_real", "f_cast", "f_dash"]
-
-
-def _cells_frame(df: DataFrame, columns: list[str], numeric_cols: set[str], keys: set[str], tag: str) -> DataFrame:
+def _cells_frame(df: DataFrame, columns: list[str], numeric_cols: set[str], keys: set[str], tag: int) -> DataFrame:
     """Profile cells: one row per (input row, column) with everything both
     decisions need, built in staged projections so that no rule's expression
     tree is copied into another (Spark keeps a projection boundary where a
@@ -290,18 +287,30 @@ def _cells_frame(df: DataFrame, columns: list[str], numeric_cols: set[str], keys
             nr = nc = nd = dated = F.lit(False)
         out4 += [nr.alias(f"n_real{i}"), nc.alias(f"n_cast{i}"), nd.alias(f"n_dash{i}"), dated.alias(f"dated{i}")]
     st4 = st3.select(*out4)
-    # stage 5: fallback outcome indicators, then one cell per column
-    cells = []
+    # stage 5: fallback outcome indicators, then one packed code per column:
+    # code = column id << 20 | format mask << 9 | nine indicator bits, so the
+    # count groups on a single bigint (decoded on the driver).
+    codes = []
     for i in range(n):
         dated = F.col(f"dated{i}")
-        cells.append(F.struct(F.lit(f"{tag}{i}").alias("col"), F.col(f"real{i}").alias("real"),
-                              F.col(f"looks{i}").alias("looks"), F.col(f"exact{i}").alias("exact"),
-                              F.col(f"mask{i}").alias("mask"), F.col(f"n_real{i}").alias("n_real"),
-                              F.col(f"n_cast{i}").alias("n_cast"), F.col(f"n_dash{i}").alias("n_dash"),
-                              (dated | F.col(f"n_real{i}")).alias("f_real"),
-                              (~dated & F.col(f"n_cast{i}")).alias("f_cast"),
-                              (~dated & F.col(f"n_dash{i}")).alias("f_dash")))
-    return st4.select(F.inline(F.array(*cells)))
+        bits = [F.col(f"real{i}"), F.col(f"looks{i}"), F.col(f"exact{i}"), F.col(f"n_real{i}"),
+                F.col(f"n_cast{i}"), F.col(f"n_dash{i}"), dated | F.col(f"n_real{i}"),
+                ~dated & F.col(f"n_cast{i}"), ~dated & F.col(f"n_dash{i}")]
+        code = F.lit((tag * 1000 + i) << 20).cast("bigint") + F.col(f"mask{i}").cast("bigint") * F.lit(1 << 9)
+        for b, bit in enumerate(bits):
+            code = code + F.when(bit, F.lit(1 << b)).otherwise(F.lit(0))
+        codes.append(code)
+    return st4.select(F.explode(F.array(*codes)).alias("code"))
+
+
+_BITS = ["real", "looks", "exact", "n_real", "n_cast", "n_dash", "f_real", "f_cast", "f_dash"]
+
+
+def _decode(code: int) -> dict:
+    col = code >> 20
+    out = {"col": f"{'st'[col // 1000]}{col % 1000}", "mask": (code >> 9) & ((1 << len(FORMATS)) - 1)}
+    out.update({name: bool(code >> b & 1) for b, name in enumerate(_BITS)})
+    return out
 
 
 def profile_both(source: DataFrame, target: DataFrame, compare: list[str], keys: list[str],
@@ -316,9 +325,10 @@ def profile_both(source: DataFrame, target: DataFrame, compare: list[str], keys:
     t_cols += [c for c in compare if c not in t_cols]
     num = set(compare)
     key_set = set(keys)
-    s_cells = _cells_frame(_maybe_sample(source, fraction), s_cols, num, key_set, "s")
-    t_cells = _cells_frame(_maybe_sample(target, fraction), t_cols, num, key_set, "t")
-    groups = s_cells.unionByName(t_cells).groupBy(*_CELL_KEYS).count().collect()
+    s_cells = _cells_frame(_maybe_sample(source, fraction), s_cols, num, key_set, 0)
+    t_cells = _cells_frame(_maybe_sample(target, fraction), t_cols, num, key_set, 1)
+    groups = [dict(_decode(int(r["code"])), count=r["count"])
+              for r in s_cells.unionByName(t_cells).groupBy("code").count().collect()]
 
     sums: dict = {}
     def add(k, n):

@@ -98,12 +98,16 @@ class ReconResult:
         return self.prepared.alignment
 
     def fl(self) -> dict:
-        """Per-column difference flags: stored columns of a materialised copy,
-        else the cleaning rules evaluated on the paired values."""
-        p = self.prepared
-        if self.flags_stored:
-            return D.stored_flags(p.alignment.compare)
-        return D.flags(p.alignment.compare, p.numeric, self.spec.case_sensitive)
+        """Per-column difference flags as columns of ``self.paired``."""
+        return D.stored_flags(self.prepared.alignment.compare)
+
+    def __post_init__(self):
+        # Every output reads the ``__diff_{c}`` columns; add them (staged
+        # projections, lazily) unless this result reads a stored copy.
+        if not self.flags_stored:
+            p = self.prepared
+            self.paired = D.add_flags(self.paired, p.alignment.compare, p.numeric, self.spec.case_sensitive)
+            self.flags_stored = True
 
     # -- outputs -----------------------------------------------------------
     def cells(self) -> DataFrame:
@@ -159,7 +163,7 @@ class ReconResult:
         executor only re-reads files."""
         spark = self.paired.sparkSession
         path = path or scratch_path(spark, f"paired-{uuid.uuid4().hex}")
-        D.add_flags(self.paired, self.fl()).write.mode("overwrite").parquet(path)
+        self.paired.write.mode("overwrite").parquet(path)
         return ReconResult(self.prepared, spark.read.parquet(path), flags_stored=True)
 
     def write(self, out_dir: str, fmt: str = "parquet", materialize: bool = True) -> dict:
