@@ -24,7 +24,7 @@ from tally.operators.normalize import KEY, add_key, normalize_dates, normalize_k
 from tally.operators.profile import DateDecision, profile_both
 from tally.session import scratch_path
 from tally.sources.balance import balance
-from tally.spec import Alignment, ReconSpec, align
+from tally.spec import Alignment, ReconSpec, align, config_rows
 
 
 @dataclass
@@ -155,6 +155,12 @@ class ReconResult:
         parts = partitions or int(self.paired.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return R.paginate(self.cells(), self.al.keys, self.al.include, self.spec.value_label, page_rows, parts)
 
+    def configuration(self) -> DataFrame:
+        """How every mapping was treated (one row per mapping; spec-sized)."""
+        names, rows = config_rows(self.spec)
+        spark = self.paired.sparkSession
+        return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+
     # -- sinks -------------------------------------------------------------
     def materialize(self, path: str | None = None) -> "ReconResult":
         """Write the paired rows with their difference flags once (parquet in
@@ -175,6 +181,7 @@ class ReconResult:
             "missing_in_target": result.missing_in_target(comments=True),
             "missing_in_source": result.missing_in_source(comments=True),
             "summary": result.summary(),
+            "configuration": result.configuration(),
         }
         if self.spec.include_full_data:
             outputs["full_data"] = result.full_data()

@@ -7,6 +7,7 @@ lazy DataFrame; its oracle is the same computation written in DuckDB SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -480,7 +481,7 @@ def q_scan_csv_strings(spark, sf):
     """Write the orders target fixture as CSV (shared scratch folder), read it
     back with the all-string scan."""
     t = fixture_side(spark, sf, "orders", "t")
-    path = scratch_path(spark, "csv-orders-tgt")
+    path = scratch_path(spark, f"csv-orders-tgt-{uuid.uuid4().hex[:12]}")
     (t.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     return scan_csv_strings(spark, path)
