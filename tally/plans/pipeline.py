@@ -159,7 +159,7 @@ class ReconResult:
         """How every mapping was treated (one row per mapping; spec-sized)."""
         names, rows = config_rows(self.spec)
         spark = self.paired.sparkSession
-        return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+        return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)).coalesce(1)
 
     # -- sinks -------------------------------------------------------------
     def materialize(self, path: str | None = None) -> "ReconResult":
