@@ -116,7 +116,8 @@ def classify(paired: DataFrame) -> DataFrame:
 
 
 def find_hot_keys(spark: SparkSession, u: DataFrame, total_rows: int,
-                  hot_key_rows: int = HOT_KEY_ROWS, max_hot: int = MAX_HOT_KEYS) -> list[str]:
+                  hot_key_rows: int = HOT_KEY_ROWS, max_hot: int = MAX_HOT_KEYS,
+                  with_rows: bool = False):
     """Keys likely to hold more than ``hot_key_rows`` rows.
 
     No key can when the union is smaller than the threshold (no job at all).
@@ -126,12 +127,16 @@ def find_hot_keys(spark: SparkSession, u: DataFrame, total_rows: int,
     Misclassification only changes the physical path, never the result.
     """
     if total_rows <= hot_key_rows:
-        return []
+        return ([], 0) if with_rows else []
     fraction = min(1.0, HOT_SAMPLE_ROWS / total_rows)
     floor = max(2.0, 0.5 * hot_key_rows * fraction)
     rows = (u.select(KEY).sample(fraction=fraction, seed=11).groupBy(KEY).count()
             .where(F.col("count") >= floor).orderBy(F.desc("count")).limit(max_hot).collect())
-    return [r[KEY] for r in rows]
+    keys = [r[KEY] for r in rows]
+    if not with_rows:
+        return keys
+    # estimated rows under the hot keys, to size the range partitioning
+    return keys, int(sum(r["count"] for r in rows) / fraction)
 
 
 def pair_rows(source: DataFrame, target: DataFrame, source_cols: list[str], target_cols: list[str],
@@ -169,4 +174,5 @@ def number_within_key(df: DataFrame, order: list[Column], hot_keys: list[str] |
 
 
 def estimate_partitions(total_rows: int, rows_per_partition: int = 2_000_000) -> int:
+    """Partitions for ``total_rows`` rows at about 2 M rows each."""
     return max(1, math.ceil(total_rows / rows_per_partition))

@@ -208,13 +208,18 @@ def reconcile(source: DataFrame, target: DataFrame, spec: ReconSpec, *,
     al = prep.alignment
     order = list(spec.order_by)
     u_cols = (al.source_columns, al.target_columns)
+    hot_parts = None
     if hot_keys is None:
-        hot_keys = _auto_hot_keys(prep, order, hot_key_rows)
-    paired = P.pair_rows(prep.source, prep.target, *u_cols, order, hot_keys=hot_keys)
+        hot_keys, hot_rows = _auto_hot_keys(prep, order, hot_key_rows)
+        if hot_keys:
+            default = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            hot_parts = max(default, P.estimate_partitions(hot_rows))
+    paired = P.pair_rows(prep.source, prep.target, *u_cols, order, hot_keys=hot_keys, hot_partitions=hot_parts)
     return ReconResult(prep, paired)
 
 
-def _auto_hot_keys(prep: Prepared, order: list[str], hot_key_rows: int) -> list[str]:
+def _auto_hot_keys(prep: Prepared, order: list[str], hot_key_rows: int) -> tuple[list[str], int]:
+    """Bounded list of hot keys and the estimated rows under them."""
     s, t = prep.source, prep.target
     spark = s.sparkSession
     # No key can be hot when both sides together are smaller than the
@@ -225,6 +230,6 @@ def _auto_hot_keys(prep: Prepared, order: list[str], hot_key_rows: int) -> list[
         total = s.select(KEY).count() + t.select(KEY).count()
         prep.total_rows = total
     if total <= hot_key_rows:
-        return []
+        return [], 0
     keys = s.select(KEY).unionByName(t.select(KEY))
-    return P.find_hot_keys(spark, keys, total, hot_key_rows)
+    return P.find_hot_keys(spark, keys, total, hot_key_rows, with_rows=True)

@@ -121,6 +121,9 @@ def test_single_hot_key_blank_keys(spark):
     skew = reconcile(src, tgt, spec, hot_keys=[""])
     assert summary_map(plain) == summary_map(skew)
     assert _sorted_cells(plain) == _sorted_cells(skew)
+    # automatic detection (threshold lowered so the blank key counts as hot)
+    auto = reconcile(src, tgt, spec, hot_key_rows=500)
+    assert summary_map(auto) == summary_map(plain)
 
 
 def test_write_outputs(spark, tmp_path):
