@@ -3,13 +3,15 @@
 A table stored as one small file or one parquet row group is read by a single
 task, so every per-row rule before the first shuffle would run on one core.
 When an input has fewer partitions than the cluster's default parallelism it
-is spread round-robin (one cheap exchange of a small input; measured: keeping
-a cached copy for the profile job and the main job saved nothing). Inputs of real size arrive in many more
+is spread round-robin once and kept (memory, spilling to disk), so the profile
+job, the pairing job and any later job (pages, checkpoints) read the spread
+copy instead of repeating a one-task scan. Inputs of real size arrive in many more
 splits than there are cores and pass through untouched (no extra shuffle).
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
@@ -17,4 +19,4 @@ def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target)
+    return df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
