@@ -109,7 +109,12 @@ FIXTURES: dict[str, Fixture] = {
 
 
 def register_tables(spark: SparkSession, sf_dir: str, tables=TABLES) -> None:
-    """Temp views over the driver parquet tables (lazy: nothing is read)."""
+    """Temp views over the driver parquet tables (lazy: nothing is read).
+
+    The fixture SQL renders timestamps as text, which depends on the session
+    time zone; fixtures are defined in UTC (as the SQL oracle reads them)."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     for t in tables:
         spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(t)
 
