@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import mixing, packing, quality, secrets, toxicity
+from tally.llm import fingerprints, mixing, neardup, neighbours, packing, quality, secrets, toxicity
 from tally.llm.common import checksum_split, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -25,6 +33,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), checksum_split() % 5 == 0
     model = quality.train_model(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -40,7 +52,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Builder]:
-    return {f.__name__: f for f in (op1_secret_scan, op6_packing, op7_mixing, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (
+        op1_secret_scan, op2_neighbours, op3_near_duplicates, op6_packing, op7_mixing, op8_fingerprints, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
