@@ -20,7 +20,8 @@ and a component keeps its smallest ``doc_id``.
    join components, fewer than its members, never all pairs.
 5. Components over all links.
 
-Rows with a null ``doc_id`` take no part in links (component null, kept). Rows
+Rows with a null ``doc_id`` take no part in links (component null, kept), a
+document without words is a component of its own (if its id has no other text). Rows
 that share an id are one document: it is linked with whatever one of its texts
 is linked with. Null texts count as empty. Extra columns are ignored by
 ``near_duplicates`` and kept by ``drop_duplicates``. Empty tables give empty
@@ -30,6 +31,7 @@ results.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -41,13 +43,13 @@ from tally.llm.common import map_arrow, stored, text_or_empty
 from tally.llm.components import components
 
 SHINGLE = 5
-COORDINATES, ROWS = 128, 4
-BANDS = COORDINATES // ROWS
+COORDINATES, ROWS = 128, 4   # of sketches, and of a band
 BLOCK = 400                # members of a bucket that one task compares with as many others
 SPREAD = 5                 # standard deviations that a sketch's estimate may lie under the similarity
 CACHE_WORDS = 500_000
+MAX_COORDINATES = 128
 _MASK56 = np.uint64((1 << 56) - 1)
-_SEEDS = np.random.default_rng(64_128).integers(0, 1 << 64, 2 * COORDINATES, dtype=np.uint64)
+_SEEDS = np.random.default_rng(64_128).integers(0, 1 << 64, 2 * MAX_COORDINATES, dtype=np.uint64)
 _PLACES = np.random.default_rng(5).integers(0, 1 << 64, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
@@ -86,16 +88,16 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(total)
 
 
-def sketch(items: np.ndarray) -> np.ndarray:
-    """Fast similarity sketch: COORDINATES numbers; two sets agree in a coordinate with the chance of their similarity."""
-    t, n = COORDINATES, len(items)
+def sketch(items: np.ndarray, t: int = COORDINATES) -> np.ndarray:
+    """Fast similarity sketch: ``t`` numbers (a power of two); two sets agree in one with the chance of their similarity."""
+    n, shift = len(items), np.uint64(65 - t.bit_length())
     out = np.full(t, np.iinfo(np.uint64).max, np.uint64)
     step = max(1, min(t, -(-6 * t // n)))
     for first in range(0, t, step):
         rounds = np.arange(first, min(t, first + step))
         x = mixed(items[None, :] ^ _SEEDS[rounds][:, None])
         value = (rounds.astype(np.uint64) << np.uint64(56))[:, None] | (x & _MASK56)
-        np.minimum.at(out, (x >> np.uint64(57)).astype(np.intp).ravel(), value.ravel())
+        np.minimum.at(out, (x >> shift).astype(np.intp).ravel(), value.ravel())
         if (out != np.iinfo(np.uint64).max).all():
             return out
     empty = np.flatnonzero(out == np.iinfo(np.uint64).max)
@@ -104,10 +106,10 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sketched: np.ndarray) -> np.ndarray:
-    parts = sketched.reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
+def band_keys(sketched: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    parts = sketched.reshape(-1, rows)
+    key = np.arange(len(parts), dtype=np.uint64)
+    for k in range(rows):
         key = mixed(key * _PLACES[k] + parts[:, k])
     return key.view(np.int64)
 
@@ -122,6 +124,16 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def set_key(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
+def list_array(parts: list[np.ndarray]) -> pa.Array:
+    """An array<long> column."""
+    ends = np.cumsum([0] + [len(b) for b in parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
 def sketched_rows(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), set_key (digest of the set), bands."""
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,46 +141,43 @@ def sketched_rows(docs: DataFrame) -> DataFrame:
         for text in batch.column("text").to_pylist():
             s = shingles(text)
             sizes.append(len(s))
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            keys.append(set_key(s))
             bands.append(band_keys(sketch(s)) if len(s) else np.zeros(0, np.int64))
-        ends = np.cumsum([0] + [len(b) for b in bands]).astype(np.int32)
-        flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "set_key", "bands"])
+             list_array(bands)], names=["doc_id", "n", "set_key", "bands"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), one,
                      "doc_id long, n long, set_key binary, bands array<long>")
 
 
-def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, items (the sorted set as bytes) for the classes in ``wanted`` (node, set_key)."""
+def set_table(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set_key, items (the sorted set as bytes) of the wanted keys, each from the document with the smallest id."""
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, keys, items = [], [], []
-        for node, key, text in zip(*(batch.column(c).to_pylist() for c in ("node", "set_key", "text"))):
-            s = shingles(text).tobytes()
-            if hashlib.blake2b(s, digest_size=16).digest() == key:  # not another text under the same id
-                nodes.append(node)
+        keys, items = [], []
+        for key, text in zip(batch.column("set_key").to_pylist(), batch.column("text").to_pylist()):
+            s = shingles(text)
+            if set_key(s) == key:  # not another text under the same id
                 keys.append(key)
-                items.append(s)
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.binary()), pa.array(items, pa.binary())],
-                                          names=["node", "set_key", "items"])
+                items.append(s.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(items, pa.binary())], names=["set_key", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
-    return map_arrow(texts.join(wanted, "node").select("node", "set_key", "text"), one, "node long, set_key binary, items binary")
+    first = rows.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).join(wanted, "set_key")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return map_arrow(texts.join(first, "doc_id").select("set_key", "text"), one, "set_key binary, items binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b: set keys; u, v: nodes) that are linked."""
+    """The pairs (u, v: set keys) that are linked."""
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
         ok = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)],
                       pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column("u").filter(ok), batch.column("v").filter(ok)], names=["u", "v"])
 
-    left = sets.select(F.col("set_key").alias("a"), F.col("items").alias("left"))
-    right = sets.select(F.col("set_key").alias("b"), F.col("items").alias("right"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("u", "v", "left", "right"), one, "u long, v long")
+    left = sets.select(F.col("set_key").alias("u"), F.col("items").alias("left"))
+    right = sets.select(F.col("set_key").alias("v"), F.col("items").alias("right"))
+    return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right"), one, "u binary, v binary")
 
 
 def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -193,30 +202,29 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         alike = (sketches[other] == sketches[i]).sum(1)
         for j in other[np.argsort(-alike, kind="stable")][:int((alike >= least).sum())]:
             if label[i] != label[j] and linked(items[i], items[j], percent):
-                found.append((rows["node"][i], rows["node"][j]))
+                found.append((rows["set_key"][i], rows["set_key"][j]))
                 label[label == label[j]] = label[i]
-    return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+    return pd.DataFrame(found, columns=["u", "v"], dtype=object)
+
 
+def near_links(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """u, v: links between set keys, enough for every component.
 
-def near_links(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """u, v: links between nodes, enough for every component of the classes in ``rows``."""
-    classes = stored(rows.where("doc_id is not null and n > 0").groupBy("set_key")
-                     .agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")))
-    buckets = classes.select("node", "set_key", F.explode("bands").alias("band"))
+    ``rows`` has set_key and bands; ``sets_of`` gives (set_key, items) for a table of wanted keys.
+    """
+    classes = stored(rows.groupBy("set_key").agg(F.any_value("bands").alias("bands")))
+    buckets = classes.select("set_key", F.explode("bands").alias("band"))
     mark = F.xxhash64("set_key")
-    groups = (buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "set_key")).alias("hub"),
+    groups = (buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("set_key").alias("hub"),
                                           F.bit_xor(mark).alias("x"), F.sum(mark % 1_000_003).alias("s"))
               .where("members > 1")
               .groupBy("members", "hub", "x", "s").agg(F.min("band").alias("band")).select("band", "members", "hub"))
     members = stored(buckets.join(groups, "band"))
-    wanted = members.select("node", "set_key").distinct()
-    sets = stored(set_table(docs, wanted))
-    star = (members.where(F.col("set_key") != F.col("hub.set_key"))
-            .select(F.col("hub.node").alias("u"), F.col("node").alias("v"), F.col("hub.set_key").alias("a"), F.col("set_key").alias("b"))
-            .distinct())
+    sets = stored(sets_of(members.select("set_key").distinct()))
+    star = members.where("set_key <> hub").select(F.col("hub").alias("u"), F.col("set_key").alias("v")).distinct()
     links = stored(confirmed(star, sets, percent))
-    labels = components(links, "u", "v")
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = components(links, "u", "v").withColumnRenamed("node", "set_key")
+    labelled = members.join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     open_groups = (labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                    .where("low <> high").select("band"))
     # member blocks: every two blocks of a bucket meet in one task
@@ -225,30 +233,31 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     meet = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: F.struct(
         F.least(own, k).alias("low"), F.greatest(own, k).alias("high"), (own > k).cast("int").alias("side")))
     sent = (labelled.join(open_groups, "band").withColumn("m", F.explode(meet))
-            .select("band", "m.low", "m.high", "m.side", "node", "label", "set_key")
-            .join(sets.select("set_key", "items"), "set_key"))
+            .select("band", "m.low", "m.high", "m.side", "label", "set_key").join(sets, "set_key"))
     more = (sent.groupBy("band", "low", "high")
-            .applyInPandas(lambda pdf: block_links(pdf, percent), "u long, v long"))
+            .applyInPandas(lambda pdf: block_links(pdf, percent), "u binary, v binary"))
     return links.union(stored(more.distinct()))
 
 
 def with_components(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = stored(sketched_rows(docs))
-    links = near_links(docs, rows, percent)
-    # the classes' own members are linked through the set they share
-    same = rows.where("doc_id is not null and n > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    mine = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set_key")).alias("set_key"))
-    ids = mine.join(same, "set_key", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
-    # an id with several texts joins their classes
-    several = (ids.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-               .where("low <> high").select("doc_id"))
-    joined = ids.join(several, "doc_id").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
-    labels = components(links.union(joined), "u", "v")
-    own = labels.select(F.col("node"), F.col("label").alias("by_node"))
-    return (ids.join(own, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("by_node", "node").alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    full = rows.where("doc_id is not null and n > 0").select("doc_id", "set_key", "bands")
+    links = near_links(full, lambda wanted: set_table(docs, full, wanted), percent)
+    # an id with several texts joins their sets
+    several = (full.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"))
+               .where("low <> high").select("doc_id", "low"))
+    own = full.join(several, "doc_id").select(F.col("set_key").alias("u"), F.col("low").alias("v"))
+    labels = components(links.union(own), "u", "v").withColumnRenamed("node", "set_key")
+    labelled = (full.select("doc_id", "set_key").join(labels, "set_key", "left")
+                .select("doc_id", "set_key", F.coalesce("label", "set_key").alias("label")))
+    names = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_set = labelled.select("set_key", "label").distinct().join(names, "label").select("set_key", "component_id")
+    key = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set_key")).alias("set_key")
+    out = rows.select("doc_id", "n", key).join(of_set, "set_key", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import fingerprints, mixing, neardup, neighbours, packing, quality, secrets, toxicity
+from tally.llm import fingerprints, mixing, neardup, neighbours, packing, paragraphs, quality, secrets, suffixes, toxicity
 from tally.llm.common import checksum_split, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.clusters(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -51,9 +59,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Builder]:
     return {f.__name__: f for f in (
-        op1_secret_scan, op2_neighbours, op3_near_duplicates, op6_packing, op7_mixing, op8_fingerprints, op9_quality, op10_toxicity)}
+        op1_secret_scan, op2_neighbours, op3_near_duplicates, op4_paragraphs, op5_suffix_dedup, op6_packing, op7_mixing,
+        op8_fingerprints, op9_quality, op10_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
