@@ -1,0 +1,237 @@
+"""Secret scan, packing, mixing, quality and toxicity against plain versions."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from tally.llm import mixing, packing, quality, queries, secrets, toxicity
+from tally.llm.common import checksum_split
+
+SF_SMALL = "/root/testdata/sf0.001"
+
+KEY = "kP9x7Qz2Vw8Lr4Tn6Bm1Yc3"
+
+
+# ---- secrets
+
+def plain_base(text):
+    found = []
+    for k, pattern, least in ((0, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+                              (1, r"AKIA[A-Z0-9]+", 20), (2, r"[0-9a-f]+", 24)):
+        for m in re.finditer(pattern, text, re.ASCII | (re.IGNORECASE if k == 0 else 0)):
+            if len(m[2] if k == 0 else m[0]) >= least:
+                found.append((m.start(), k, m.end()))
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+def test_secret_scan(docs_of, small_rows):
+    cases = [(1, None), (2, ""), (3, f"key {KEY} end"), (4, "PassWord = \"hunter22\" token:abc"), (5, "AKIA" + "A" * 16 + " AKIASHORT"),
+             (6, "d41d8cd98f00b204e9800998ecf8427e"), (7, "a" * 23), (8, "a" * 24), (None, "api_key=abcdef"),
+             (9, "some_long_ordinary_identifier_name and https://a/b/c"), (9, "some_long_ordinary_identifier_name and https://a/b/c"),
+             (10, "éé secret: 'ü' token = abcdef1"), (11, "word " * 50_000 + "password=abc123")]
+    rows = cases + [(1000 + i, t) for i, t in small_rows]
+    got = secrets.scan(docs_of(rows)).collect()
+    assert len(got) == len(rows)
+    by_id = {r["doc_id"]: r for r in got}
+    for i, text in rows:
+        base = plain_base(text or "")
+        assert by_id[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        spans = [s for s in by_id[i]["spans"].split(",") if s and not s.startswith("token")]
+        assert ",".join(spans) == base
+        assert [by_id[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [base.count(k) for k in ("assign", "access", "hex")]
+    assert by_id[3]["spans"] == f"token:4:{4 + len(KEY)}"
+    assert by_id[6]["n_token"] == by_id[9]["n_token"] == 0 and by_id[6]["n_hex"] == 1
+    assert secrets.scan(docs_of([(1, "x")]).where("false")).count() == 0
+
+
+def test_redact(docs_of):
+    docs = docs_of([(1, f"a {KEY} b"), (2, None), (3, "clean text"), (3, "clean text"), (None, "token=abcdef")])
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in out.collect()), key=repr)
+    assert got == sorted([(0, "[SECRET]", 8), (1, "a [SECRET] b", 12), (2, None, None), (3, "clean text", 10), (3, "clean text", 10)], key=repr)
+
+
+# ---- packing
+
+def test_packing_round_trip(docs_of, small_rows):
+    import public_tokenizers as files
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    rows = [(10_000, None), (10_001, ""), (10_002, "a  b\n\n c\td"), (None, "null id"), (10_003, "it's, ok. x1!! ,"),
+            (10_004, "lang " * 30_000)] + small_rows
+    pieces = packing.pack(docs_of(rows)).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p["doc_id"]].append(p)
+        by_sequence[p["sequence_id"]].append(p)
+    assert set(by_doc) == {i for i, _ in rows}
+    for i, text in rows:
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        at = 0
+        for p in sorted(by_doc[i], key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids)
+            assert p["ids_crc32"] == zlib.crc32(ids[at:at + p["length"]].tobytes())
+            at += p["length"]
+        assert at == len(ids)
+    for seq in by_sequence.values():
+        at = 0
+        for p in sorted(seq, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at == 1024 or at & (at - 1) == 0      # no padding at all
+    assert packing.pack(docs_of([(1, "x")]).where("false")).count() == 0
+
+
+def test_least_squares():
+    """The solver's fit is a non-negative least-squares solution: no column can improve it."""
+    rng = np.random.default_rng(3)
+    histogram = np.zeros(packing.WINDOW, dtype=int)
+    np.add.at(histogram, rng.integers(1, packing.WINDOW, 4000), 1)
+    columns = packing.combinations(histogram)
+    assert columns and all(sum(c) == packing.WINDOW and 2 <= len(c) <= 3 for c in columns)
+    x = packing.repeat_counts(histogram, columns)
+    left = histogram.astype(float)
+    for v, c in zip(x, columns):
+        for n in c:
+            left[n] -= v
+    assert (x >= 0).all() and (left ** 2).sum() < 0.5 * (histogram.astype(float) ** 2).sum()
+    lengths = np.repeat(np.arange(packing.WINDOW), histogram)
+    seqs = packing.windows(lengths)
+    assert sum(n for s in seqs for _, _, n in s) == lengths.sum()
+    cut = sum(len(s) for s in seqs) - len(lengths)
+    assert cut < 0.2 * len(lengths)                  # most remainders stay whole
+
+
+# ---- mixing
+
+def plain_targets(sizes):
+    """Sharing step by step, as the rule is stated."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    cap, fixed, total = {s: 3 * sizes[s] for s in names}, {}, sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in fixed]
+        if not free:
+            return fixed
+        level = (total - sum(fixed.values())) / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > cap[s]]
+        if not over:
+            return fixed | {s: level * weight[s] for s in free}
+        fixed |= {s: cap[s] for s in over}
+
+
+MIX_ROWS = ([(i, "w " * (1 + i % 17), f"s{i % 4}") for i in range(200)] + [(500, "one two", None), (None, "a b c", None), (501, None, "empty"),
+            (502, "", "empty"), (503, "x y", "tiny"), (504, "w " * 4000, "s1"), (7, "w " * 8, "s3"), (7, "w " * 8, "s3")])
+
+
+def test_mixing(docs_of):
+    docs = docs_of(MIX_ROWS)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(MIX_ROWS)
+    sizes = defaultdict(int)
+    for _, text, source in MIX_ROWS:
+        sizes[source] += len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    expected = plain_targets(sizes)
+    source_of = {i: s for i, _, s in MIX_ROWS}
+    taken = defaultdict(int)
+    for r in got:
+        s = source_of[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(expected[s])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    for s, t in expected.items():
+        assert abs(taken[s] - t) <= 2, s
+    key = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert key(mixing.mix(docs.repartition(7)).collect()) == key(got)
+    assert mixing.mix(docs.where("false")).count() == 0
+
+
+def test_mixing_matches_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF_SMALL}/documents.parquet'")
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    sql = con.execute(f"select {', '.join(cols)} from ({mixing.ORACLE_SQL}) x").fetchall()
+    got = [tuple(r[c] for c in cols) for r in queries.op7_mixing(spark, SF_SMALL).collect()]
+    assert sorted(sql) == sorted(got)
+
+
+def test_apply_mix(docs_of):
+    docs = docs_of(MIX_ROWS)
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns
+    taken = defaultdict(int)
+    for r in out.collect():
+        taken[r["source"]] += len((r["text"] or "").split())
+    sizes = defaultdict(int)
+    largest = defaultdict(int)
+    for _, text, s in MIX_ROWS:
+        n = len((text or "").split())
+        sizes[s] += n
+        largest[s] = max(largest[s], n)
+    for s, t in plain_targets(sizes).items():
+        assert abs(taken[s] - t) <= largest[s] * 2
+    assert {r["doc_id"] for r in out.where("source = 'empty'").collect()} == {501, 502}
+
+
+# ---- classifiers
+
+def held_out(rows, labels, name):
+    y = {r["doc_id"]: r[name] for r in labels}
+    return [(r["score"], r["predicted"], y[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in y]
+
+
+def test_quality_held_out(spark):
+    rows = queries.op9_quality(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 1000
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    got = held_out(rows, spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect(), "quality")
+    assert np.mean([p == y for _, p, y in got]) > 0.93
+
+
+def test_toxicity_held_out(spark):
+    rows = queries.op10_toxicity(spark, "/root/testdata/sf0.1").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    got = held_out(rows, spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect(), "toxic")
+    assert np.mean([p for _, p, y in got if y]) > 0.85 and np.mean([1 - p for _, p, y in got if not y]) > 0.97
+
+
+def test_classifiers_edges(spark, docs_of):
+    docs = docs_of([(1, None), (2, ""), (None, "you idiot"), (3, "fine words here."), (3, "fine words here."), (4, "a " * 100_000),
+                    (5, "\n\n !!! ???")])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    odd = spark.createDataFrame([(1, None, 1), (None, 1, 0), (3, 1, 0), (3, 0, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    for labels in (none, odd):
+        model = quality.train_model(docs, labels, ~(checksum_split() % 5 == 0))
+        assert quality.score(docs, model).count() == 7
+        grammar = toxicity.train_grammar(docs, labels, checksum_split() >= 0)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, grammar).collect()}
+        assert len(got) == 6 and got[1] == got[2] <= min(got.values())
+    assert quality.score(docs.where("false"), model).count() == 0 and toxicity.score(docs.where("false"), grammar).count() == 0
+    kept = toxicity.keep_clean(docs, toxicity.Grammar())
+    assert kept.columns == docs.columns and kept.count() == 6
+
+
+def test_grammar_composition():
+    g = toxicity.Grammar()
+    clause = lambda t: g.clause(t.split())
+    assert clause("you are an idiot") > clause("an idiot is there") > clause("you are not an idiot") > 0
+    assert clause("he said you are an idiot") < clause("you are an idiot")
+    assert clause("we will meet") == 0
+
+
+def test_quadratic_discriminant():
+    rng = np.random.default_rng(0)
+    n = len(quality.FEATURES)
+    x = np.vstack([rng.normal(0, 1, (400, n)), rng.normal(0, 3, (400, n)) + 1])
+    y = np.repeat([0, 1], 400)
+    model = quality.fit(x, y)
+    assert ((model.score(x) > 0.5) == y).mean() > 0.95
+    assert quality.fit(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
