@@ -126,9 +126,10 @@ def clean_number(col: Column | str) -> Column:
 
 def round_half_even(x: Column, scale: int) -> Column:
     """Round a double to ``scale`` places, ties to even, in float arithmetic
-    (scale, ``rint``, unscale): no per-value BigDecimal."""
+    (scale, ``rint``, unscale): no per-value BigDecimal. Values from 2^53 on have
+    no places to round and are kept, so scaling never overflows."""
     factor = float(10 ** scale)
-    return F.rint(x * F.lit(factor)) / F.lit(factor)
+    return F.when(F.abs(x) < F.lit(float(2 ** 53)), F.rint(x * F.lit(factor)) / F.lit(factor)).otherwise(x)
 
 
 def normalize_key(col: Column | str) -> Column:
@@ -148,15 +149,33 @@ def composite_key(cols: list[Column | str]) -> Column:
     return F.concat_ws(KEY_SEPARATOR, *[key_part(c) for c in cols])
 
 
-def float_to_int_text(col: Column | str) -> Column:
-    """Render a double as text; whole values lose the fraction (5.0 → "5").
+# Text of a floating-point number with an exponent, as the engine prints it.
+EXPONENT_TEXT = r"^(-?)([0-9]+)[.]?([0-9]*)[eE]([-+]?[0-9]+)$"
 
-    Only used when stringifying typed sources: every text path is a no-op.
-    """
-    x = _c(col).cast("double")
-    as_long = x.try_cast("long")
-    whole = as_long.isNotNull() & (as_long.cast("double") == x)
-    return F.when(whole, as_long.cast("string")).otherwise(x.cast("string"))
+
+def plain_number_text(text: Column) -> Column:
+    """``1.5E-4`` as ``0.00015``: the digits moved by the exponent, nothing rounded."""
+    part = lambda i: F.regexp_extract(text, EXPONENT_TEXT, i)
+    zeros = lambda n: F.repeat(F.lit("0"), n)
+    # digits and how many of them stand before the point, worked out once per value
+    number = F.struct(part(1).alias("sign"), F.concat(part(2), F.regexp_replace(part(3), "0+$", "")).alias("digits"),
+                      (F.length(part(2)) + part(4).try_cast("int")).alias("point"))
+
+    def written(n: Column) -> Column:
+        digits, point = n["digits"], n["point"]
+        length = F.length(digits)
+        return F.concat(n["sign"], F.when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits))
+                        .when(point >= length, F.concat(digits, zeros(point - length)))
+                        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."),
+                                            F.substring(digits, point + 1, length))))
+
+    return F.when(text.rlike(EXPONENT_TEXT), F.transform(F.array(number), written)[0]).otherwise(text)
+
+
+def float_to_int_text(col: Column | str) -> Column:
+    """A float or double as plain text, from its own shortest digits: whole values lose the
+    fraction (5.0 → "5"), others keep every digit and never an exponent; nan and inf keep their text."""
+    return F.regexp_replace(plain_number_text(_c(col).cast("string")), r"[.]0$", "")
 
 
 def diff_numeric(a: Column, b: Column) -> Column:
@@ -170,7 +189,3 @@ def diff_numeric(a: Column, b: Column) -> Column:
 def diff_string(a: Column, b: Column) -> Column:
     """Strings differ after cleaning (null counts as empty)."""
     return F.coalesce(a, F.lit("")) != F.coalesce(b, F.lit(""))
-
-
-def any_true(flags: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, flags) if flags else F.lit(False)

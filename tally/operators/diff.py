@@ -1,8 +1,8 @@
 """Cell comparison on matched pairs: flags, any-diff filter, melt.
 
-All flags are computed in one projection; the melt to one row per differing
-cell is a single ``inline(filter(array(struct...)))`` generator, so the
-matched rows are read once whatever the number of columns.
+All flags are computed in one projection; rows without a difference are left out
+before the melt to one row per differing cell, a single ``inline`` generator, so
+the matched rows are read once whatever the number of columns.
 """
 
 from __future__ import annotations
@@ -10,31 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.functions.clean import (blank_nulls, clean_number, clean_string, diff_numeric, diff_string,
-                                   number_tail, squash_spaces, string_tail)
-from tally.operators.pair import MATCHED, RN, S, STATUS, TT
+from tally.functions.clean import blank_nulls, diff_numeric, diff_string, number_tail, squash_spaces, string_tail
+from tally.operators.names import q
 from tally.operators.normalize import KEY
+from tally.operators.pair import MATCHED, RN, STATUS, source_name, target_name
 
 COLUMN_NAME = "Column Name"
+ANY = "_any"     # true when any compared column of a pair differs
 
 
 def src(c: str) -> Column:
-    return F.col(S).getField(c)
+    return q(source_name(c))
 
 
 def tgt(c: str) -> Column:
-    return F.col(TT).getField(c)
-
-
-def flag(c: str, numeric: bool, case_sensitive: bool = True) -> Column:
-    """True when column ``c`` differs between the paired source and target."""
-    if numeric:
-        return diff_numeric(clean_number(src(c)), clean_number(tgt(c)))
-    return diff_string(clean_string(src(c), case_sensitive), clean_string(tgt(c), case_sensitive))
-
-
-def flags(compare: list[str], numeric: set[str], case_sensitive: bool = True) -> dict[str, Column]:
-    return {c: flag(c, c in numeric, case_sensitive) for c in compare}
+    return q(target_name(c))
 
 
 def flag_name(c: str) -> str:
@@ -47,7 +37,7 @@ def matched(paired: DataFrame) -> DataFrame:
 
 def stored_flags(compare: list[str]) -> dict[str, Column]:
     """Flags already materialised as ``__diff_{c}`` columns (see ``with_flags``)."""
-    return {c: F.col(f"`{flag_name(c)}`") for c in compare}
+    return {c: q(flag_name(c)) for c in compare}
 
 
 def with_flags(paired: DataFrame, fl: dict[str, Column]) -> DataFrame:
@@ -71,14 +61,17 @@ def add_flags(paired: DataFrame, compare: list[str], numeric: set[str], case_sen
         a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
         tail = number_tail if c in numeric else (lambda x: string_tail(x, case_sensitive))
         cleaned += [tail(a).alias(f"_x{i}"), tail(b).alias(f"_y{i}")]
-    tails = squashed.select(*[F.col(f"`{c}`") for c in base], *cleaned)
+    tails = squashed.select(*[q(c) for c in base], *cleaned)
     is_m = F.col(STATUS) == MATCHED
     flags = {}
     for i, c in enumerate(compare):
         x, y = F.col(f"_x{i}"), F.col(f"_y{i}")
         f = diff_numeric(x, y) if c in numeric else diff_string(x, y)
         flags[flag_name(c)] = F.coalesce(is_m & f, F.lit(False))
-    return tails.select(*[F.col(f"`{c}`") for c in base], *[v.alias(k) for k, v in flags.items()])
+    # Marked as depending on the partition (it does not), so that the optimizer leaves filters on it
+    # where they are instead of copying every rule into the filter's condition.
+    any_differs = any_flag({k: v for k, v in flags.items()}) & (F.spark_partition_id() >= 0)
+    return tails.select(*[q(c) for c in base], *[v.alias(k) for k, v in flags.items()], any_differs.alias(ANY))
 
 
 def any_flag(fl: dict[str, Column]) -> Column:
@@ -92,20 +85,19 @@ def any_flag(fl: dict[str, Column]) -> Column:
     return flags[0] if len(flags) == 1 else F.greatest(*flags)
 
 
-def mismatched(paired: DataFrame, fl: dict[str, Column]) -> DataFrame:
+def mismatched(paired: DataFrame) -> DataFrame:
     """Matched pairs with at least one differing column."""
-    return matched(paired).where(any_flag(fl))
+    return matched(paired).where(F.col(ANY))
 
 
 def cells(paired: DataFrame, fl: dict[str, Column], labels: dict[str, str],
           context: list[str], value_names: tuple[str, str]) -> DataFrame:
     """One row per differing cell: context columns (source side), column label,
     source value and target value (normalised, not cleaned; null → '')."""
-    # Flags and values are projected first (code-generated, split into
-    # methods), then inline + filter over plain columns: no higher-order
-    # function (interpreted) and no generator body holding every rule.
+    # Only rows with a difference reach the generator, which holds plain columns:
+    # no higher-order function (interpreted) and no rule in its body.
     names = list(fl)
-    staged = matched(paired).select(
+    staged = mismatched(paired).select(
         F.col(KEY), F.col(RN), *[src(c).alias(c) for c in context],
         *[f.alias(f"_f{i}") for i, f in enumerate(fl.values())],
         *[blank_nulls(src(c)).alias(f"_sv{i}") for i, c in enumerate(names)],
@@ -113,7 +105,7 @@ def cells(paired: DataFrame, fl: dict[str, Column], labels: dict[str, str],
     arr = F.array(*[F.struct(F.col(f"_f{i}").alias("_f"), F.lit(labels[c]).alias("_c"),
                              F.col(f"_sv{i}").alias("_sv"), F.col(f"_tv{i}").alias("_tv"))
                     for i, c in enumerate(names)])
-    exploded = staged.select(F.col(KEY), F.col(RN), *[F.col(f"`{c}`") for c in context], F.inline(arr)).where(F.col("_f"))
+    exploded = staged.select(F.col(KEY), F.col(RN), *[q(c) for c in context], F.inline(arr)).where(F.col("_f"))
     sv, tv = value_names
-    return exploded.select(KEY, RN, *[F.col(f"`{c}`") for c in context],
+    return exploded.select(KEY, RN, *[q(c) for c in context],
                            F.col("_c").alias(COLUMN_NAME), F.col("_sv").alias(sv), F.col("_tv").alias(tv))

@@ -9,29 +9,34 @@ from pyspark.sql import types as T
 
 from tally.functions.clean import composite_key, float_to_int_text, normalize_key
 from tally.functions.dates import normalize_date
-from tally.operators.profile import DateDecision, q
+from tally.operators.names import q
+from tally.operators.profile import DateDecision
 
 KEY = "_key"
 
 
-def stringify(df: DataFrame, double_scale: int | None = None) -> DataFrame:
+def stringify(df: DataFrame, scales: dict[str, int] | None = None) -> DataFrame:
     """Every column as text, header names trimmed.
 
-    Floats become integer text when whole (5.0 → "5"); with ``double_scale``
-    they go through ``decimal(38, scale)`` so large or small values never use
-    exponent notation. Timestamps render as ``yyyy-MM-dd HH:mm:ss``.
+    Floats and doubles are written out in full (5.0 → "5", no exponent), or with
+    the places that ``scales`` gives for their name. Timestamps render as
+    ``yyyy-MM-dd HH:mm:ss`` in the session's time zone: set UTC where both sides
+    come from different zones.
     """
+    scales = scales or {}
     cols = []
     for f in df.schema.fields:
-        c = q(f.name)
+        c, name = q(f.name), f.name.strip()
         if isinstance(f.dataType, T.StringType):
             out = c
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out = (c.cast(f"decimal(38,{double_scale})").cast("string") if double_scale is not None
-                   else float_to_int_text(c))
+            out = float_to_int_text(c)
+            if name in scales:
+                fixed = c.cast("string").try_cast(f"decimal(38,{scales[name]})").cast("string")
+                out = F.coalesce(fixed, out)     # nan, inf and what does not fit keep their text
         else:
             out = c.cast("string")
-        cols.append(out.alias(f.name.strip()))
+        cols.append(out.alias(name))
     return df.select(*cols)
 
 

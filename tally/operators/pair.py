@@ -2,8 +2,8 @@
 
 Both sides are tagged and unioned, then numbered within their key: the k-th
 source row of a key pairs with the k-th target row of the same key. The result
-has one row per (key, position) with the source row ``_s`` and/or the target
-row ``_t`` (structs of all columns) and a status:
+has one row per (key, position), the values of each side as ``_s_{column}`` and
+``_t_{column}``, and a status:
 
 * ``MATCHED``            both present
 * ``MISSING_IN_TARGET``  key absent from the target
@@ -11,168 +11,158 @@ row ``_t`` (structs of all columns) and a status:
 * ``SURPLUS_IN_SOURCE``  key on both sides, source holds more duplicates
 * ``SURPLUS_IN_TARGET``  mirror
 
+Only key, compared and context columns go through the exchange. Duplicates are
+numbered by ``order_by``, then by all of these columns (ascending, nulls first):
+rows that still tie are equal in everything the outputs show, so the result does
+not depend on partitions, cores or retries.
+
 Physical plan (cold keys): ONE hash exchange on ``_key`` for the union; the
 per-side row_number, the per-key side counts and the (key, position) grouping
 all reuse that partitioning (window and aggregate keys contain ``_key``).
 
 Hot keys: a key holding more than ``hot_key_rows`` rows would put all of them
-in one task. Such keys are found from a sample (bounded list, see
-``find_hot_keys``) and numbered with a range partitioning on
-(key, side, order...) instead, so one key spreads over many tasks; the
-per-partition segment table used to turn local positions into global ones has
-at most ``2·hot + partitions`` rows and is broadcast. The (key, position)
-grouping then hashes on both columns, which spreads hot keys evenly.
+in one task. Such keys are counted (one partial aggregate over the keys, only
+if the tables together have more rows than the threshold), however many there
+are, and numbered with a range partitioning on (key, side, order...) instead, so
+one key spreads over many tasks. The (key, position) grouping then hashes on
+both columns, which spreads hot keys evenly. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tally.operators.names import q
 from tally.operators.normalize import KEY
 from tally.operators.positions import GROUP_ROWS, POS, global_positions
-from tally.operators.profile import q
 
-SIDE, RN, SEQ, S, TT, NS, NT, STATUS = "_side", "_rn", "_seq", "_s", "_t", "_ns", "_nt", "_status"
+SIDE, RN, NS, NT, STATUS, HAS_S, HAS_T = "_side", "_rn", "_ns", "_nt", "_status", "_has_s", "_has_t"
 MATCHED = "MATCHED"
 MISSING_IN_TARGET = "MISSING_IN_TARGET"
 MISSING_IN_SOURCE = "MISSING_IN_SOURCE"
 SURPLUS_IN_SOURCE = "SURPLUS_IN_SOURCE"
 SURPLUS_IN_TARGET = "SURPLUS_IN_TARGET"
 
-# Defaults for hot-key handling. A key above HOT_KEY_ROWS rows (both sides
-# together) is numbered with the range path; at most MAX_HOT_KEYS keys are
-# collected to the driver (bounded list, the rest take the exact cold path).
-HOT_KEY_ROWS = 2_000_000
-MAX_HOT_KEYS = 10_000
-HOT_SAMPLE_ROWS = 20_000_000
+HOT_KEY_ROWS = 2_000_000     # rows of both sides above which a key takes the range path
+BROADCAST_KEYS = 10_000      # hot keys up to which their list is broadcast, else joined
+
 
+def source_name(c: str) -> str:
+    return f"_s_{c}"
 
-def _struct_type(columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
+def target_name(c: str) -> str:
+    return f"_t_{c}"
 
-def tag(df: DataFrame, side: int, source_cols: list[str], target_cols: list[str],
-        order_by: list[str]) -> DataFrame:
-    """Side row → (_key, _side, _o*, _seq, _s, _t). ``_seq`` is the read order
-    (monotonic id of the scan) and the last tie-break, so positions are a
-    total order and identical on recomputation of a file scan."""
-    own = F.struct(*[q(c) for c in (source_cols if side == 0 else target_cols)])
-    other = F.lit(None).cast(_struct_type(target_cols if side == 0 else source_cols))
-    s_col, t_col = (own, other) if side == 0 else (other, own)
+
+def _tag(df: DataFrame, side: int, source_cols: list[str], target_cols: list[str], order_by: list[str]) -> DataFrame:
+    """Side row → (_key, _side, _o*, source values or nulls, target values or nulls)."""
+    null = F.lit(None).cast("string")
     return df.select(q(KEY), F.lit(side).cast("tinyint").alias(SIDE),
                      *[q(c).alias(f"_o{i}") for i, c in enumerate(order_by)],
-                     F.monotonically_increasing_id().alias(SEQ),
-                     s_col.alias(S), t_col.alias(TT))
+                     *[(q(c) if side == 0 else null).alias(source_name(c)) for c in source_cols],
+                     *[(q(c) if side == 1 else null).alias(target_name(c)) for c in target_cols])
 
 
-def _order_cols(n_order: int) -> list[Column]:
-    return [F.col(f"_o{i}").asc_nulls_first() for i in range(n_order)] + [F.col(SEQ).asc()]
+def _values(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in (KEY, SIDE) and not c.startswith("_o")]
 
 
-def _group_pairs(numbered: DataFrame) -> DataFrame:
+def _group_pairs(numbered: DataFrame, values: list[str], counts: list[Column]) -> DataFrame:
     """One row per (key, position); at most one source and one target row."""
     return numbered.groupBy(KEY, RN).agg(
-        F.first(S, ignorenulls=True).alias(S), F.first(TT, ignorenulls=True).alias(TT),
-        F.max(NS).alias(NS), F.max(NT).alias(NT))
+        F.max(F.col(SIDE) == 0).alias(HAS_S), F.max(F.col(SIDE) == 1).alias(HAS_T),
+        *[F.first(q(c), ignorenulls=True).alias(c) for c in values], *counts)
 
 
-def _cold_pairs(u: DataFrame, n_order: int) -> DataFrame:
-    by_side = Window.partitionBy(KEY, SIDE).orderBy(*_order_cols(n_order))
+def _cold_pairs(u: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
+    by_side = Window.partitionBy(KEY, SIDE).orderBy(*order)
     by_key = Window.partitionBy(KEY)
     numbered = (u.repartition(KEY)
-                .withColumn(RN, F.row_number().over(by_side) - 1)
+                .withColumn(RN, (F.row_number().over(by_side) - 1).cast("bigint"))
                 .withColumn(NS, F.count_if(F.col(SIDE) == 0).over(by_key))
                 .withColumn(NT, F.count_if(F.col(SIDE) == 1).over(by_key)))
-    return _group_pairs(numbered)
-
+    return _group_pairs(numbered, values, [F.max(NS).alias(NS), F.max(NT).alias(NT)])
 
-def _hot_pairs(u: DataFrame, n_order: int, partitions: int) -> DataFrame:
-    """Positions for hot keys via range partitioning (see ``global_positions``).
 
-    Side totals per hot key come from a partial aggregate (one row per hot key
-    and side, bounded by the hot-key list) joined back by broadcast, never from
-    a window over the key's rows."""
-    numbered = global_positions(u, _order_cols(n_order), partitions, group=[KEY, SIDE])
+def _hot_pairs(u: DataFrame, order: list[Column], values: list[str], partitions: int) -> DataFrame:
+    """Positions for hot keys via range partitioning (see ``global_positions``);
+    side totals come from a partial aggregate, never from a window over a key's rows."""
+    numbered = global_positions(u, order, partitions, group=[KEY, SIDE])
     totals = numbered.groupBy(KEY).agg(
         F.max(F.when(F.col(SIDE) == 0, F.col(GROUP_ROWS)).otherwise(F.lit(0))).alias(NS),
         F.max(F.when(F.col(SIDE) == 1, F.col(GROUP_ROWS)).otherwise(F.lit(0))).alias(NT))
-    pairs = numbered.select(KEY, F.col(POS).alias(RN), S, TT).groupBy(KEY, RN).agg(
-        F.first(S, ignorenulls=True).alias(S), F.first(TT, ignorenulls=True).alias(TT))
-    return pairs.join(F.broadcast(totals), KEY)
+    return _group_pairs(numbered.withColumn(RN, F.col(POS).cast("bigint")), values, []).join(totals, KEY)
 
 
 def classify(paired: DataFrame) -> DataFrame:
-    has_s, has_t = F.col(S).isNotNull(), F.col(TT).isNotNull()
-    status = (F.when(has_s & has_t, F.lit(MATCHED))
-              .when(has_s & (F.col(NT) == 0), F.lit(MISSING_IN_TARGET))
-              .when(has_s, F.lit(SURPLUS_IN_SOURCE))
+    status = (F.when(F.col(HAS_S) & F.col(HAS_T), F.lit(MATCHED))
+              .when(F.col(HAS_S) & (F.col(NT) == 0), F.lit(MISSING_IN_TARGET))
+              .when(F.col(HAS_S), F.lit(SURPLUS_IN_SOURCE))
               .when(F.col(NS) == 0, F.lit(MISSING_IN_SOURCE))
               .otherwise(F.lit(SURPLUS_IN_TARGET)))
     return paired.withColumn(STATUS, status)
 
 
-def find_hot_keys(spark: SparkSession, u: DataFrame, total_rows: int,
-                  hot_key_rows: int = HOT_KEY_ROWS, max_hot: int = MAX_HOT_KEYS,
-                  with_rows: bool = False):
-    """Keys likely to hold more than ``hot_key_rows`` rows.
-
-    No key can when the union is smaller than the threshold (no job at all).
-    Otherwise a Bernoulli sample of about HOT_SAMPLE_ROWS rows is counted per
-    key (partial aggregation) and keys whose sampled count reaches half the
-    scaled threshold are kept, largest first, at most ``max_hot`` of them.
-    Misclassification only changes the physical path, never the result.
-    """
+def hot_keys_of(keys: DataFrame, total_rows: int, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
+    """(_key, rows) of the keys with more than ``hot_key_rows`` rows; None if the rows are too few for any."""
     if total_rows <= hot_key_rows:
-        return ([], 0) if with_rows else []
-    fraction = min(1.0, HOT_SAMPLE_ROWS / total_rows)
-    floor = max(2.0, 0.5 * hot_key_rows * fraction)
-    rows = (u.select(KEY).sample(fraction=fraction, seed=11).groupBy(KEY).count()
-            .where(F.col("count") >= floor).orderBy(F.desc("count")).limit(max_hot).collect())
-    keys = [r[KEY] for r in rows]
-    if not with_rows:
-        return keys
-    # estimated rows under the hot keys, to size the range partitioning
-    return keys, int(sum(r["count"] for r in rows) / fraction)
+        return None
+    return (keys.select(KEY).groupBy(KEY).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_key_rows)
+            .checkpoint(eager=True))
 
 
-def pair_rows(source: DataFrame, target: DataFrame, source_cols: list[str], target_cols: list[str],
-              order_by: list[str], hot_keys: list[str] | None = None,
-              hot_partitions: int | None = None) -> DataFrame:
-    """Paired and classified rows (lazy). ``source``/``target`` carry ``_key``."""
-    u = (tag(source, 0, source_cols, target_cols, order_by)
-         .unionByName(tag(target, 1, source_cols, target_cols, order_by)))
-    n_order = len(order_by)
-    if not hot_keys:
-        return classify(_cold_pairs(u, n_order))
-    spark = source.sparkSession
-    parts = hot_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    is_hot = F.col(KEY).isin(hot_keys)
-    cold = _cold_pairs(u.where(~is_hot), n_order)
-    hot = _hot_pairs(u.where(is_hot), n_order, max(1, parts))
-    return classify(cold.unionByName(hot))
-
-
-def number_within_key(df: DataFrame, order: list[Column], hot_keys: list[str] | None = None,
-                      partitions: int | None = None) -> DataFrame:
-    """``df`` (with ``_key``) plus ``_rn``: 0-based position inside its key in
-    ``order``. Cold keys use a window (one task per key is fine below the
-    hot-key threshold); hot keys use ``global_positions`` so one key spreads
-    over many tasks."""
-    w = Window.partitionBy(KEY).orderBy(*order)
-    if not hot_keys:
-        return df.withColumn(RN, (F.row_number().over(w) - 1).cast("bigint"))
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    is_hot = F.col(KEY).isin(hot_keys)
-    cold = df.where(~is_hot).withColumn(RN, (F.row_number().over(w) - 1).cast("bigint"))
-    hot = (global_positions(df.where(is_hot), order, parts, group=[KEY])
-           .withColumn(RN, F.col(POS).cast("bigint")).drop(POS, GROUP_ROWS))
-    return cold.unionByName(hot)
+def _split(df: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of hot keys, all other rows."""
+    marks = hot.select(KEY, F.lit(True).alias("_hot"))
+    marks = F.broadcast(marks) if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else marks
+    marked = df.join(marks, KEY, "left")
+    return marked.where("_hot").drop("_hot"), marked.where("_hot is null").drop("_hot")
 
 
 def estimate_partitions(total_rows: int, rows_per_partition: int = 2_000_000) -> int:
     """Partitions for ``total_rows`` rows at about 2 M rows each."""
     return max(1, math.ceil(total_rows / rows_per_partition))
+
+
+def _hot_partitions(hot: DataFrame) -> int:
+    rows = hot.agg(F.sum("_rows")).first()[0] or 0
+    return max(int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimate_partitions(rows))
+
+
+def pair_rows(source: DataFrame, target: DataFrame, source_cols: list[str], target_cols: list[str],
+              order_by: list[str], hot: DataFrame | None = None) -> DataFrame:
+    """Paired and classified rows (lazy). ``source``/``target`` carry ``_key``; ``hot`` lists keys for the range path."""
+    u = (_tag(source, 0, source_cols, target_cols, order_by)
+         .unionByName(_tag(target, 1, source_cols, target_cols, order_by)))
+    values = _values(u)
+    order = [F.col(f"_o{i}").asc_nulls_first() for i in range(len(order_by))] + [q(c).asc_nulls_first() for c in values]
+    if hot is None:
+        return classify(_cold_pairs(u, order, values))
+    hot_rows, cold_rows = _split(u, hot)
+    cold = _cold_pairs(cold_rows, order, values)
+    return classify(cold.unionByName(_hot_pairs(hot_rows, order, values, _hot_partitions(hot))))
+
+
+def number_within_key(df: DataFrame, order: list[Column], hot: DataFrame | None = None) -> DataFrame:
+    """``df`` (with ``_key``) plus ``_rn``: 0-based position inside its key in ``order``."""
+    w = Window.partitionBy(KEY).orderBy(*order)
+    number = lambda d: d.withColumn(RN, (F.row_number().over(w) - 1).cast("bigint"))
+    if hot is None:
+        return number(df)
+    hot_rows, cold_rows = _split(df, hot)
+    spread = (global_positions(hot_rows, order, _hot_partitions(hot), group=[KEY])
+              .withColumn(RN, F.col(POS).cast("bigint")).drop(POS, GROUP_ROWS))
+    return number(cold_rows).unionByName(spread)
+
+
+def duplicate_key_counts(df: DataFrame) -> DataFrame:
+    """One row: rows, rows whose key occurs more than once, and such keys. ``df`` carries ``_key``."""
+    per_key = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    many = F.col("n") > 1
+    return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"),
+                       F.coalesce(F.sum(F.when(many, F.col("n"))), F.lit(0)).cast("bigint").alias("duplicate_rows"),
+                       F.count_if(many).cast("bigint").alias("duplicate_keys"))

@@ -9,8 +9,8 @@ inside its group in ``order``, for groups of any size:
    storage in the session's checkpoint folder): both branches below read the
    same numbered copy, so the range bounds cannot differ between them and a
    lost executor does not renumber anything;
-3. count rows per (group, partition): at most ``groups + partitions`` rows,
-   a proven bound, so the offsets table is broadcast;
+3. count rows per (group, partition): at most ``groups + partitions`` rows, joined
+   back on both (the join is broadcast if Spark measures the table as small);
 4. position = rows of the group in earlier partitions + local index.
 
 ``order`` must be a total order (add a unique tie-break) for positions to be
@@ -45,6 +45,6 @@ def global_positions(df: DataFrame, order: list[Column], partitions: int,
     whole = Window.partitionBy(*group)
     seg = (seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
            .withColumn(GROUP_ROWS, F.sum("_n").over(whole)))
-    out = ranked.join(F.broadcast(seg), [*group, "_pid"])
+    out = ranked.join(seg, [*group, "_pid"])
     return (out.withColumn(POS, F.col("_off") + F.col("_loc") - F.col("_first"))
             .drop("_pid", "_loc", "_first", "_n", "_off"))

@@ -1,10 +1,11 @@
-"""Column profiling: choose the compare rule of each column.
-
-Each profile is ONE aggregate over the whole column set (a single scan with
-map-side partial aggregation; only a handful of counters cross the network).
-The tiny result row is read on the driver and turned into decisions.
-Profiling reads the whole column by default; ``fraction`` turns on a Bernoulli
-sample for very large inputs (same thresholds, fewer rows aggregated).
+"""Column profiling: choose the compare rule of each column.
+
+Two grouped counts over whole columns, no sample. The first reads every column of
+both sides: cells are turned into rows (column number, text) *before* any rule, so
+the rules exist once in the generated code however many columns there are, and
+the counts are summed up per column before the shuffle. The second does the same
+for the columns that may be dates only, for the shares of the known formats. The
+driver gets one row of counters per column and side.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.functions.clean import NUMBER_SHAPE, blank_nulls
-from tally.functions.dates import (DATE_SHARE, FORMATS, DateFormat, date_like, is_sentinel,
-                                   parse_with, py_strip)
+from tally.functions.clean import NUMBER_SHAPE, blank_nulls, normalize_key
+from tally.functions.dates import (DATE_SHARE, FORMATS, DateFormat, date_like, fallback_parse, is_sentinel, parse_with,
+                                   py_strip)
+from tally.operators.names import q
 
 # Fixed values of the number detection rule.
 NUMERIC_SENTINELS = ["", "nan", "None", "NaN"]
@@ -24,15 +26,6 @@ NUMERIC_SHARE = 0.8
 DASH_SHARE = 0.2
 
 
-def q(name: str) -> Column:
-    """Column by exact name (dots, spaces and backticks allowed)."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def _maybe_sample(df: DataFrame, fraction: float | None, seed: int = 17) -> DataFrame:
-    return df if not fraction or fraction >= 1.0 else df.sample(fraction=fraction, seed=seed)
-
-
 @dataclass(frozen=True)
 class DateDecision:
     column: str
@@ -44,346 +37,174 @@ class DateDecision:
     fmt: DateFormat | None
 
 
-def _date_cells(columns: list[str], tag: str) -> list[Column]:
-    """One struct per (row, column): column id, non-sentinel, date-like and a
-    bitmask of the common formats that parse the stripped value. Parsing is
-    only tried on date-like values: every format's shape implies date-like,
-    so the counts are the same and most values skip all eleven formats."""
-    out = []
-    for i, c in enumerate(columns):
-        v = py_strip(blank_nulls(q(c)))
-        real = ~is_sentinel(v)
-        looks = real & date_like(v)
-        mask = F.lit(0)
-        for j, fmt in enumerate(FORMATS):
-            mask = mask + F.when(parse_with(v, fmt).isNotNull(), F.lit(1 << j)).otherwise(F.lit(0))
-        out.append(F.struct(F.lit(f"{tag}{i}").alias("col"), real.alias("real"), looks.alias("looks"),
-                            F.when(looks, mask).otherwise(F.lit(0)).alias("mask")))
-    return out
-
-
-def _profile_counts(df: DataFrame, cells: list[Column]) -> dict:
-    """Count the profile cells by their (column, flags) combination: ONE
-    aggregate with a handful of groups per column (map-side combined), then
-    the per-column counters are summed on the driver from those groups."""
-    return _tally_groups(df.select(F.inline(F.array(*cells))).groupBy("col", "real", "looks", "mask").count().collect())
-
-
-def _tally_groups(groups) -> dict:
-    counts: dict = {}
-    for g in groups:
-        c, n = g["col"], int(g["count"])
-        if g["real"]:
-            counts[f"{c}n"] = counts.get(f"{c}n", 0) + n
-        if g["looks"]:
-            counts[f"{c}d"] = counts.get(f"{c}d", 0) + n
-            for j in range(len(FORMATS)):
-                if g["mask"] >> j & 1:
-                    counts[f"{c}p{j}"] = counts.get(f"{c}p{j}", 0) + n
-    return counts
-
-
-def date_profile_row(df: DataFrame, columns: list[str]) -> dict:
-    """Per column: non-sentinel count, date-like count and the number of
-    values each common format parses (stripped values)."""
-    return _profile_counts(df, _date_cells(columns, "")) if columns else {}
-
-
-def decide_dates(row: dict, columns: list[str], explicit: set[str], tag: str = "") -> dict[str, DateDecision]:
-    out = {}
-    for i, c in enumerate(columns):
-        n, d = row.get(f"{tag}{i}n", 0), row.get(f"{tag}{i}d", 0)
-        parses = tuple(row.get(f"{tag}{i}p{j}", 0) for j in range(len(FORMATS)))
-        need = max(n * DATE_SHARE, 1)
-        is_date = c in explicit or (n > 0 and d >= need)
-        fmt = next((f for f, p in zip(FORMATS, parses) if n > 0 and p >= need), None)
-        out[c] = DateDecision(c, n, d, parses, c in explicit, is_date, fmt)
-    return out
-
-
-def _date_columns(candidates: list[str], explicit: set[str]) -> list[str]:
-    return list(dict.fromkeys([*sorted(explicit), *candidates]))
-
-
-def detect_dates(df: DataFrame, candidates: list[str], explicit: set[str],
-                 fraction: float | None = None) -> dict[str, DateDecision]:
-    """P1 + P2 for one side: which columns are dates and in which format."""
-    cols = _date_columns(candidates, explicit)
-    if not cols:
-        return {}
-    row = date_profile_row(_maybe_sample(df, fraction), cols)
-    return decide_dates(row, cols, explicit)
-
-
-def detect_dates_both(source: DataFrame, target: DataFrame, s_candidates: list[str], s_explicit: set[str],
-                      t_candidates: list[str], t_explicit: set[str], fraction: float | None = None):
-    """P1 + P2 for both sides in ONE job: every (row, column) becomes a small
-    profile cell tagged with its side and column; one grouped count over the
-    union gives every counter of both sides."""
-    s_cols, t_cols = _date_columns(s_candidates, s_explicit), _date_columns(t_candidates, t_explicit)
-    if not s_cols and not t_cols:
-        return {}, {}
-    s_cells = _maybe_sample(source, fraction).select(F.inline(F.array(*_date_cells(s_cols, "s"))))
-    t_cells = _maybe_sample(target, fraction).select(F.inline(F.array(*_date_cells(t_cols, "t"))))
-    groups = s_cells.unionByName(t_cells).groupBy("col", "real", "looks", "mask").count()
-    row = _tally_groups(groups.collect())
-    return decide_dates(row, s_cols, s_explicit, "s"), decide_dates(row, t_cols, t_explicit, "t")
+@dataclass(frozen=True)
+class NumberDecision:
+    """Pooled over both sides, on the values that are compared."""
+    column: str
+    nonsentinel: int
+    castable: int
+    with_dash: int
+
+    @property
+    def is_numeric(self) -> bool:
+        n = self.nonsentinel
+        return n > 0 and self.castable >= NUMERIC_SHARE * n and self.with_dash < DASH_SHARE * n
+
+
+@dataclass(frozen=True)
+class Profile:
+    source_dates: dict[str, DateDecision]
+    target_dates: dict[str, DateDecision]
+    numbers: dict[str, NumberDecision]
+    total_rows: int
+
+    @property
+    def numeric(self) -> set[str]:
+        return {c for c, d in self.numbers.items() if d.is_numeric}
 
 
 def numeric_stats(values: Column) -> tuple[Column, Column, Column]:
     """(non-sentinel, castable, contains '-') indicators; nulls are ignored."""
     real = values.isNotNull() & ~values.isin(NUMERIC_SENTINELS)
-    stripped = F.regexp_replace(values, "[%,]", "")
-    castable = stripped.rlike(NUMBER_SHAPE)
+    castable = F.regexp_replace(values, "[%,]", "").rlike(NUMBER_SHAPE)
     return real, real & castable, real & values.contains("-")
 
 
-def numeric_profile_row(source: DataFrame, target: DataFrame, columns: list[str],
-                        fraction: float | None = None) -> dict:
-    """P3 counters over both sides pooled (one union, one aggregate)."""
-    both = (_maybe_sample(source.select(*[q(c) for c in columns]), fraction)
-            .unionByName(_maybe_sample(target.select(*[q(c) for c in columns]), fraction)))
-    cells = []
-    for i, c in enumerate(columns):
-        real, castable, dash = numeric_stats(q(c))
-        cells.append(F.struct(F.lit(i).alias("col"), real.alias("real"), castable.alias("cast"), dash.alias("dash")))
-    groups = both.select(F.inline(F.array(*cells))).groupBy("col", "real", "cast", "dash").count().collect()
-    row = {f"{k}{i}": 0 for i in range(len(columns)) for k in "tcd"}
-    row["rows"] = 0   # every row of both sides yields one cell per column
-    for g in groups:
-        i, n = g["col"], int(g["count"])
-        row["rows"] += n if i == 0 else 0
-        row[f"t{i}"] += n if g["real"] else 0
-        row[f"c{i}"] += n if g["cast"] else 0
-        row[f"d{i}"] += n if g["dash"] else 0
-    return row
-
-
-def decide_numeric(row: dict, columns: list[str]) -> set[str]:
-    out = set()
-    for i, c in enumerate(columns):
-        tot, nc, dc = int(row[f"t{i}"]), int(row[f"c{i}"]), int(row[f"d{i}"])
-        if tot and nc / tot >= NUMERIC_SHARE and dc / tot < DASH_SHARE:
-            out.add(c)
-    return out
-
-
-def detect_numeric(source: DataFrame, target: DataFrame, columns: list[str],
-                   fraction: float | None = None) -> set[str]:
-    """Columns compared as numbers: ≥ 80 % castable and < 20 % holding a dash."""
-    if not columns:
-        return set()
-    return decide_numeric(numeric_profile_row(source, target, columns, fraction), columns)
+def _cells(df: DataFrame, columns: list[str], keys: set[str], side: str) -> DataFrame:
+    """side, column_name, raw text, text as a key is compared, stripped text, and whether it looks like a date."""
+    cell = F.array(*[F.struct(F.lit(c).alias("column_name"), blank_nulls(q(c)).alias("raw"), F.lit(c in keys).alias("is_key"))
+                     for c in columns])
+    rows = (df.select(F.inline(cell))
+            .select(F.lit(side).alias("side"), "column_name", "raw", "is_key", py_strip(F.col("raw")).alias("stripped")))
+    rows = rows.select("*", F.when(F.col("is_key"), normalize_key("raw")).otherwise(F.col("raw")).alias("final"),
+                       (~is_sentinel(F.col("stripped"))).alias("real"))
+    return rows.withColumn("looks", F.col("real") & date_like(F.col("stripped")))
 
 
-# ---------------------------------------------------------------------------
-# DataFrame views of the profiles (for reports and the query registry)
-# ---------------------------------------------------------------------------
+def text_counts(cells: DataFrame) -> DataFrame:
+    """First step: one row of counters per side and column."""
+    real, castable, dash = numeric_stats(F.col("final"))
+    n = lambda c: F.count_if(c).cast("bigint")
+    return cells.groupBy("side", "column_name").agg(
+        F.count(F.lit(1)).alias("rows"), n(F.col("real")).alias("nonsentinel"), n(F.col("looks")).alias("date_like"),
+        n(real).alias("numbers_of"), n(castable).alias("castable"), n(dash).alias("with_dash"))
 
-def date_profile_frame(df: DataFrame, columns: list[str], side: str) -> DataFrame:
-    """Per column: non-sentinel and date-like counts and the auto-detect verdict
-    (as a DataFrame; the aggregation stays on the executors)."""
-    aggs = []
-    for c in columns:
-        v = py_strip(blank_nulls(q(c)))
-        real = ~is_sentinel(v)
-        aggs.append(F.struct(F.lit(c).alias("column_name"),
-                             F.count_if(real).alias("nonsentinel"),
-                             F.count_if(real & date_like(v)).alias("date_like")))
-    row = df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
-    need = F.greatest(F.col("nonsentinel") * F.lit(DATE_SHARE), F.lit(1.0))
-    return row.select(F.lit(side).alias("side"), "column_name", "nonsentinel", "date_like",
-                      ((F.col("nonsentinel") > 0) & (F.col("date_like") >= need)).alias("is_date"))
-
-
-def date_format_frame(df: DataFrame, columns: list[str], side: str) -> DataFrame:
-    """Per column: parse count of every common format and the chosen format
-    (first in list order reaching the share), null when none does."""
-    aggs = []
-    for c in columns:
-        v = py_strip(blank_nulls(q(c)))
-        real = ~is_sentinel(v)
-        looks = real & date_like(v)
-        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count_if(real).alias("nonsentinel"),
-                             *[F.count_if(looks & parse_with(v, f).isNotNull()).alias(f"p{j}")
-                               for j, f in enumerate(FORMATS)]))
-    row = df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
-    need = F.greatest(F.col("nonsentinel") * F.lit(DATE_SHARE), F.lit(1.0))
-    chosen = F.lit(None).cast("string")
-    for j in reversed(range(len(FORMATS))):
-        chosen = F.when((F.col("nonsentinel") > 0) & (F.col(f"p{j}") >= need), F.lit(FORMATS[j].strftime)).otherwise(chosen)
-    return row.select(F.lit(side).alias("side"), "column_name", "nonsentinel",
-                      *[F.col(f"p{j}").alias(f"parsed_{j}") for j in range(len(FORMATS))],
-                      chosen.alias("date_format"))
 
+def format_counts(cells: DataFrame) -> DataFrame:
+    """Second step: per side and column how many texts each known format parses (``parsed_j``; ``exact_j`` without
+    stripping), and the number counters of the values that the no-format rule leaves."""
+    looks = F.col("looks")
+    same = F.col("raw") == F.col("stripped")
+    parsed = [(looks & parse_with(F.col("stripped"), f).isNotNull()).alias(f"p{j}") for j, f in enumerate(FORMATS)]
+    real, castable, dash = numeric_stats(F.col("final"))
+    tested = cells.select("side", "column_name", "real", same.alias("same"), *parsed,
+                          (looks & fallback_parse("raw").isNotNull()).alias("dated"),
+                          real.alias("n_real"), castable.alias("n_cast"), dash.alias("n_dash"))
+    dated = F.col("dated")
+    n = lambda c: F.count_if(c).cast("bigint")
+    return tested.groupBy("side", "column_name").agg(
+        n(F.col("real")).alias("nonsentinel"),
+        *[n(F.col(f"p{j}")).alias(f"parsed_{j}") for j in range(len(FORMATS))],
+        *[n(F.col(f"p{j}") & F.col("same")).alias(f"exact_{j}") for j in range(len(FORMATS))],
+        n(dated | F.col("n_real")).alias("f_numbers_of"), n(~dated & F.col("n_cast")).alias("f_castable"),
+        n(~dated & F.col("n_dash")).alias("f_with_dash"))
 
-def numeric_profile_frame(source: DataFrame, target: DataFrame, columns: list[str]) -> DataFrame:
-    both = source.select(*[q(c) for c in columns]).unionByName(target.select(*[q(c) for c in columns]))
-    aggs = []
-    for c in columns:
-        real, castable, dash = numeric_stats(q(c))
-        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count_if(real).alias("nonsentinel"),
-                             F.count_if(castable).alias("castable"), F.count_if(dash).alias("with_dash")))
-    row = both.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
-    tot = F.col("nonsentinel")
-    is_num = (tot > 0) & (F.col("castable") / tot >= NUMERIC_SHARE) & (F.col("with_dash") / tot < DASH_SHARE)
-    return row.select("column_name", "nonsentinel", "castable", "with_dash", F.coalesce(is_num, F.lit(False)).alias("is_numeric"))
 
+def enough(n: int) -> float:
+    """How many of ``n`` texts must match for a column to count as dates, or for a format to be chosen."""
+    return max(n * DATE_SHARE, 1)
 
-# ---------------------------------------------------------------------------
-# Single-pass profile: dates (both sides) and numbers (pooled) in ONE job
-# ---------------------------------------------------------------------------
 
-@dataclass(frozen=True)
-class Profile:
-    source_dates: dict[str, DateDecision]
-    target_dates: dict[str, DateDecision]
-    numeric: set[str]
-    total_rows: int
+def chosen_format(counts) -> DateFormat | None:
+    """The first format in list order that reaches the share."""
+    n = counts["nonsentinel"] if counts else 0
+    return next((f for j, f in enumerate(FORMATS) if n and counts[f"parsed_{j}"] >= enough(n)), None)
 
 
-def _cells_frame(df: DataFrame, columns: list[str], numeric_cols: set[str], keys: set[str], tag: int) -> DataFrame:
-    """Profile cells: one row per (input row, column) with everything both
-    decisions need, built in staged projections so that no rule's expression
-    tree is copied into another (Spark keeps a projection boundary where a
-    costly column is read more than once, and code generation stays small).
-
-    Date part: non-sentinel, date-like, bitmask of the common formats that
-    parse the stripped text (tried only on date-like values: every format
-    shape implies date-like), and whether the raw text equals its stripped
-    form (a known format parses the raw text). Number part: the indicators of
-    the final value if the column stays text (keys normalised twice) and if it
-    falls back to the no-format date rule: a value the fallback parses becomes
-    yyyy/MM/dd text (present, not a number, no dash), any other is unchanged.
-    """
-    from tally.functions.clean import normalize_key
-    from tally.functions.dates import fallback_parse
-    n = len(columns)
-    # stage 1: text as profiled, and the final text of a non-date column
-    st1 = df.select(*[blank_nulls(q(c)).alias(f"v{i}") for i, c in enumerate(columns)],
-                    *[(normalize_key(q(c)) if c in keys else q(c)).alias(f"k{i}") for i, c in enumerate(columns)])
-    # stage 2: stripped text
-    st2 = st1.select(*[F.col(f"v{i}") for i in range(n)], *[F.col(f"k{i}") for i in range(n)],
-                     *[py_strip(F.col(f"v{i}")).alias(f"s{i}") for i in range(n)])
-    # stage 3: date-like test
-    looks3 = []
-    for i in range(n):
-        real = ~is_sentinel(F.col(f"s{i}"))
-        looks3 += [real.alias(f"real{i}"), (real & date_like(F.col(f"s{i}"))).alias(f"looks{i}")]
-    st3 = st2.select("*", *looks3)
-    # stage 4: formats, exactness, number indicators, fallback parse
-    out4 = []
-    for i, c in enumerate(columns):
-        looks, sv = F.col(f"looks{i}"), F.col(f"s{i}")
-        mask = F.lit(0)
-        for j, fmt in enumerate(FORMATS):
-            mask = mask + F.when(parse_with(sv, fmt).isNotNull(), F.lit(1 << j)).otherwise(F.lit(0))
-        out4 += [F.col(f"real{i}"), looks, (looks & (F.col(f"v{i}") == sv)).alias(f"exact{i}"),
-                 F.when(looks, mask).otherwise(F.lit(0)).alias(f"mask{i}")]
-        if c in numeric_cols:
-            nr, nc, nd = numeric_stats(F.col(f"k{i}"))
-            dated = looks & fallback_parse(F.col(f"v{i}")).isNotNull()
-        else:
-            nr = nc = nd = dated = F.lit(False)
-        out4 += [nr.alias(f"n_real{i}"), nc.alias(f"n_cast{i}"), nd.alias(f"n_dash{i}"), dated.alias(f"dated{i}")]
-    st4 = st3.select(*out4)
-    # stage 5: fallback outcome indicators, then one packed code per column:
-    # code = column id << 20 | format mask << 9 | nine indicator bits, so the
-    # count groups on a single bigint (decoded on the driver).
-    codes = []
-    for i in range(n):
-        dated = F.col(f"dated{i}")
-        bits = [F.col(f"real{i}"), F.col(f"looks{i}"), F.col(f"exact{i}"), F.col(f"n_real{i}"),
-                F.col(f"n_cast{i}"), F.col(f"n_dash{i}"), dated | F.col(f"n_real{i}"),
-                ~dated & F.col(f"n_cast{i}"), ~dated & F.col(f"n_dash{i}")]
-        code = F.lit((tag * 1000 + i) << 20).cast("bigint") + F.col(f"mask{i}").cast("bigint") * F.lit(1 << 9)
-        for b, bit in enumerate(bits):
-            code = code + F.when(bit, F.lit(1 << b)).otherwise(F.lit(0))
-        codes.append(code)
-    return st4.select(F.explode(F.array(*codes)).alias("code"))
-
-
-_BITS = ["real", "looks", "exact", "n_real", "n_cast", "n_dash", "f_real", "f_cast", "f_dash"]
-
-
-def _decode(code: int) -> dict:
-    col = code >> 20
-    out = {"col": f"{'st'[col // 1000]}{col % 1000}", "mask": (code >> 9) & ((1 << len(FORMATS)) - 1)}
-    out.update({name: bool(code >> b & 1) for b, name in enumerate(_BITS)})
-    return out
+def _by_column(counts: DataFrame) -> dict:
+    return {(r["side"], r["column_name"]): r for r in counts.collect()}
 
 
 def profile_both(source: DataFrame, target: DataFrame, compare: list[str], keys: list[str],
-                 s_explicit: set[str], t_explicit: set[str], auto_detect: bool = True,
-                 fraction: float | None = None) -> Profile:
-    """Date columns and formats per side plus number columns (pooled over
-    both sides) from ONE grouped count over profile cells of both inputs.
+                 s_explicit: set[str], t_explicit: set[str], auto_detect: bool = True) -> Profile:
+    """Date columns and formats per side, number columns over both sides.
+
     ``source``/``target`` carry keys normalised once (the date profile input)."""
-    s_cols = _date_columns([c for c in compare if c not in s_explicit] if auto_detect else [], s_explicit)
-    t_cols = _date_columns([c for c in compare if c not in t_explicit] if auto_detect else [], t_explicit)
-    s_cols += [c for c in compare if c not in s_cols]
-    t_cols += [c for c in compare if c not in t_cols]
-    num = set(compare)
+    sides = {"source": (source, s_explicit), "target": (target, t_explicit)}
     key_set = set(keys)
-    s_cells = _cells_frame(_maybe_sample(source, fraction), s_cols, num, key_set, 0)
-    t_cells = _cells_frame(_maybe_sample(target, fraction), t_cols, num, key_set, 1)
-    groups = [dict(_decode(int(r["code"])), count=r["count"])
-              for r in s_cells.unionByName(t_cells).groupBy("code").count().collect()]
-
-    sums: dict = {}
-    def add(k, n):
-        sums[k] = sums.get(k, 0) + n
-    for g in groups:
-        c, n = g["col"], int(g["count"])
-        if g["real"]:
-            add(f"{c}n", n)
-        if g["looks"]:
-            add(f"{c}d", n)
-            for j in range(len(FORMATS)):
-                if g["mask"] >> j & 1:
-                    add(f"{c}p{j}", n)
-                    if g["exact"]:
-                        add(f"{c}e{j}", n)
-        for k in ("n_real", "n_cast", "n_dash", "f_real", "f_cast", "f_dash"):
-            if g[k]:
-                add(f"{c}{k}", n)
-        if c in ("s0", "t0"):
-            add("rows", n)
-
-    auto_s = [c for c in s_cols if c not in s_explicit and auto_detect and c in compare]
-    auto_t = [c for c in t_cols if c not in t_explicit and auto_detect and c in compare]
-    s_dec = _decide(sums, s_cols, s_explicit, auto_s, "s")
-    t_dec = _decide(sums, t_cols, t_explicit, auto_t, "t")
-
-    def side_stats(c: str, cols: list[str], dec: dict, tag: str) -> tuple[int, int, int]:
-        i = cols.index(c)
-        d = dec.get(c)
-        if d is None or not d.is_date:
-            return tuple(sums.get(f"{tag}{i}{k}", 0) for k in ("n_real", "n_cast", "n_dash"))
+
+    def all_cells(columns: dict[str, list[str]]) -> DataFrame | None:
+        parts = [_cells(sides[s][0], cols, key_set, s) for s, cols in columns.items() if cols]
+        return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
+
+    profiled = {s: list(dict.fromkeys([*compare, *sorted(explicit)])) for s, (_, explicit) in sides.items()}
+    text = _by_column(text_counts(all_cells(profiled)))
+
+    def detected(side: str, c: str) -> bool:
+        r = text.get((side, c))
+        return bool(r and r["nonsentinel"] and r["date_like"] >= enough(r["nonsentinel"]))
+
+    dates = {s: [c for c in cols if c in sides[s][1] or (auto_detect and c in compare and detected(s, c))]
+             for s, cols in profiled.items()}
+    cells = all_cells(dates)
+    formats = _by_column(format_counts(cells)) if cells is not None else {}
+
+    decisions: dict[str, dict[str, DateDecision]] = {}
+    for side, (_, explicit) in sides.items():
+        decisions[side] = {}
+        for c in profiled[side]:
+            r, f = text.get((side, c)), formats.get((side, c))
+            parses = tuple(f[f"parsed_{j}"] if f else 0 for j in range(len(FORMATS)))
+            decisions[side][c] = DateDecision(c, r["nonsentinel"] if r else 0, r["date_like"] if r else 0, parses,
+                                              c in explicit, c in dates[side], chosen_format(f))
+
+    def compared(side: str, c: str) -> tuple[int, int, int]:
+        """Number counters of the values that will be compared."""
+        r, f, d = text.get((side, c)), formats.get((side, c)), decisions[side][c]
+        if r is None:
+            return 0, 0, 0
+        if not d.is_date or f is None:
+            return r["numbers_of"], r["castable"], r["with_dash"]
         if d.fmt is None:
-            return tuple(sums.get(f"{tag}{i}{k}", 0) for k in ("f_real", "f_cast", "f_dash"))
-        j = FORMATS.index(d.fmt)
-        return sums.get(f"{tag}{i}e{j}", 0), 0, 0      # normalised dates: text, no dash
-
-    numeric = set()
-    for c in compare:
-        a, b = side_stats(c, s_cols, s_dec, "s"), side_stats(c, t_cols, t_dec, "t")
-        tot, nc, dc = a[0] + b[0], a[1] + b[1], a[2] + b[2]
-        if tot and nc / tot >= NUMERIC_SHARE and dc / tot < DASH_SHARE:
-            numeric.add(c)
-    return Profile(s_dec, t_dec, numeric, sums.get("rows", 0))
-
-
-def _decide(sums: dict, cols: list[str], explicit: set[str], auto: list[str], tag: str) -> dict[str, DateDecision]:
-    """Date decisions for the explicit and auto-detected columns of one side."""
-    out = {}
-    for i, c in enumerate(cols):
-        if c not in explicit and c not in auto:
-            continue
-        n, d = sums.get(f"{tag}{i}n", 0), sums.get(f"{tag}{i}d", 0)
-        parses = tuple(sums.get(f"{tag}{i}p{j}", 0) for j in range(len(FORMATS)))
-        need = max(n * DATE_SHARE, 1)
-        is_date = c in explicit or (n > 0 and d >= need)
-        fmt = next((f for f, p in zip(FORMATS, parses) if n > 0 and p >= need), None)
-        out[c] = DateDecision(c, n, d, parses, c in explicit, is_date, fmt)
-    return out
+            return f["f_numbers_of"], f["f_castable"], f["f_with_dash"]
+        return f[f"exact_{FORMATS.index(d.fmt)}"], 0, 0      # yyyy/MM/dd: text without a dash
+
+    numbers = {c: NumberDecision(c, *(a + b for a, b in zip(compared("source", c), compared("target", c)))) for c in compare}
+    rows = sum(text[s, compare[0]]["rows"] for s in sides if compare and (s, compare[0]) in text)
+    return Profile(decisions["source"], decisions["target"], numbers, rows)
+
+
+def detect_dates(df: DataFrame, columns: list[str], explicit: set[str]) -> dict[str, DateDecision]:
+    """Date decisions of one table."""
+    empty = df.limit(0)
+    return profile_both(df, empty, columns, [], explicit, set()).source_dates
+
+
+# ---------------------------------------------------------------------------
+# The same counters as tables
+# ---------------------------------------------------------------------------
+
+def date_profile_frame(df: DataFrame, columns: list[str], side: str, keys: list[str] = ()) -> DataFrame:
+    """Per column: non-sentinel and date-like counts and the auto-detect verdict."""
+    need = F.greatest(F.col("nonsentinel") * F.lit(DATE_SHARE), F.lit(1.0))
+    return (text_counts(_cells(df, columns, set(keys), side))
+            .select("side", "column_name", "nonsentinel", "date_like",
+                    ((F.col("nonsentinel") > 0) & (F.col("date_like") >= need)).alias("is_date")))
+
+
+def date_format_frame(df: DataFrame, columns: list[str], side: str, keys: list[str] = ()) -> DataFrame:
+    """Per column: parse count of every common format and the chosen format, null when none does."""
+    need = F.greatest(F.col("nonsentinel") * F.lit(DATE_SHARE), F.lit(1.0))
+    chosen = F.lit(None).cast("string")
+    for j in reversed(range(len(FORMATS))):
+        chosen = F.when((F.col("nonsentinel") > 0) & (F.col(f"parsed_{j}") >= need), F.lit(FORMATS[j].strftime)).otherwise(chosen)
+    return (format_counts(_cells(df, columns, set(keys), side))
+            .select("side", "column_name", "nonsentinel", *[f"parsed_{j}" for j in range(len(FORMATS))],
+                    chosen.alias("date_format")))
+
+
+def numeric_profile_frame(profile: Profile, like: DataFrame) -> DataFrame:
+    """Per compared column the pooled number counters and the verdict (one driver row per column)."""
+    rows = [(d.column, d.nonsentinel, d.castable, d.with_dash, d.is_numeric) for d in profile.numbers.values()]
+    return like.sparkSession.createDataFrame(
+        rows, "column_name string, nonsentinel bigint, castable bigint, with_dash bigint, is_numeric boolean")

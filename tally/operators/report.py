@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions.clean import blank_nulls
-from tally.operators.diff import COLUMN_NAME, any_flag, src, tgt
+from tally.operators.diff import ANY, COLUMN_NAME, src, tgt
+from tally.operators.names import q
 from tally.operators.normalize import KEY
-from tally.operators.pair import (MATCHED, MISSING_IN_SOURCE, MISSING_IN_TARGET, NS, NT, RN, S,
-                                  STATUS, SURPLUS_IN_SOURCE, SURPLUS_IN_TARGET, TT)
-from tally.operators.positions import global_positions
-from tally.operators.profile import q
+from tally.operators.pair import (HAS_S, HAS_T, MATCHED, MISSING_IN_SOURCE, MISSING_IN_TARGET, NS, NT, RN,
+                                  STATUS, SURPLUS_IN_SOURCE, SURPLUS_IN_TARGET, source_name, target_name)
+from tally.operators.positions import POS, global_positions
 
 RECORD_STATUS = "Record Status"
 COUNT = "Count"
@@ -29,12 +29,12 @@ def _status(name: str) -> Column:
 
 
 def column_counts(paired: DataFrame, fl: dict[str, Column], labels: dict[str, str]) -> DataFrame:
-    """Discrepancies per column (only columns with any), one aggregate."""
+    """Discrepancies per column (only columns with any), most first, then by label; one aggregate."""
     is_m = _status(MATCHED)
     row = paired.agg(F.array(*[F.struct(F.lit(labels[c]).alias(COLUMN_NAME),
                                         F.count_if(is_m & f).cast("bigint").alias(COUNT))
                                for c, f in fl.items()]).alias("a"))
-    return row.select(F.inline("a")).where(F.col(COUNT) > 0)
+    return row.select(F.inline("a")).where(F.col(COUNT) > 0).orderBy(F.desc(COUNT), q(COLUMN_NAME))
 
 
 def columns_with_diffs(paired: DataFrame, fl: dict[str, Column]) -> DataFrame:
@@ -45,51 +45,72 @@ def columns_with_diffs(paired: DataFrame, fl: dict[str, Column]) -> DataFrame:
     return row.select(F.inline("a")).where(F.col("has_diff")).select("column_name")
 
 
-def summary(paired: DataFrame, fl: dict[str, Column], labels: dict[str, str],
-            source_label: str, target_label: str) -> DataFrame:
-    """Ordered (ordinal, metric, value) rows from ONE aggregate."""
+#: Counters of a reconciliation, in the order of the summary; ``per_column`` follows them.
+COUNTERS = ("source_rows", "target_rows", "matched", "missing_in_source", "missing_in_target", "surplus_in_source",
+            "surplus_in_target", "duplicate_key_rows_in_source", "duplicate_key_rows_in_target", "records_affected")
+
+
+def counters(fl: dict[str, Column]) -> list[Column]:
+    """The aggregates behind every count, over paired rows: COUNTERS, then ``n0``, ``n1``, ... per compared column."""
     is_m = _status(MATCHED)
-    has_s, has_t = F.col(S).isNotNull(), F.col(TT).isNotNull()
-    n = lambda cond: F.count_if(cond).cast("bigint")
-    agg = paired.agg(
-        n(has_s).alias("src_rows"), n(has_t).alias("tgt_rows"), n(is_m).alias("matched"),
-        n(_status(MISSING_IN_SOURCE)).alias("miss_s"), n(_status(MISSING_IN_TARGET)).alias("miss_t"),
-        n(_status(SURPLUS_IN_SOURCE)).alias("sur_s"), n(_status(SURPLUS_IN_TARGET)).alias("sur_t"),
-        n(has_s & (F.col(NS) > 1)).alias("dup_s"), n(has_t & (F.col(NT) > 1)).alias("dup_t"),
-        n(is_m & any_flag(fl)).alias("affected"),
-        F.array(*[F.struct((-F.count_if(is_m & f)).cast("bigint").alias("neg"), F.lit(labels[c]).alias("label"))
-                  for c, f in fl.items()]).alias("per_col"))
-    total = F.aggregate("per_col", F.lit(0).cast("bigint"), lambda acc, x: acc - x["neg"])
+    conditions = [F.col(HAS_S), F.col(HAS_T), is_m, _status(MISSING_IN_SOURCE), _status(MISSING_IN_TARGET),
+                  _status(SURPLUS_IN_SOURCE), _status(SURPLUS_IN_TARGET), F.col(HAS_S) & (F.col(NS) > 1),
+                  F.col(HAS_T) & (F.col(NT) > 1), is_m & F.col(ANY)]
+    return ([F.count_if(c).cast("bigint").alias(n) for n, c in zip(COUNTERS, conditions)]
+            + [F.count_if(is_m & f).cast("bigint").alias(f"n{i}") for i, f in enumerate(fl.values())])
+
+
+ALL_MATCHED, SOME_DIFFER = "All mapped columns matched perfectly", "Discrepancies found"
+
+
+def summary(totals: DataFrame, labels: list[str], source_label: str, target_label: str,
+            source_name: str, target_name: str) -> DataFrame:
+    """Ordered (ordinal, metric, value, text) rows from the one row of ``counters``."""
+    n = {c: F.col(c) for c in COUNTERS}
+    per_column = [F.struct((-F.col(f"n{i}")).alias("neg"), F.lit(label).alias("label")) for i, label in enumerate(labels)]
+    total = F.lit(0).cast("bigint")
+    for i in range(len(labels)):
+        total = total + F.col(f"n{i}")
+    missing_both = n["missing_in_source"] + n["missing_in_target"]
     S_, T_ = source_label, target_label
+    no_text, no_value = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     fixed = [
-        (1, f"{S_} Records Count", F.col("src_rows")),
-        (2, f"{T_} Records Count", F.col("tgt_rows")),
-        (3, "Matched Records", F.col("matched")),
-        (4, f"Records Missing in {S_}", F.col("miss_s")),
-        (5, f"Records Missing in {T_}", F.col("miss_t")),
-        (6, "Total Missing Records", F.col("miss_s") + F.col("miss_t")),
-        (7, f"Surplus Duplicates in {S_}", F.col("sur_s")),
-        (8, f"Surplus Duplicates in {T_}", F.col("sur_t")),
-        (9, f"Duplicate Key Rows in {S_}", F.col("dup_s")),
-        (10, f"Duplicate Key Rows in {T_}", F.col("dup_t")),
-        (1000, "Unique Records with Discrepancies", F.col("affected")),
-        (1001, "Total Data Discrepancies (cell-level)", total),
-        (1002, "Total Validation Issues", F.col("miss_s") + F.col("miss_t") + total),
+        (-1, f"{S_} File", no_value, F.lit(source_name)),
+        (0, f"{T_} File", no_value, F.lit(target_name)),
+        (1, f"{S_} Records Count", n["source_rows"], no_text),
+        (2, f"{T_} Records Count", n["target_rows"], no_text),
+        (3, "Matched Records", n["matched"], no_text),
+        (4, f"Records Missing in {S_}", n["missing_in_source"], no_text),
+        (5, f"Records Missing in {T_}", n["missing_in_target"], no_text),
+        (6, "Total Missing Records", missing_both, no_text),
+        (7, f"Surplus Duplicates in {S_}", n["surplus_in_source"], no_text),
+        (8, f"Surplus Duplicates in {T_}", n["surplus_in_target"], no_text),
+        (9, f"Duplicate Key Rows in {S_}", n["duplicate_key_rows_in_source"], no_text),
+        (10, f"Duplicate Key Rows in {T_}", n["duplicate_key_rows_in_target"], no_text),
+        (1000, "Unique Records with Discrepancies", n["records_affected"], no_text),
+        (1001, "Total Data Discrepancies (cell-level)", total, no_text),
+        (1002, "Total Validation Issues", missing_both + total, no_text),
+        (1003, "Status", no_value, F.when(total == 0, F.lit(ALL_MATCHED)).otherwise(F.lit(SOME_DIFFER))),
     ]
-    fixed_arr = F.array(*[F.struct(F.lit(o).cast("bigint").alias("ordinal"), F.lit(m).alias("metric"),
-                                   v.cast("bigint").alias("value")) for o, m, v in fixed])
-    ranked = F.sort_array(F.filter("per_col", lambda x: x["neg"] < 0))
-    per_col = F.transform(ranked, lambda x, i: F.struct((F.lit(100) + i).cast("bigint").alias("ordinal"),
-                                                        F.concat(F.lit("Discrepancies: "), x["label"]).alias("metric"),
-                                                        (-x["neg"]).alias("value")))
-    return agg.select(F.inline(F.concat(fixed_arr, per_col)))
+    row = lambda o, m, v, t: F.struct(o.cast("bigint").alias("ordinal"), m.alias("metric"),
+                                      v.cast("bigint").alias("value"), t.alias("text"))
+    lines = F.array(*[row(F.lit(o), F.lit(m), v, t) for o, m, v, t in fixed])
+    ranked = F.sort_array(F.filter(F.array(*per_column), lambda x: x["neg"] < 0))
+    columns = F.transform(ranked, lambda x, i: row(F.lit(100) + i, F.concat(F.lit("Discrepancies: "), x["label"]), -x["neg"], no_text))
+    return totals.select(F.inline(F.concat(lines, columns)))
+
 
+def missing(paired: DataFrame, status: str, side: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of one side whose key is absent from the other side, all columns of
+    that side (target columns under their source names).
 
-def missing(paired: DataFrame, status: str, columns: list[str]) -> DataFrame:
-    """Rows of one side whose key is absent from the other side, all columns
-    of that side (target columns under their source names)."""
-    side = S if status == MISSING_IN_TARGET else TT
-    return paired.where(_status(status)).select(*[F.col(side).getField(c).alias(c) for c in columns])
+    From the paired rows if they hold all these columns, else the side's own rows
+    with the keys that are missing (every row of such a key is missing)."""
+    name = source_name if status == MISSING_IN_TARGET else target_name
+    lost = paired.where(_status(status))
+    if all(name(c) in paired.columns for c in columns):
+        return lost.select(*[q(name(c)).alias(c) for c in columns])
+    return side.join(lost.select(KEY).distinct(), KEY, "left_semi").select(*[q(c) for c in columns])
 
 
 def with_comments(df: DataFrame, comment_columns: tuple[str, ...]) -> DataFrame:
@@ -125,12 +146,18 @@ def discrepancy_report(cells: DataFrame, keys: list[str], include: list[str], va
     return with_comments(ordered, comment_columns)
 
 
+MERGED_ROWS = 10_000   # rows a top-n may send from each task to be merged
+
+
 def top_n(cells: DataFrame, keys: list[str], include: list[str], value_names: tuple[str, str], n: int,
-          comment_columns: tuple[str, ...] = ()) -> DataFrame:
-    """First ``n`` report rows in report order (TakeOrderedAndProject: each
-    task keeps its own top n, the driver merges n per task)."""
+          comment_columns: tuple[str, ...] = (), partitions: int = 1) -> DataFrame:
+    """First ``n`` report rows in report order: each task's own first rows merged, or, where
+    that merge would be large, the rows with the first ``n`` positions of the distributed sort."""
     cols = report_columns(keys, include, value_names, cells.columns)
-    return with_comments(cells.orderBy(*report_order(keys)).limit(n).select(*[q(c) for c in cols]), comment_columns)
+    order = report_order(keys)
+    first = (cells.orderBy(*order).limit(n) if n <= MERGED_ROWS
+             else global_positions(cells, order, partitions).where(F.col(POS) < n).orderBy(*order))
+    return with_comments(first.select(*[q(c) for c in cols]), comment_columns)
 
 
 def paginate(cells: DataFrame, keys: list[str], include: list[str], value_names: tuple[str, str],

@@ -62,11 +62,38 @@ LINES_TGT = """select cast(l_orderkey as string) as ok, cast(l_linenumber as str
   case when l_suppkey%31=0 then lower(l_returnflag) else l_returnflag end as rf
 from lineitem where l_partkey%101<>0"""
 
-CUST_SRC = """select cast(c_custkey as string) as id, c_name as name, cast(cast(c_acctbal as decimal(18,2)) as string) as bal, c_mktsegment as seg
-from customer where c_acctbal<2000"""
+_BALANCE = """case when c_custkey%4=0 then '-' else '' end||cast(cast(abs(c_acctbal) as decimal(18,2)) as string)"""
 
-CUST_TGT = """select cast(c_custkey as string) as id, c_name as name, cast(cast(c_acctbal as decimal(18,2)) as string)||'0' as bal, c_mktsegment as seg
-from customer where c_acctbal<2000"""
+CUST_SRC = f"""select cast(c_custkey as string) as id, c_name as name, {_BALANCE} as bal, c_mktsegment as seg
+from customer"""
+
+CUST_TGT = f"""select cast(c_custkey as string) as id, c_name as name, {_BALANCE}||'0' as bal, c_mktsegment as seg
+from customer"""
+
+# One key column that repeats, no order given, an unmapped column on the target only.
+DUPS_SRC = """select cast(l_orderkey as string) as ok, cast(l_partkey as string) as pk,
+  cast(cast(l_extendedprice as decimal(18,2)) as string) as price, l_returnflag as rf from lineitem"""
+
+DUPS_TGT = """select cast(l_orderkey as string) as ok, cast(l_partkey as string) as pk, cast(l_suppkey as string) as extra,
+  cast(cast(l_extendedprice + case when l_partkey%59=0 then 1 else 0 end as decimal(18,2)) as string) as price, l_returnflag as rf
+from lineitem"""
+
+# A third of all rows under one key.
+HOT_SRC = """select case when l_orderkey%3=0 then 'hot' else cast(l_orderkey as string) end as ok, cast(l_partkey as string) as pk,
+  cast(cast(l_extendedprice as decimal(18,2)) as string) as price from lineitem"""
+
+HOT_TGT = """select case when l_orderkey%3=0 then 'hot' else cast(l_orderkey as string) end as ok, cast(l_partkey as string) as pk,
+  cast(cast(l_extendedprice + case when l_partkey%61=0 then 1 else 0 end as decimal(18,2)) as string) as price from lineitem
+where l_partkey%107<>0"""
+
+# Cells that a careless text file would spoil: blanks at both ends, quotes, commas, line ends, backslashes.
+TEXTS_SRC = """select cast(o_orderkey as string) as id, '  '||o_orderpriority||' "x", '||chr(92)||' ' as note,
+  o_orderstatus as status from orders"""
+
+TEXTS_TGT = """select cast(o_orderkey as string) as id,
+  case when o_orderkey%7=0 then '"'||o_orderpriority||'"'||chr(10)||'z, ' when o_orderkey%11=0 then ''
+       else '  '||o_orderpriority||' "x", '||chr(92)||' ' end as note,
+  case when o_orderkey%13=0 then '" '||o_orderstatus else o_orderstatus end as status from orders"""
 
 CONV_SRC = """select cast(conv_id as string) as conv_id, cast(turn as string) as turn, role, text from conversations"""
 
@@ -86,6 +113,9 @@ _ORDERS_MAP = (("order_id", "order_no"), ("customer", "cust_no"), ("status", "or
                ("total", "amount"), ("order_date", "ordered_on"), ("priority", "prio"))
 _LINES = ("ok", "ln", "pk", "sk", "qty", "price", "rf")
 _CUST = ("id", "name", "bal", "seg")
+_DUPS = ("ok", "pk", "price", "rf")
+_HOT = ("ok", "pk", "price")
+_TEXTS = ("id", "note", "status")
 _CONV = ("conv_id", "turn", "role", "text")
 _EVENTS = ("event_id", "ts", "event_type", "value", "props")
 
@@ -99,6 +129,15 @@ FIXTURES: dict[str, Fixture] = {
     "cust": Fixture("cust", CUST_SRC, CUST_TGT, _CUST, _CUST,
                     ReconSpec(mappings=_identity(_CUST), key_columns=("id",),
                               source_name="cust_src", target_name="cust_tgt"), ("customer",)),
+    "dups": Fixture("dups", DUPS_SRC, DUPS_TGT, _DUPS, ("ok", "pk", "extra", "price", "rf"),
+                    ReconSpec(mappings=_identity(_DUPS), key_columns=("ok",),
+                              source_name="dups_src", target_name="dups_tgt"), ("lineitem",)),
+    "hot": Fixture("hot", HOT_SRC, HOT_TGT, _HOT, _HOT,
+                   ReconSpec(mappings=_identity(_HOT), key_columns=("ok",),
+                             source_name="hot_src", target_name="hot_tgt"), ("lineitem",)),
+    "texts": Fixture("texts", TEXTS_SRC, TEXTS_TGT, _TEXTS, _TEXTS,
+                     ReconSpec(mappings=_identity(_TEXTS), key_columns=("id",),
+                               source_name="texts_src", target_name="texts_tgt"), ("orders",)),
     "conv": Fixture("conv", CONV_SRC, CONV_TGT, _CONV, _CONV,
                     ReconSpec(mappings=_identity(_CONV), key_columns=("conv_id", "turn"),
                               source_name="conv_src", target_name="conv_tgt"), ("conversations",)),

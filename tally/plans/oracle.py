@@ -47,8 +47,12 @@ def guarded_double(y: str) -> str:
 
 def clean_number(x: str) -> str:
     y = f"trim(replace(replace({squash(x)}, '%', ''), ',', ''))"
-    factor = float(10 ** C.NUMERIC_SCALE)
-    return f"(round_even({guarded_double(y)} * {factor}, 0) / {factor})"
+    return round_even4(guarded_double(y))
+
+
+def round_even4(d: str) -> str:
+    """Four places, ties to even; from 2^53 on there is nothing to round."""
+    return f"(case when abs({d}) < 9007199254740992 then round_even({d} * 10000, 0) / 10000 else {d} end)"
 
 
 def normalize_key(x: str) -> str:
@@ -62,9 +66,20 @@ def composite_key(cols: list[str]) -> str:
 
 
 def float_to_int_text(x: str) -> str:
-    d = f"cast({x} as double)"
-    return (f"(case when try_cast({d} as bigint) is not null and cast(try_cast({d} as bigint) as double) = {d} "
-            f"and {d} = trunc({d}) then cast(try_cast({d} as bigint) as varchar) else cast({d} as varchar) end)")
+    """Shortest digits without exponent: the exponent moves the point in the digits."""
+    t = f"cast({x} as varchar)"
+    mantissa, power = f"split_part({t}, 'e', 1)", f"cast(split_part({t}, 'e', 2) as int)"
+    sign = f"(case when starts_with({t}, '-') then '-' else '' end)"
+    bare = f"ltrim({mantissa}, '-')"
+    whole = f"split_part({bare}, '.', 1)"
+    digits = f"({whole} || rtrim(split_part({bare}, '.', 2), '0'))"
+    point = f"(length({whole}) + {power})"
+    moved = (f"(case when {point} <= 0 then '0.' || repeat('0', -{point}) || {digits} "
+             f"when {point} >= length({digits}) then {digits} || repeat('0', {point} - length({digits})) "
+             f"else substr({digits}, 1, {point}) || '.' || substr({digits}, {point} + 1) end)")
+    name = f"(case when isnan({x}) then 'NaN' when isinf({x}) then (case when {x} > 0 then 'Infinity' else '-Infinity' end) end)"
+    return (f"(case when isnan({x}) or isinf({x}) then {name} when contains({t}, 'e') then {sign} || {moved} "
+            f"else regexp_replace({t}, '[.]0$', '') end)")
 
 
 def diff_numeric(a: str, b: str) -> str:
@@ -198,12 +213,13 @@ class FixturePlan:
 
     def pair_ctes(self) -> list[str]:
         al = self.al
-        order = "".join(f"{ident(c)} asc nulls first, " for c in self.spec.order_by) or ""
         s_cols, t_cols = al.source_columns, al.target_columns
         out = []
         for side, cols in (("s", s_cols), ("t", t_cols)):
+            shown = dict.fromkeys([*al.order_by, *al.compare, *(al.context if side == "s" else [])])
+            order = ", ".join(f"{ident(c)} asc nulls first" for c in shown)
             sel = ", ".join(f"{ident(c)} as {side}__{i}" for i, c in enumerate(cols))
-            out.append(f"{self.n(side + '_rn')} as (select _key, row_number() over (partition by _key order by {order}1) - 1 as _rn, "
+            out.append(f"{self.n(side + '_rn')} as (select _key, row_number() over (partition by _key order by {order}) - 1 as _rn, "
                        f"{sel} from {self.n(side + '_key')})")
         out.append(f"{self.n('kc')} as (select _key, cast(sum(ns) as bigint) as ns, cast(sum(nt) as bigint) as nt from ("
                    f"select _key, count(*) as ns, 0 as nt from {self.n('s_key')} group by _key union all "
@@ -277,11 +293,14 @@ class FixturePlan:
             (1001, "Total Data Discrepancies (cell-level)", f"({total})"),
             (1002, "Total Validation Issues", f"({missing_both} + {total})"),
         ]
-        fixed = " union all ".join(f"select cast({o} as bigint) as ordinal, {lit(m)} as metric, cast({v} as bigint) as value"
-                                   for o, m, v in rows)
+        fixed = " union all ".join(f"select cast({o} as bigint) as ordinal, {lit(m)} as metric, cast({v} as bigint) as value, "
+                                   "cast(null as varchar) as text" for o, m, v in rows)
+        names = [(-1, f"{S_} File", lit(self.spec.source_name)), (0, f"{T_} File", lit(self.spec.target_name)),
+                 (1003, "Status", f"case when ({total}) = 0 then 'All mapped columns matched perfectly' else 'Discrepancies found' end")]
+        fixed += "".join(f" union all select cast({o} as bigint), {lit(m)}, cast(null as bigint), {t}" for o, m, t in names)
         per = " union all ".join(f"select {lit(self.label(c))} as label, {cnt(self.f(c), fl)} as cnt" for c in self.al.compare)
         ranked = (f"select cast(99 + row_number() over (order by cnt desc, label) as bigint) as ordinal, "
-                  f"'Discrepancies: ' || label as metric, cnt as value from ({per}) p where cnt > 0")
+                  f"'Discrepancies: ' || label as metric, cnt as value, cast(null as varchar) as text from ({per}) p where cnt > 0")
         return f"{fixed} union all {ranked}"
 
     def counts_sql(self) -> str:

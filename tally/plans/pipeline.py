@@ -1,29 +1,29 @@
 """``reconcile(source, target, spec)``: the whole comparison as one lazy plan.
 
-Driver work is limited to name resolution and two small profile actions
-(date formats per side, number detection over both sides); every output is a
-lazy DataFrame over the same paired rows. ``ReconResult.write`` materialises
-the paired rows once (parquet under the session's checkpoint folder) and
-derives every output from that copy, so a lost executor never recomputes
-the shuffle for each output.
+Driver work is limited to name resolution and the profile's counters; every
+output is a lazy DataFrame over the same paired rows. ``ReconResult.write``
+materialises the rows that differ or are one-sided once (Parquet under the
+session's checkpoint folder), takes all counters in the same pass and derives
+every output from that copy, so a lost executor never recomputes the shuffle for
+each output.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass, field
-from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tally.operators import diff as D
 from tally.operators import pair as P
 from tally.operators import report as R
 from tally.operators.normalize import KEY, add_key, normalize_dates, normalize_keys, rename, stringify
-from tally.operators.profile import DateDecision, profile_both
+from tally.operators.profile import Profile, profile_both
 from tally.session import scratch_path
-from tally.sources.balance import balance
+from tally.sources.files import write_table
 from tally.spec import Alignment, ReconSpec, align, config_rows
 
 
@@ -34,52 +34,58 @@ class Prepared:
     source: DataFrame           # normalised source rows with _key
     target: DataFrame           # normalised target rows (source names) with _key
     numeric: set[str]
-    source_dates: dict[str, DateDecision]
-    target_dates: dict[str, DateDecision]
-    total_rows: int | None = None
+    profile: Profile
 
     @property
     def labels(self) -> dict[str, str]:
         return {c: self.alignment.label(c) for c in self.alignment.compare}
 
+    @property
+    def dates(self) -> set[str]:
+        """Columns treated as dates on either side, declared or detected."""
+        return {c for d in (self.profile.source_dates, self.profile.target_dates) for c, x in d.items() if x.is_date}
+
 
-def _sides(source: DataFrame, target: DataFrame, spec: ReconSpec):
-    """Aligned, stringified sides with keys normalised once (profile input)."""
+def aligned_sides(source: DataFrame, target: DataFrame, spec: ReconSpec) -> tuple[Alignment, DataFrame, DataFrame]:
+    """Aligned, stringified sides with keys normalised once (what profiling reads)."""
     al = align(spec, source.columns, target.columns)
-    s = rename(stringify(balance(source)), al.source_renames)
-    t = rename(stringify(balance(target)), al.target_renames)
+    scales = dict(spec.decimal_scales)
+    s = rename(stringify(source, scales), al.source_renames)
+    t = rename(stringify(target, scales), al.target_renames)
     return al, normalize_keys(s, al.keys), normalize_keys(t, al.keys)
 
 
-def _finish(al: Alignment, s: DataFrame, t: DataFrame, s_dec, t_dec):
-    """Dates normalised, keys normalised again, composite key added."""
-    s, t = normalize_dates(s, s_dec), normalize_dates(t, t_dec)
+def prepare(source: DataFrame, target: DataFrame, spec: ReconSpec, *, numeric: set[str] | None = None) -> Prepared:
+    """Everything before pairing. The profile decides date columns, formats and number columns of
+    both sides; ``numeric`` overrides the last (the dates are profiled all the same)."""
+    al, s, t = aligned_sides(source, target, spec)
+    profile = profile_both(s, t, al.compare, al.keys, al.source_dates, al.target_dates, spec.auto_detect_dates)
+    s, t = normalize_dates(s, profile.source_dates), normalize_dates(t, profile.target_dates)
     s, t = normalize_keys(s, al.keys), normalize_keys(t, al.keys)
-    return add_key(s, al.keys), add_key(t, al.keys)
-
-
-def prepare_sides(source: DataFrame, target: DataFrame, spec: ReconSpec,
-                  profile_fraction: float | None = None):
-    """Align, stringify, normalise keys and dates; returns (alignment, s, t, date decisions)."""
-    al, s, t = _sides(source, target, spec)
-    prof = profile_both(s, t, al.compare, al.keys, al.source_dates, al.target_dates,
-                        spec.auto_detect_dates, profile_fraction)
-    s, t = _finish(al, s, t, prof.source_dates, prof.target_dates)
-    return al, s, t, prof.source_dates, prof.target_dates
-
-
-def prepare(source: DataFrame, target: DataFrame, spec: ReconSpec, *,
-            numeric: set[str] | None = None, profile_fraction: float | None = None) -> Prepared:
-    """Everything before pairing. ONE profile job decides date columns,
-    formats and number columns for both sides (skipped entirely when
-    ``numeric`` is given and no date column needs profiling)."""
-    al, s, t = _sides(source, target, spec)
-    prof = profile_both(s, t, al.compare, al.keys, al.source_dates, al.target_dates,
-                        spec.auto_detect_dates, profile_fraction)
-    s, t = _finish(al, s, t, prof.source_dates, prof.target_dates)
-    total = None if profile_fraction else prof.total_rows
-    return Prepared(spec, al, s, t, prof.numeric if numeric is None else numeric,
-                    prof.source_dates, prof.target_dates, total)
+    return Prepared(spec, al, add_key(s, al.keys), add_key(t, al.keys),
+                    profile.numeric if numeric is None else numeric, profile)
+
+
+@dataclass(frozen=True)
+class ReconRecord:
+    """What a written reconciliation came to."""
+    source_rows: int
+    target_rows: int
+    matched: int
+    missing_in_source: int
+    missing_in_target: int
+    surplus_in_source: int
+    surplus_in_target: int
+    records_affected: int
+    cell_discrepancies: int
+    per_column: dict[str, int]
+    validation_issues: int
+    status: str
+    paths: dict[str, str]
+    elapsed_seconds: float
+
+    def __getitem__(self, name: str):
+        return getattr(self, name)
 
 
 @dataclass
@@ -87,6 +93,9 @@ class ReconResult:
     prepared: Prepared
     paired: DataFrame
     flags_stored: bool = False
+    totals: DataFrame | None = None     # the row of counters, if it was taken already
+    complete: bool = True               # False: equal rows were left out of ``paired``
+    counted: dict = field(default_factory=dict)
 
     # -- shorthand ---------------------------------------------------------
     @property
@@ -109,6 +118,11 @@ class ReconResult:
             self.paired = D.add_flags(self.paired, p.alignment.compare, p.numeric, self.spec.case_sensitive)
             self.flags_stored = True
 
+    def _all(self) -> DataFrame:
+        if not self.complete:
+            raise ValueError("equal rows were not kept: set include_full_data")
+        return self.paired
+
     # -- outputs -----------------------------------------------------------
     def cells(self) -> DataFrame:
         """Differing cells with internal (_key, _rn) columns."""
@@ -122,60 +136,77 @@ class ReconResult:
                                     self.spec.comment_columns)
 
     def missing_in_target(self, comments: bool = False) -> DataFrame:
-        df = R.missing(self.paired, P.MISSING_IN_TARGET, self.al.source_columns)
+        df = R.missing(self.paired, P.MISSING_IN_TARGET, self.prepared.source, self.al.source_columns)
         return R.with_comments(df, self.spec.comment_columns) if comments else df
 
     def missing_in_source(self, comments: bool = False) -> DataFrame:
-        df = R.missing(self.paired, P.MISSING_IN_SOURCE, self.al.target_columns)
+        df = R.missing(self.paired, P.MISSING_IN_SOURCE, self.prepared.target, self.al.target_columns)
         return R.with_comments(df, self.spec.comment_columns) if comments else df
 
     def full_data(self) -> DataFrame:
-        return R.full_data(self.paired, self.al.compare)
+        return R.full_data(self._all(), self.al.compare)
 
     def column_counts(self) -> DataFrame:
         return R.column_counts(self.paired, self.fl(), self.prepared.labels)
 
     def summary(self) -> DataFrame:
-        return R.summary(self.paired, self.fl(), self.prepared.labels, self.spec.source_label, self.spec.target_label)
+        totals = self.totals if self.totals is not None else self.paired.agg(*R.counters(self.fl()))
+        spec = self.spec
+        return R.summary(totals, list(self.prepared.labels.values()), spec.source_label, spec.target_label,
+                         spec.source_name, spec.target_name)
 
     def flags(self) -> DataFrame:
-        return D.with_flags(self.paired, self.fl())
+        return D.with_flags(self._all(), self.fl())
 
     def mismatched(self) -> DataFrame:
-        return D.mismatched(self.paired, self.fl())
+        return D.mismatched(self.paired)
 
     def columns_with_diffs(self) -> DataFrame:
         return R.columns_with_diffs(self.paired, self.fl())
 
+    def _partitions(self) -> int:
+        return int(self.paired.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def top_n(self, n: int) -> DataFrame:
         return R.top_n(self.cells(), self.al.keys, self.al.include, self.spec.value_label, n,
-                       self.spec.comment_columns)
+                       self.spec.comment_columns, self._partitions())
 
     def pages(self, page_rows: int, partitions: int | None = None) -> DataFrame:
-        parts = partitions or int(self.paired.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return R.paginate(self.cells(), self.al.keys, self.al.include, self.spec.value_label, page_rows, parts)
+        return R.paginate(self.cells(), self.al.keys, self.al.include, self.spec.value_label, page_rows,
+                          partitions or self._partitions())
 
     def configuration(self) -> DataFrame:
         """How every mapping was treated (one row per mapping; spec-sized)."""
-        names, rows = config_rows(self.spec)
+        names, rows = config_rows(self.spec, self.al, self.prepared.dates)
         spark = self.paired.sparkSession
         return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)).coalesce(1)
 
     # -- sinks -------------------------------------------------------------
     def materialize(self, path: str | None = None) -> "ReconResult":
-        """Write the paired rows with their difference flags once (parquet in
-        the shared checkpoint folder) and return a result reading that copy:
-        later outputs neither re-shuffle nor re-clean values, and a lost
-        executor only re-reads files."""
+        """Write the paired rows with their difference flags once (Parquet in the shared checkpoint
+        folder) and return a result reading that copy: later outputs neither re-shuffle nor re-clean
+        values. Rows that match in every cell are counted in the same pass and written only for
+        ``include_full_data``."""
         spark = self.paired.sparkSession
         path = path or scratch_path(spark, f"paired-{uuid.uuid4().hex}")
-        self.paired.write.mode("overwrite").parquet(path)
-        return ReconResult(self.prepared, spark.read.parquet(path), flags_stored=True)
-
-    def write(self, out_dir: str, fmt: str = "parquet", materialize: bool = True) -> dict:
-        """Write every output (complete sets, no row cap) and return counts
-        and paths. The paired rows are written once and re-read."""
-        result = self.materialize() if materialize else self
+        seen = Observation(f"paired-{uuid.uuid4().hex}")
+        rows = self.paired.observe(seen, *R.counters(self.fl()))
+        complete = self.complete and self.spec.include_full_data
+        if not complete:
+            rows = rows.where((F.col(P.STATUS) != P.MATCHED) | F.col(D.ANY))
+        rows.write.mode("overwrite").parquet(path)
+        got = seen.get
+        totals = spark.createDataFrame([tuple(got.values())], ", ".join(f"{n} bigint" for n in got))
+        return ReconResult(self.prepared, spark.read.schema(rows.schema).parquet(path), flags_stored=True, totals=totals,
+                           complete=complete, counted=got)
+
+    def write(self, out_dir: str, fmt: str = "parquet", page_rows: int | None = None) -> ReconRecord:
+        """Write every output (complete sets, no row cap; ``page_rows`` rows a file at most) as ``fmt``
+        (parquet or csv) and return counts and paths."""
+        if fmt not in ("parquet", "csv"):
+            raise ValueError(f"unknown output format {fmt!r}: parquet or csv")
+        began = time.time()
+        result = self.materialize()
         outputs = {
             "discrepancies": result.report(),
             "missing_in_target": result.missing_in_target(comments=True),
@@ -187,49 +218,33 @@ class ReconResult:
             outputs["full_data"] = result.full_data()
         paths = {}
         for name, df in outputs.items():
-            p = f"{out_dir.rstrip('/')}/{name}"
-            writer = df.write.mode("overwrite")
-            (writer.option("header", True).csv(p) if fmt == "csv" else writer.parquet(p))
-            paths[name] = p
-        counts = {r["metric"]: r["value"] for r in result.summary().collect()}
-        return {"paths": paths, "summary": counts}
-
-
-def reconcile(source: DataFrame, target: DataFrame, spec: ReconSpec, *,
-              numeric: set[str] | None = None, profile_fraction: float | None = None,
+            paths[name] = f"{out_dir.rstrip('/')}/{name}"
+            write_table(df, paths[name], fmt, page_rows)
+        n = result.counted
+        per_column = {label: n[f"n{i}"] for i, label in enumerate(self.prepared.labels.values())}
+        cells = sum(per_column.values())
+        return ReconRecord(
+            **{k: n[k] for k in ("source_rows", "target_rows", "matched", "missing_in_source", "missing_in_target",
+                                 "surplus_in_source", "surplus_in_target", "records_affected")},
+            cell_discrepancies=cells, per_column=per_column,
+            validation_issues=n["missing_in_source"] + n["missing_in_target"] + cells,
+            status=R.SOME_DIFFER if cells else R.ALL_MATCHED, paths=paths, elapsed_seconds=time.time() - began)
+
+
+def reconcile(source: DataFrame, target: DataFrame, spec: ReconSpec, *, numeric: set[str] | None = None,
               hot_key_rows: int = P.HOT_KEY_ROWS, hot_keys: list[str] | None = None) -> ReconResult:
     """Compare ``source`` with ``target`` under ``spec``; outputs are lazy.
 
-    ``hot_keys`` (optional) forces the skew path for the given composite keys;
-    otherwise keys above ``hot_key_rows`` rows are found from a sample when the
-    inputs are larger than that threshold.
+    Keys with more than ``hot_key_rows`` rows on both sides together take the range path (same
+    result, spread over tasks); ``hot_keys`` names them instead.
     """
-    prep = prepare(source, target, spec, numeric=numeric, profile_fraction=profile_fraction)
+    prep = prepare(source, target, spec, numeric=numeric)
     al = prep.alignment
-    order = list(spec.order_by)
-    u_cols = (al.source_columns, al.target_columns)
-    hot_parts = None
-    if hot_keys is None:
-        hot_keys, hot_rows = _auto_hot_keys(prep, order, hot_key_rows)
-        if hot_keys:
-            default = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            hot_parts = max(default, P.estimate_partitions(hot_rows))
-    paired = P.pair_rows(prep.source, prep.target, *u_cols, order, hot_keys=hot_keys, hot_partitions=hot_parts)
-    return ReconResult(prep, paired)
-
-
-def _auto_hot_keys(prep: Prepared, order: list[str], hot_key_rows: int) -> tuple[list[str], int]:
-    """Bounded list of hot keys and the estimated rows under them."""
-    s, t = prep.source, prep.target
-    spark = s.sparkSession
-    # No key can be hot when both sides together are smaller than the
-    # threshold. The row total comes free with the number profile; it is
-    # counted only when that profile was skipped or sampled.
-    total = prep.total_rows
-    if total is None:
-        total = s.select(KEY).count() + t.select(KEY).count()
-        prep.total_rows = total
-    if total <= hot_key_rows:
-        return [], 0
-    keys = s.select(KEY).unionByName(t.select(KEY))
-    return P.find_hot_keys(spark, keys, total, hot_key_rows, with_rows=True)
+    if hot_keys is not None:
+        rows = [(k, 0) for k in hot_keys]
+        hot = source.sparkSession.createDataFrame(rows, f"{KEY} string, _rows bigint") if rows else None
+    else:
+        keys = prep.source.select(KEY).unionByName(prep.target.select(KEY))
+        hot = P.hot_keys_of(keys, prep.profile.total_rows, hot_key_rows)
+    carried = list(dict.fromkeys([*al.compare, *al.context]))
+    return ReconResult(prep, P.pair_rows(prep.source, prep.target, carried, al.compare, al.order_by, hot))

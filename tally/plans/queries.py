@@ -10,18 +10,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.functions import clean as C
 from tally.functions import dates as DT
 from tally.operators import profile as PR
-from tally.operators.normalize import KEY, add_key, normalize_keys, normalize_dates, rename, stringify
-from tally.operators.pair import RN, find_hot_keys, number_within_key
-from tally.operators.profile import q
+from tally.operators.diff import src, tgt
+from tally.operators.normalize import KEY, add_key, normalize_keys, rename, stringify
+from tally.operators.pair import RN, duplicate_key_counts, hot_keys_of, number_within_key
 from tally.plans import oracle as O
 from tally.plans.fixtures import FIXTURES, load, register_tables
-from tally.plans.pipeline import ReconResult, prepare_sides, reconcile
+from tally.plans.pipeline import ReconResult, aligned_sides, prepare, reconcile
 from tally.session import scratch_path
 from tally.sources.files import scan_csv_strings
 
@@ -191,16 +191,14 @@ SQL_DIFF_STRING = _with(_cte("conv", "src"), _cte("conv", "tgt")) + (
 def _aligned_keyed(spark, sf, name):
     """Both sides renamed and key-normalised (the frames profiling reads)."""
     s, t, fx = load(spark, sf, name)
-    from tally.spec import align
-    al = align(fx.spec, s.columns, t.columns)
-    s = normalize_keys(rename(stringify(s), al.source_renames), al.keys)
-    t = normalize_keys(rename(stringify(t), al.target_renames), al.keys)
+    al, s, t = aligned_sides(s, t, fx.spec)
     return s, t, al
 
 
 def q_detect_date_columns(spark, sf):
     s, t, al = _aligned_keyed(spark, sf, "orders")
-    return PR.date_profile_frame(s, al.compare, "source").unionByName(PR.date_profile_frame(t, al.compare, "target"))
+    return (PR.date_profile_frame(s, al.compare, "source", al.keys)
+            .unionByName(PR.date_profile_frame(t, al.compare, "target", al.keys)))
 
 
 def _sql_date_cols(plan: O.FixturePlan, side: str, side_name: str) -> str:
@@ -223,7 +221,8 @@ def sql_detect_date_columns() -> str:
 
 def q_detect_date_format(spark, sf):
     s, t, al = _aligned_keyed(spark, sf, "orders")
-    return PR.date_format_frame(s, al.compare, "source").unionByName(PR.date_format_frame(t, al.compare, "target"))
+    return (PR.date_format_frame(s, al.compare, "source", al.keys)
+            .unionByName(PR.date_format_frame(t, al.compare, "target", al.keys)))
 
 
 def _sql_date_fmt(plan: O.FixturePlan, side: str, side_name: str) -> str:
@@ -251,8 +250,7 @@ def q_detect_numeric_columns(spark, sf):
     out = None
     for name in ("orders", "cust"):
         s, t, fx = load(spark, sf, name)
-        al, s, t, _, _ = prepare_sides(s, t, fx.spec)
-        df = PR.numeric_profile_frame(s, t, al.compare).select(F.lit(name).alias("fixture"), "*")
+        df = PR.numeric_profile_frame(prepare(s, t, fx.spec).profile, s).select(F.lit(name).alias("fixture"), "*")
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -271,15 +269,10 @@ def sql_detect_numeric_columns() -> str:
 
 def q_duplicate_keys(spark, sf):
     s, t, fx = load(spark, sf, "lines")
-    out = []
-    for side, df in (("source", s), ("target", t)):
-        k = add_key(normalize_keys(df, list(fx.spec.key_columns)), list(fx.spec.key_columns))
-        per_key = k.groupBy(KEY).count()
-        out.append(per_key.agg(F.sum("count").cast("bigint").alias("rows"),
-                               F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count"))), F.lit(0)).cast("bigint").alias("duplicate_rows"),
-                               F.count_if(F.col("count") > 1).cast("bigint").alias("duplicate_keys"))
-                   .select(F.lit(side).alias("side"), "*"))
-    return out[0].unionByName(out[1])
+    keys = list(fx.spec.key_columns)
+    count = lambda name, df: (duplicate_key_counts(add_key(normalize_keys(df, keys), keys))
+                              .select(F.lit(name).alias("side"), "*"))
+    return count("source", s).unionByName(count("target", t))
 
 
 def sql_duplicate_keys() -> str:
@@ -300,10 +293,8 @@ def q_positional_keys(spark, sf):
     s, t, fx = load(spark, sf, "lines")
     keys = list(fx.spec.key_columns)
     k = add_key(normalize_keys(s, keys), keys)
-    order = [F.col(c).asc_nulls_first() for c in fx.spec.order_by] + [F.monotonically_increasing_id().asc()]
-    total = k.count()
-    hot = find_hot_keys(spark, k.select(KEY), total)
-    return number_within_key(k, order, hot).select(KEY, RN, "ok", "ln", "pk", "sk", "price")
+    order = [F.col(c).asc_nulls_first() for c in fx.spec.order_by]
+    return number_within_key(k, order, hot_keys_of(k, k.count())).select(KEY, RN, "ok", "ln", "pk", "sk", "price")
 
 
 def sql_positional_keys() -> str:
@@ -316,7 +307,7 @@ def sql_positional_keys() -> str:
 def _pair_cols(r: ReconResult, internal=True):
     al = r.al
     return ([F.col(KEY), F.col(RN).cast("bigint").alias(RN)] if internal else []) + \
-        [F.col("_s").getField(c).alias(f"{c}_S") for c in al.compare] + [F.col("_t").getField(c).alias(f"{c}_T") for c in al.compare]
+        [src(c).alias(f"{c}_S") for c in al.compare] + [tgt(c).alias(f"{c}_T") for c in al.compare]
 
 
 def _sql_pair_cols(plan: O.FixturePlan, internal=True) -> str:
@@ -466,15 +457,51 @@ def sql_align_columns() -> str:
     return _with(_cte("orders", "tgt")) + f"select {cols} from orders_tgt"
 
 
+# lineitem's doubles as they are, divided (many digits), scaled far down (exponents), large whole ones, as 32-bit floats, and NaN.
+TYPED_SQL = """select l_orderkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag, l_discount / 3 as third,
+  l_partkey * cast(1e17 as double) as large, l_extendedprice / 1e12 as tiny, cast(l_tax as float) as tax32,
+  case when l_partkey%50=0 then cast('NaN' as double) else l_discount end as odd, l_extendedprice as fixed from lineitem"""
+
+
 def q_stringify_typed(spark, sf):
-    register_tables(spark, sf, ["orders"])
-    return stringify(spark.table("orders"), double_scale=2)
+    register_tables(spark, sf, ["lineitem"])
+    return stringify(spark.sql(TYPED_SQL), {"fixed": 1})
 
 
 SQL_STRINGIFY_TYPED = (
-    "select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey, o_orderstatus, "
-    "cast(cast(o_totalprice as decimal(38,2)) as varchar) as o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate, "
-    "o_orderpriority from orders")
+    "select cast(l_orderkey as varchar) as l_orderkey, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as l_shipdate, l_returnflag, "
+    + ", ".join(f"{O.float_to_int_text(c)} as {c}" for c in ("l_quantity", "l_extendedprice", "third", "large", "tiny", "tax32", "odd"))
+    + f", cast(cast(cast(fixed as varchar) as decimal(38,1)) as varchar) as fixed from ({TYPED_SQL}) x")
+
+
+def q_written_csv(spark, sf):
+    """The `texts` discrepancies written as CSV by the sink and read back with the all-string scan."""
+    out = run(spark, sf, "texts").write(scratch_path(spark, f"csv-{uuid.uuid4().hex}"), fmt="csv")
+    return scan_csv_strings(spark, out.paths["discrepancies"])
+
+
+def sql_written_csv() -> str:
+    def body(p):
+        cols = ", ".join(f"nullif({O.ident(c)}, '') as {O.ident(c)}" for c in p.report_cols())
+        comments = "".join(f", cast(null as varchar) as {O.ident(c)}" for c in p.spec.comment_columns)
+        return f"select {cols}{comments} from ({p.cells_sql(internal=True)}) c"
+    return O.fixture_sql("texts", body)
+
+
+HOT_ROWS = 1000  # rows above which the `hot` fixture's key takes the range path
+
+
+def _hot(spark, sf) -> ReconResult:
+    s, t, fx = load(spark, sf, "hot")
+    return reconcile(s, t, fx.spec, hot_key_rows=HOT_ROWS)
+
+
+def q_summary_hot(spark, sf):
+    return _hot(spark, sf).summary()
+
+
+def q_discrepancies_hot(spark, sf):
+    return _hot(spark, sf).discrepancies()
 
 
 def q_scan_csv_strings(spark, sf):
@@ -531,8 +558,11 @@ def registry() -> dict[str, tuple[Builder, Callable[[], str] | str]]:
         "align_columns": (q_align_columns, sql_align_columns),
         "stringify_typed": (q_stringify_typed, SQL_STRINGIFY_TYPED),
         "scan_csv_strings": (q_scan_csv_strings, SQL_SCAN_CSV_STRINGS),
+        "written_csv": (q_written_csv, sql_written_csv),
+        "summary_hot": (q_summary_hot, lambda: _sql_summary("hot")),
+        "discrepancies_hot": (q_discrepancies_hot, lambda: _sql_discrepancies("hot")),
     }
-    for name in ("lines", "cust", "conv", "events"):
+    for name in ("lines", "cust", "conv", "events", "dups"):
         reg[f"discrepancies_{name}"] = (_q_discrepancies(name), (lambda n=name: _sql_discrepancies(n)))
         reg[f"summary_{name}"] = (_q_summary(name), (lambda n=name: _sql_summary(n)))
     reg["missing_in_target_lines"] = (_q_missing("lines", "target"), lambda: _sql_missing("lines", "target"))

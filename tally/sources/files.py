@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.operators.profile import q
+from tally.operators.names import q
 
 
 def csv_reader(spark: SparkSession, multi_line: bool = True):
@@ -18,7 +18,7 @@ def csv_reader(spark: SparkSession, multi_line: bool = True):
 
     ``multi_line=True`` is needed for quoted newlines but reads each file in
     one task; with many large files and no embedded newlines pass False to
-    let Spark split files.
+    let Spark split files, or land a big CSV once as Parquet.
     """
     return (spark.read.option("header", True).option("inferSchema", False)
             .option("mode", "PERMISSIVE").option("multiLine", multi_line)
@@ -41,3 +41,34 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     """Column names only (trimmed, blanks dropped); reads the first line."""
     names = csv_reader(spark, multi_line=False).csv(path).columns
     return [n.lstrip("﻿").strip() for n in names if n.lstrip("﻿").strip()]
+
+
+ROW_ORDER = "_row_order"
+
+
+def with_file_order(df: DataFrame) -> DataFrame:
+    """``df``, as read from Parquet files, plus ``_row_order``: text that sorts rows by file and place in it.
+
+    Both tables read this way and ``order_by=("_row_order",)`` pair duplicates in the
+    order in which the files hold them, whatever later stages do to the partitions.
+    """
+    place = F.concat(F.col("_metadata.file_path"), F.lit(":"), F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0"))
+    return df.select("*", place.alias(ROW_ORDER))
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", page_rows: int | None = None) -> None:
+    """Write a complete output as Parquet or CSV, ``page_rows`` rows a file at most.
+
+    CSV keeps every character: quotes are doubled, blanks are not trimmed, empty and
+    null are both written as nothing. ``scan_csv_strings`` reads it back.
+    """
+    writer = df.write.mode("overwrite")
+    if page_rows:
+        writer = writer.option("maxRecordsPerFile", page_rows)
+    if fmt == "parquet":
+        writer.parquet(path)
+    elif fmt == "csv":
+        (writer.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "")
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    else:
+        raise ValueError(f"unknown output format {fmt!r}: parquet or csv")

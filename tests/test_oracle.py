@@ -10,7 +10,8 @@ from tally.plans.fixtures import TABLES
 from conftest import SF_SMALL
 
 NAMES = ["clean_string", "clean_number", "normalize_dates_fallback", "detect_date_format",
-         "summary", "summary_lines", "discrepancies_conv", "full_data", "paginate_report"]
+         "summary", "summary_lines", "discrepancies_conv", "full_data", "paginate_report", "discrepancies_dups",
+         "discrepancies_hot", "written_csv", "stringify_typed"]
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +33,7 @@ def test_query_matches_oracle(spark, duck, name):
     d_cols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(d_cols)
     order = sorted(df.columns)
-    s_rows = sorted(tuple(_norm(r[c]) for c in order) for r in df.collect())
+    s_rows = sorted((tuple(_norm(r[c]) for c in order) for r in df.collect()), key=repr)
     idx = [d_cols.index(c) for c in order]
-    d_rows = sorted(tuple(_norm(r[i]) for i in idx) for r in res.fetchall())
+    d_rows = sorted((tuple(_norm(r[i]) for i in idx) for r in res.fetchall()), key=repr)
     assert s_rows == d_rows

@@ -2,8 +2,11 @@
 
 import datetime
 
+import pytest
+from pyspark.sql import functions as F
+
 from tally.operators.normalize import stringify
-from tally.sources.files import read_header, scan_csv_strings
+from tally.sources.files import read_header, scan_csv_strings, with_file_order, write_table
 
 CSV = 'id,name,amt\n1,a\n2,b,5,extra\n3,"x\ny",""\n4,"q""z",1\n'
 
@@ -31,5 +34,31 @@ def test_stringify(spark):
     row = stringify(df).collect()[0]
     assert stringify(df).columns == ["a", "b", "c", "d", "e"]
     assert tuple(row) == ("1", "5", "2.5", "2024-01-05 00:00:00", "true")
-    row2 = stringify(df, double_scale=2).collect()[0]
-    assert (row2.b, row2.c) == ("5.00", "2.50")
+    row2 = stringify(df, {"b": 2}).collect()[0]
+    assert (row2.b, row2.c) == ("5.00", "2.5")
+
+
+def test_number_text(spark):
+    cases = [(1e-4, "0.0001"), (12345678.9, "12345678.9"), (1e20, "100000000000000000000"), (-1.5e-7, "-0.00000015"),
+             (1.25e10, "12500000000"), (123456.789e3, "123456789"), (float("nan"), "NaN"), (float("inf"), "Infinity"),
+             (0.0, "0"), (1e305, "1" + "0" * 305), (None, None)]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x double")
+    assert [r.x for r in stringify(df).orderBy(F.col("i").cast("int")).collect()] == [t for _, t in cases]
+    small = spark.createDataFrame([(0.1,), (2.5e-5,)], "x float")
+    assert [r.x for r in stringify(small).collect()] == ["0.1", "0.000025"]
+
+
+def test_csv_sink_keeps_every_character(spark, tmp_path):
+    texts = ["  x ", 'q"z, w', "a\nb", "back\\slash", '"', ",", " ", "ä\t", None, ""]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, t string")
+    write_table(df, str(tmp_path / "out"), "csv", page_rows=3)
+    back = {r.id: r.t for r in scan_csv_strings(spark, str(tmp_path / "out")).collect()}
+    assert back == {str(i): (t or None) for i, t in enumerate(texts)}
+    with pytest.raises(ValueError, match="unknown output format"):
+        write_table(df, str(tmp_path / "other"), "xlsx")
+
+
+def test_file_order(spark, tmp_path):
+    spark.range(50).select((99 - F.col("id")).alias("v")).coalesce(1).write.parquet(str(tmp_path / "p"))
+    rows = with_file_order(spark.read.parquet(str(tmp_path / "p"))).repartition(7).orderBy("_row_order").collect()
+    assert [r.v for r in rows] == [99 - i for i in range(50)]
