@@ -268,3 +268,26 @@ def drop_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the rows of its smallest id. All columns stay."""
     dropped = with_components(docs, percent).where("not kept").select(F.col("doc_id").alias("_near_id")).distinct()
     return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_near_id"), "left_anti")
+
+
+#: The components at 85 percent, by comparing all sets that share a shingle.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 2))) AS i, w FROM words WHERE len(w) > 0),
+items AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM shingles),
+sets AS (SELECT d.doc_id, count(x) AS n FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN items USING (doc_id) GROUP BY 1),
+shared AS (
+  SELECT i.doc_id, n, x FROM items i JOIN sets ON i.doc_id = sets.doc_id
+  WHERE x IN (SELECT x FROM items GROUP BY x HAVING count(*) > 1)),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM shared a JOIN shared b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT doc_id, doc_id AS r FROM sets UNION SELECT reached.doc_id, pairs.v FROM reached JOIN pairs ON reached.r = pairs.u)
+SELECT sets.doc_id, n::BIGINT AS n_shingles, min(r) AS component_id, sets.doc_id = min(r) AS kept
+FROM sets JOIN reached ON sets.doc_id = reached.doc_id GROUP BY sets.doc_id, n
+"""

@@ -71,4 +71,4 @@ def queries() -> dict[str, Builder]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE_SQL}
+    return {"op3_near_duplicates": neardup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
