@@ -212,14 +212,16 @@ def near_links(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
 
     ``rows`` has set_key and bands; ``sets_of`` gives (set_key, items) for a table of wanted keys.
     """
-    classes = stored(rows.groupBy("set_key").agg(F.any_value("bands").alias("bands")))
+    classes = rows.groupBy("set_key").agg(F.any_value("bands").alias("bands"))
     buckets = classes.select("set_key", F.explode("bands").alias("band"))
+    # most bands hold one set: count them by their number alone, then look at the sets of the others
+    met = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    crowded = stored(buckets.join(met, "band"))
     mark = F.xxhash64("set_key")
-    groups = (buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("set_key").alias("hub"),
-                                          F.bit_xor(mark).alias("x"), F.sum(mark % 1_000_003).alias("s"))
-              .where("members > 1")
-              .groupBy("members", "hub", "x", "s").agg(F.min("band").alias("band")).select("band", "members", "hub"))
-    members = stored(buckets.join(groups, "band"))
+    groups = (crowded.groupBy("band", "members").agg(F.min("set_key").alias("hub"), F.bit_xor(mark).alias("x"),
+                                                     F.sum(mark % 1_000_003).alias("s"))
+              .groupBy("members", "hub", "x", "s").agg(F.min("band").alias("band")).select("band", "hub"))
+    members = stored(crowded.join(groups, "band"))
     sets = stored(sets_of(members.select("set_key").distinct()))
     star = members.where("set_key <> hub").select(F.col("hub").alias("u"), F.col("set_key").alias("v")).distinct()
     links = stored(confirmed(star, sets, percent))
