@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from tally.plans.fixtures import TABLES
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 NAMES = ["clean_string", "clean_number", "normalize_dates_fallback", "detect_date_format",
          "summary", "summary_lines", "discrepancies_conv", "full_data", "paginate_report", "discrepancies_dups",

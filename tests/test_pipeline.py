@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tally import ReconSpec, reconcile
 from tally.plans.fixtures import load
 
-from conftest import SF_CHECK, SF_SMALL
+from paths import SF_CHECK, SF_SMALL
 
 # Expected counts at sf0.01 (FIXTURES.md §2): src, tgt, matched, missing in
 # target, missing in source, surplus src, per-column counts, total, affected.
