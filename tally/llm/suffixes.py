@@ -49,8 +49,8 @@ from tally.llm.common import stored, text_or_empty
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1       # pieces in a window
-PACK_BYTES = 2 << 20
-RANGE_BYTES = 24 << 20          # text for which one range of anchor hashes is made
+PACK_BYTES = 4 << 20
+RANGE_BYTES = 12 << 20          # text for which one range of anchor hashes is made
 HOT_PACKS = 50_000
 CHUNK = 1 << 19                 # windows whose anchors are found at a time
 _POSITION = np.uint64((1 << 20) - 1)
@@ -234,6 +234,9 @@ class Pack:
 
 
 def ranges_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Range numbers of anchor hashes; scrambled first, as the smallest hash of a window is a small number."""
+    hashes = hashes * _ODD[6]
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * _ODD[7]
     return ((hashes >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
 
 
