@@ -37,7 +37,9 @@ from tally.llm.common import stored
 TABLES, HASHES, WIDTH, PROBES = 6, 8, 1.5, 2000
 BLOCK_ROWS, QUERY_ROWS = 8192, 512
 SEED = 20_011
+_HALF = np.array(list(product((-1, 0, 1), repeat=HASHES // 2)))
 _OFFSETS = np.array(list(product((-1, 0, 1), repeat=HASHES)))
+_STEPS = (_OFFSETS << (7 * np.arange(HASHES))).sum(-1)      # what an offset adds to a bucket's code
 
 
 def usable(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
@@ -65,10 +67,8 @@ class Tables:
         self.parts = []
         for _ in range(TABLES):
             a, b = rng.normal(size=(dim, HASHES)), rng.uniform(0, WIDTH, HASHES)
-            codes = self.code(np.floor((unit @ a + b) / WIDTH).astype(np.int64))
-            order = np.argsort(codes, kind="stable")
-            buckets, starts = np.unique(codes[order], return_index=True)
-            self.parts.append((a, b, order, buckets, np.append(starts, len(order))))
+            buckets, bucket_of = np.unique(self.code(np.floor((unit @ a + b) / WIDTH).astype(np.int64)), return_inverse=True)
+            self.parts.append((a, b, buckets, bucket_of))
 
     @staticmethod
     def code(slots: np.ndarray) -> np.ndarray:
@@ -76,20 +76,22 @@ class Tables:
 
     def candidates(self, query: np.ndarray) -> np.ndarray:
         """Rows of the block in the visited buckets of all tables, each once."""
-        found = []
-        for a, b, order, buckets, starts in self.parts:
+        found = np.zeros(len(self.parts[0][3]), bool)
+        for a, b, buckets, bucket_of in self.parts:
             at = (query @ a + b) / WIDTH
             slot = np.floor(at).astype(np.int64)
             low = at - slot
             cost = np.stack([low * low, np.zeros(HASHES), (1 - low) ** 2], 1)
-            score = sum(cost[k][_OFFSETS[:, k] + 1] for k in range(HASHES))
+            halves = [sum(cost[h + k][_HALF[:, k] + 1] for k in range(HASHES // 2)) for h in (0, HASHES // 2)]
+            score = np.add.outer(*halves).ravel()            # in the order of _OFFSETS
             visit = np.argpartition(score, PROBES)[:PROBES]
             visit = visit[np.argsort(score[visit], kind="stable")]
-            wanted = self.code(slot + _OFFSETS[visit])
+            wanted = self.code(slot) + _STEPS[visit]
             k = np.searchsorted(buckets, wanted)
-            k = k[(k < len(buckets)) & (buckets[np.minimum(k, len(buckets) - 1)] == wanted)]
-            found += [order[starts[i]:starts[i + 1]] for i in k]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            visited = np.zeros(len(buckets), bool)
+            visited[k[(k < len(buckets)) & (buckets[np.minimum(k, len(buckets) - 1)] == wanted)]] = True
+            found |= visited[bucket_of]
+        return np.flatnonzero(found)
 
 
 def search_block(index: pd.DataFrame, queries: pd.DataFrame, keep: int) -> pd.DataFrame:
