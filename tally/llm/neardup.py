@@ -88,29 +88,69 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(total)
 
 
+def shingles_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of many texts at once: sorted distinct hashes, one text after the other, and how many each has."""
+    words: list[bytes] = []
+    lengths = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        w = text.encode("utf-8", "replace").lower().split()
+        lengths[i] = len(w)
+        words += w
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    values, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(words) >= SHINGLE:
+        h = mixed(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+        n = len(words) - SHINGLE + 1
+        total = np.zeros(n, np.uint64)
+        for k in range(SHINGLE):
+            total = mixed(total + h[k:k + n] * _PLACES[k])
+        inside = owner[:n] == owner[SHINGLE - 1:]
+        values, of = total[inside], owner[:n][inside]
+    short = np.flatnonzero((lengths > 0) & (lengths < SHINGLE))
+    if len(short):
+        values = np.append(values, np.array([shingles(texts[i])[0] for i in short], np.uint64))
+        of = np.append(of, short)
+    order = np.lexsort((values, of))
+    values, of = values[order], of[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+    return values[new], np.bincount(of[new], minlength=len(texts))
+
+
+def sketches_of(values: np.ndarray, counts: np.ndarray, t: int = COORDINATES) -> np.ndarray:
+    """Fast similarity sketches of many sets at once, ``t`` numbers each; two sets agree in one with the
+    chance of their similarity. An empty set's numbers are all the largest there is."""
+    none = np.iinfo(np.uint64).max
+    out = np.full(len(counts) * t, none, np.uint64)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    v, o = values, owner
+    for i in range(t):                                   # every shingle into a random bin
+        if not len(v):
+            return out.reshape(-1, t)
+        x = mixed(v ^ _SEEDS[i])
+        place = ((x >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(out, o * t + place, (np.uint64(i) << np.uint64(56)) | (x & _MASK56))
+        if i % 2:
+            open_sets = (out.reshape(-1, t) == none).any(1)
+            stay = open_sets[o]
+            v, o = v[stay], o[stay]
+    for b in range(t):                                   # every shingle into the bins still empty
+        stay = (out.reshape(-1, t)[:, b] == none)[o]
+        x = mixed(v[stay] ^ _SEEDS[t + b])
+        np.minimum.at(out, o[stay] * t + b, (np.uint64(t + b) << np.uint64(56)) | (x & _MASK56))
+    return out.reshape(-1, t)
+
+
 def sketch(items: np.ndarray, t: int = COORDINATES) -> np.ndarray:
-    """Fast similarity sketch: ``t`` numbers (a power of two); two sets agree in one with the chance of their similarity."""
-    n, shift = len(items), np.uint64(65 - t.bit_length())
-    out = np.full(t, np.iinfo(np.uint64).max, np.uint64)
-    step = max(1, min(t, -(-6 * t // n)))
-    for first in range(0, t, step):
-        rounds = np.arange(first, min(t, first + step))
-        x = mixed(items[None, :] ^ _SEEDS[rounds][:, None])
-        value = (rounds.astype(np.uint64) << np.uint64(56))[:, None] | (x & _MASK56)
-        np.minimum.at(out, (x >> shift).astype(np.intp).ravel(), value.ravel())
-        if (out != np.iinfo(np.uint64).max).all():
-            return out
-    empty = np.flatnonzero(out == np.iinfo(np.uint64).max)
-    for b in empty:
-        out[b] = (np.uint64(t + b) << np.uint64(56)) | (mixed(items ^ _SEEDS[t + b]) & _MASK56).min()
-    return out
+    return sketches_of(items, np.array([len(items)]), t)[0]
 
 
-def band_keys(sketched: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    parts = sketched.reshape(-1, rows)
-    key = np.arange(len(parts), dtype=np.uint64)
+def band_keys(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """(sets, bands): one number for each ``rows`` coordinates."""
+    parts = sketches.reshape(len(sketches), -1, rows)
+    key = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2])
     for k in range(rows):
-        key = mixed(key * _PLACES[k] + parts[:, k])
+        key = mixed(key * _PLACES[k] + parts[:, :, k])
     return key.view(np.int64)
 
 
@@ -128,24 +168,42 @@ def set_key(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def list_array(parts: list[np.ndarray]) -> pa.Array:
-    """An array<long> column."""
-    ends = np.cumsum([0] + [len(b) for b in parts]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+def digests(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """``set_key`` of sets that lie one after the other."""
+    data, at, out = memoryview(values.tobytes()), 0, []
+    for n in counts.tolist():
+        out.append(hashlib.blake2b(data[at:at + 8 * n], digest_size=16).digest())
+        at += 8 * n
+    return out
+
+
+def list_array(rows: np.ndarray, wanted: np.ndarray) -> pa.Array:
+    """An array<long> column of the rows of a matrix; empty where not wanted."""
+    ends = np.append(0, np.cumsum(np.where(wanted, rows.shape[1], 0))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows[wanted].ravel()))
+
+
+TEXTS = 256   # texts whose sets are made at a time
+
+
+def set_columns(texts: list[str], t: int, used: int, rows: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """n, set_key, bands of the texts' sets."""
+    sizes, keys, bands = [], [], []
+    for at in range(0, len(texts), TEXTS):
+        values, counts = shingles_of(texts[at:at + TEXTS])
+        sizes.append(counts)
+        keys += digests(values, counts)
+        bands.append(band_keys(sketches_of(values, counts, t)[:, :used], rows))
+    n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    matrix = np.concatenate(bands) if bands else np.zeros((0, used // rows), np.int64)
+    return pa.array(n, pa.int64()), pa.array(keys, pa.binary()), list_array(matrix, n > 0)
 
 
 def sketched_rows(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), set_key (digest of the set), bands."""
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, keys, bands = [], [], []
-        for text in batch.column("text").to_pylist():
-            s = shingles(text)
-            sizes.append(len(s))
-            keys.append(set_key(s))
-            bands.append(band_keys(sketch(s)) if len(s) else np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-             list_array(bands)], names=["doc_id", "n", "set_key", "bands"])
+        columns = set_columns(batch.column("text").to_pylist(), COORDINATES, COORDINATES, ROWS)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "set_key", "bands"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), one,
                      "doc_id long, n long, set_key binary, bands array<long>")
@@ -184,13 +242,14 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links that join different labels among the members of one pair of blocks."""
     rows = rows.drop_duplicates("set_key").reset_index(drop=True)
     items = [np.frombuffer(x, np.uint64) for x in rows["items"]]
-    sketches = np.stack([sketch(x) for x in items]) if items else np.zeros((0, COORDINATES), np.uint64)
+    counts = np.array([len(x) for x in items], np.int64)
+    sketches = sketches_of(np.concatenate(items) if items else np.zeros(0, np.uint64), counts)
     share = percent / 100
     least = COORDINATES * share - SPREAD * np.sqrt(COORDINATES * share * (1 - share))
     names = {v: k for k, v in enumerate(dict.fromkeys(rows["label"]))}
     label = rows["label"].map(names).to_numpy()
     side = rows["side"].to_numpy()
-    sizes = np.array([len(x) for x in items])
+    sizes = counts
     found = []
     for i in range(len(items)):
         other = np.flatnonzero((label != label[i]) & (side != side[i]) if side.any() else (label != label[i]))
