@@ -50,7 +50,7 @@ from tally.llm.common import stored, text_or_empty
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1       # pieces in a window
 PACK_BYTES = 4 << 20
-RANGE_BYTES = 12 << 20          # text for which one range of anchor hashes is made
+RANGE_BYTES = 3 << 20           # text for which one range of anchor hashes is made
 HOT_PACKS = 50_000
 CHUNK = 1 << 19                 # windows whose anchors are found at a time
 _POSITION = np.uint64((1 << 20) - 1)
@@ -447,10 +447,11 @@ def cut_repeats(docs: DataFrame, hot_packs: int = HOT_PACKS) -> DataFrame:
     packs = packed(docs)
     total = packs.agg(F.sum("size")).first()[0] or 0
     n_ranges = max(1, -(-total // RANGE_BYTES))
-    again = (anchors(packs, n_ranges).groupBy("range")
-             .applyInArrow(lambda t: repeated_anchors(t, hot_packs), "pack long, repeated binary, hot binary")
-             .groupBy("pack").agg(F.collect_list("repeated").alias("repeated"), F.collect_list("hot").alias("hot")))
-    known = stored(packs.select("pack", "blob").join(again, "pack", "left"))
+    again = stored(anchors(packs, n_ranges).groupBy("range")
+                   .applyInArrow(lambda t: repeated_anchors(t, hot_packs), "pack long, repeated binary, hot binary")
+                   .groupBy("pack").agg(F.collect_list("repeated").alias("repeated"), F.collect_list("hot").alias("hot")))
+    # used twice in one plan, with one exchange of the packs
+    known = packs.select("pack", "blob").join(again, "pack", "left")
     judged = (sent_segments(known, n_ranges).groupBy("range")
               .applyInArrow(verdicts, "pack long, range long, kept binary")
               .groupBy("pack").agg(F.collect_list(F.struct("range", "kept")).alias("verdicts")))
