@@ -151,6 +151,46 @@ def test_paragraph_clusters(docs_of):
     assert paragraphs.clusters(docs.where("false")).count() == 0
 
 
+def test_pasted_passages_are_found(docs_of):
+    """Passages of 50 words and more in short sentences, short lines, without punctuation and in the middle of a line."""
+    rng = random.Random(12)
+    sentences = " ".join(prose(rng, 9) + "." for _ in range(7))
+    lines = "\n".join(prose(rng, 6) for _ in range(10))
+    dots = " ".join(prose(rng, 3) + " e.g. 3.14 a.b.c/d" for _ in range(10))
+    plain = [prose(rng, 60) for _ in range(30)]
+    rows = [(k, f"{prose(rng, 30)}\n{p}\n{prose(rng, 30)}") for k, p in enumerate((sentences, lines, dots))]
+    rows += [(10 + k, f"{prose(rng, 7)}\n{p}\n{prose(rng, 30)}") for k, p in enumerate((sentences, lines, dots))]
+    rows += [(100 + k, f"{prose(rng, 25)} {p} {prose(rng, 25)}") for k, p in enumerate(plain)]
+    rows += [(200 + k, f"{prose(rng, 40)} {p} {prose(rng, 15)}") for k, p in enumerate(plain)]
+    texts = dict(rows)
+    covered = {i: np.zeros(len(t), bool) for i, t in rows}
+    for r in paragraphs.clusters(docs_of(rows)).collect():
+        covered[r["doc_id"]][r["start"]:r["end"]] |= not r["kept"]
+    part = lambda i, p: covered[i][texts[i].index(p):][:len(p)].mean()
+    for k, p in enumerate((sentences, lines, dots)):
+        assert part(10 + k, p) == 1
+    found = [part(200 + k, p) for k, p in enumerate(plain)]
+    assert min(found) > 0.3 and np.mean(found) > 0.65
+    assert not any(covered[i].any() for i in (*range(3), *range(100, 130)))
+
+
+def test_overlapping_paragraphs_do_not_remove_each_other(docs_of):
+    rows = [(1, "ha " * 40), (2, "one two three four five six " * 20)]
+    kept = {r["doc_id"]: r["text"] for r in paragraphs.cut(docs_of(rows)).collect()}
+    assert all(len(kept[i].split()) >= 10 for i in kept)
+
+
+def test_every_word_lies_in_a_paragraph():
+    rng = random.Random(13)
+    for n in range(10, 120):
+        text = "".join(w + rng.choice([" ", " ", " ", ". ", "\n", "! "]) for w in prose(rng, n).split())
+        inside = np.zeros(len(text), bool)
+        for s, e in paragraphs.paragraphs(text):
+            inside[s:e] = True
+            assert len(text[s:e].split()) >= 10
+        assert all(inside[i] or c in " \n.!" for i, c in enumerate(text))
+
+
 # ---- substrings
 
 def plain_cut(rows, length=100):
