@@ -174,6 +174,20 @@ def test_pasted_passages_are_found(docs_of):
     assert not any(covered[i].any() for i in (*range(3), *range(100, 130)))
 
 
+def test_links_of_paragraphs_are_found_without_chance():
+    """Every two sets at the threshold share a key."""
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 40)] * 5:
+        fresh = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+        m = n + int(rng.integers(0, n // 4 + 1))
+        shared = fresh(-(-80 * (n + m) // 180))
+        a, b = (np.unique(np.append(shared, fresh(k - len(shared)))) for k in (n, m)) if len(shared) <= n else (shared[:n], shared[:n])
+        if not neardup.linked(np.sort(a), np.sort(b), 80):
+            continue
+        x, y = paragraphs.meeting_keys(np.concatenate([np.sort(a), np.sort(b)]), np.array([len(a), len(b)]), 80)
+        assert set(x.tolist()) & set(y.tolist())
+
+
 def test_overlapping_paragraphs_do_not_remove_each_other(docs_of):
     rows = [(1, "ha " * 40), (2, "one two three four five six " * 20)]
     kept = {r["doc_id"]: r["text"] for r in paragraphs.cut(docs_of(rows)).collect()}
