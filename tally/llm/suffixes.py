@@ -25,8 +25,10 @@ be equal are sorted together:
    with the earliest place is kept.
 5. The verdicts go back to the packs, which find their segments again and cut.
 
-An anchor held by more than ``HOT_PACKS`` packs is dealt out once more, by the
-content of its single windows, so no task gets all its segments.
+An anchor whose segments, distinct ones once per pack, may have more than ``RANGE_BYTES``
+bytes, or which more than ``HOT_PACKS`` packs hold, is dealt out by the
+content of its single windows, so no task gets all its segments; the text that this adds
+gets ranges of its own.
 
 Null texts count as empty. A null ``doc_id`` comes before all others; rows that
 share an id come in the order of the packs. Extra columns are ignored. An empty
@@ -227,6 +229,16 @@ class Pack:
         stops = np.flatnonzero(np.append((new | ~valid)[1:], True) & valid) + 1
         return starts + at, stops - starts, h[best[starts].astype(np.int64)]
 
+    def distinct_segments(self, starts: np.ndarray, counts: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """How many different segments each of the ``n`` owners has, by hash."""
+        step = np.cumprod(np.full(len(self.raw) + 1, _ODD[0]))   # modulo 2 ** 64
+        upto = np.append(np.uint64(0), np.cumsum(_TABLE[self.raw] * step[:-1]))
+        ends = starts + counts + LENGTH - 1
+        h = (upto[ends] - upto[starts]) * step[len(self.raw) - starts] + counts.astype(np.uint64)   # as if all began in one place
+        order = np.lexsort((h, owner))
+        new = np.append(True, (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1]))[:len(h)]
+        return np.bincount(owner[order][new], minlength=n)
+
     def places(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document number and place in it."""
         doc = np.searchsorted(self.ends, starts, side="right")
@@ -294,31 +306,44 @@ def by_range(ranges: np.ndarray) -> Iterator[tuple[int, slice]]:
 # ---- the three exchanges -----------------------------------------------------------------------------------------
 
 def anchors(packs: DataFrame, n_ranges: int) -> DataFrame:
-    """range, pack, hashes (sorted, distinct), twice (1 where the pack itself repeats it)."""
+    """range, pack, hashes (sorted, distinct), twice (1 where the pack itself repeats it), segments (how many
+    different ones, of those that it repeats)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column("pack").to_pylist(), batch.column("blob")):
-                hashes, counts = np.unique(Pack(blob.as_py()).runs()[2], return_counts=True)
-                rows = [(r, number, hashes[s].tobytes(), (counts[s] > 1).astype(np.uint8).tobytes())
+                pack = Pack(blob.as_py())
+                starts, windows, each = pack.runs()
+                hashes, owner, counts = np.unique(each, return_inverse=True, return_counts=True)
+                many = counts[owner] > 1
+                segments = pack.distinct_segments(starts[many], windows[many], owner[many], len(hashes)).astype(np.int32)
+                rows = [(r, number, hashes[s].tobytes(), (counts[s] > 1).astype(np.uint8).tobytes(), segments[s][counts[s] > 1].tobytes())
                         for r, s in by_range(ranges_of(hashes, n_ranges))]
-                yield pa.RecordBatch.from_pylist([dict(zip(("range", "pack", "hashes", "twice"), r)) for r in rows], schema)
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
 
-    schema = pa.schema([("range", pa.int64()), ("pack", pa.int64()), ("hashes", pa.binary()), ("twice", pa.binary())])
-    return packs.mapInArrow(run, "range long, pack long, hashes binary, twice binary")
+    schema = pa.schema([("range", pa.int64()), ("pack", pa.int64()), ("hashes", pa.binary()), ("twice", pa.binary()),
+                        ("segments", pa.binary())])
+    return packs.mapInArrow(run, "range long, pack long, hashes binary, twice binary, segments binary")
 
 
-def repeated_anchors(part: pa.Table, hot_packs: int) -> pa.Table:
-    """pack, repeated, hot of one range: which of each pack's anchors occur again, which are hot."""
+def repeated_anchors(part: pa.Table, hot_packs: int, range_bytes: int) -> pa.Table:
+    """pack, repeated, hot, more of one range: which of each pack's anchors occur again, which are hot, and the bytes
+    that the single windows of these may have."""
     blobs = [np.frombuffer(b, np.uint64) for b in part.column("hashes").to_pylist()]
-    twice = [np.frombuffer(b, np.uint8) for b in part.column("twice").to_pylist()]
+    twice = [np.frombuffer(b, np.uint8) > 0 for b in part.column("twice").to_pylist()]
     every, count = np.unique(np.concatenate(blobs), return_counts=True)
     again = count > 1
-    again[np.searchsorted(every, np.concatenate([b[t > 0] for b, t in zip(blobs, twice)]))] = True
-    hot = count > hot_packs
     at = [np.searchsorted(every, b) for b in blobs]
+    segments = count.copy()
+    for i, t, n in zip(at, twice, part.column("segments").to_pylist()):
+        again[i[t]] = True
+        segments[i[t]] += np.frombuffer(n, np.int32) - 1
+    hot = again & ((count > hot_packs) | (segments * (REACH + LENGTH - 1) > range_bytes))
+    more = [0] * len(blobs)
+    more[0] = int(segments[hot].sum()) * REACH * LENGTH
     return pa.table({"pack": part.column("pack"),
                      "repeated": pa.array([b[again[i]].tobytes() for b, i in zip(blobs, at)], pa.binary()),
-                     "hot": pa.array([b[hot[i]].tobytes() for b, i in zip(blobs, at)], pa.binary())})
+                     "hot": pa.array([b[hot[i]].tobytes() for b, i in zip(blobs, at)], pa.binary()),
+                     "more": pa.array(more, pa.int64())})
 
 
 def _joined(blobs: list[bytes] | None, kind) -> np.ndarray:
@@ -442,22 +467,32 @@ def cut_rows(judged: DataFrame, n_ranges: int) -> DataFrame:
     return judged.mapInArrow(run, "doc_id long, text binary, n_bytes long, n_removed long, n_spans long")
 
 
-def cut_repeats(docs: DataFrame, hot_packs: int = HOT_PACKS) -> DataFrame:
-    """One row per document: doc_id, text (bytes that remain), n_bytes, n_removed, n_spans."""
-    packs = packed(docs)
+def dealt(packs: DataFrame, hot_packs: int = HOT_PACKS) -> tuple[DataFrame, int]:
+    """pack, blob, repeated, hot; and how many ranges their segments are dealt out to."""
     total = packs.agg(F.sum("size")).first()[0] or 0
-    n_ranges = max(1, -(-total // RANGE_BYTES))
+    n_ranges, range_bytes = max(1, -(-total // RANGE_BYTES)), RANGE_BYTES
     again = stored(anchors(packs, n_ranges).groupBy("range")
-                   .applyInArrow(lambda t: repeated_anchors(t, hot_packs), "pack long, repeated binary, hot binary")
-                   .groupBy("pack").agg(F.collect_list("repeated").alias("repeated"), F.collect_list("hot").alias("hot")))
-    # used twice in one plan, with one exchange of the packs
-    known = packs.select("pack", "blob").join(again, "pack", "left")
+                   .applyInArrow(lambda t: repeated_anchors(t, hot_packs, range_bytes), "pack long, repeated binary, hot binary, more long")
+                   .groupBy("pack").agg(F.collect_list("repeated").alias("repeated"), F.collect_list("hot").alias("hot"),
+                                        F.sum("more").alias("more")))
+    more = again.agg(F.sum("more")).first()[0] or 0
+    return packs.select("pack", "blob").join(again.drop("more"), "pack", "left"), n_ranges + -(-more // range_bytes)
+
+
+def cut_packs(packs: DataFrame, hot_packs: int = HOT_PACKS) -> DataFrame:
+    # known is used twice in one plan, with one exchange of the packs
+    known, n_ranges = dealt(packs, hot_packs)
     judged = (sent_segments(known, n_ranges).groupBy("range")
               .applyInArrow(verdicts, "pack long, range long, kept binary")
               .groupBy("pack").agg(F.collect_list(F.struct("range", "kept")).alias("verdicts")))
     return cut_rows(known.join(judged, "pack", "left"), n_ranges)
 
 
+def cut_repeats(docs: DataFrame, hot_packs: int = HOT_PACKS) -> DataFrame:
+    """One row per document: doc_id, text (bytes that remain), n_bytes, n_removed, n_spans."""
+    return cut_packs(packed(docs), hot_packs)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     return cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))

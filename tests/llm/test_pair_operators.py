@@ -252,6 +252,25 @@ def test_repeated_substrings_odd_rows(docs_of):
     assert suffixes.digest(docs_of([(1, text)]).where("false")).count() == 0
 
 
+def test_a_line_in_a_third_of_the_documents(docs_of):
+    """One anchor with a different segment in each of many documents is dealt out over many ranges, at production values."""
+    rng = random.Random(8)
+    line = prose(rng, 40)[:90]
+    around = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=75))
+    rows = [(k, around() + line + around() if k % 3 == 0 else around()[:12]) for k in range(66_000)]
+    rows += [(70_000 + k, "again " + rows[3 * k][1]) for k in range(5)]
+    packs = suffixes.packed(docs_of(rows))
+    known, n_ranges = suffixes.dealt(packs)
+    load = defaultdict(int)
+    for r in suffixes.sent_segments(known, n_ranges).select("range", "numbers").collect():
+        numbers = np.frombuffer(suffixes.zstandard.decompress(r["numbers"]), np.int64)
+        load[r["range"]] += int(numbers.reshape(6, -1)[0].sum())
+    assert len(load) > 10 and max(load.values()) < 1.5 * suffixes.RANGE_BYTES
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.cut_repeats(docs_of(rows)).drop("text").collect()}
+    assert len(got) == len(rows) and {i for i, g in got.items() if g[1]} == set(range(70_000, 70_005))
+    assert all(got[70_000 + k][1:] == (240, 1) for k in range(5))
+
+
 @pytest.mark.parametrize("letters", [1, 2, 3, 26])
 def test_suffix_order(letters):
     rng = np.random.default_rng(letters)
