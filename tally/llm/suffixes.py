@@ -8,7 +8,7 @@ A suffix sort of all bytes would move each byte several times, though most
 strings occur once. So suffixes are dealt out by content and only those that can
 be equal are sorted together:
 
-1. Documents are written once as packs of about ``PACK_BYTES``, the unit of all
+1. Documents are written once as packs of about ``PACK_BYTES`` (``PACK_DOCS`` documents at most), the unit of all
    later steps.
 2. Each window (string of ``LENGTH`` bytes) is assigned to an anchor, the
    ``GRAM``-byte piece in it with the smallest hash. Equal windows have equal
@@ -52,6 +52,7 @@ from tally.llm.common import stored, text_or_empty
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1       # pieces in a window
 PACK_BYTES = 4 << 20
+PACK_DOCS = 1 << 18
 RANGE_BYTES = 3 << 20           # text for which one range of anchor hashes is made
 HOT_PACKS = 50_000
 CHUNK = 1 << 19                 # windows whose anchors are found at a time
@@ -170,7 +171,7 @@ def packed(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 held.append((doc_id, text.as_py().encode("utf-8", "replace")))
                 size += len(held[-1][1])
-                if size >= PACK_BYTES:
+                if size >= PACK_BYTES or len(held) >= PACK_DOCS:
                     yield flush()
         if held:
             yield flush()
@@ -255,7 +256,7 @@ def ranges_of(hashes: np.ndarray, n: int) -> np.ndarray:
 class Segments:
     """Distinct segments of a pack's repeated anchors, in a fixed order by range, and where each occurs."""
 
-    def __init__(self, pack: Pack, number: int, repeated: np.ndarray, hot: np.ndarray, n_ranges: int):
+    def __init__(self, pack: Pack, repeated: np.ndarray, hot: np.ndarray, n_ranges: int):
         starts, counts, hashes = pack.runs()
         again = np.isin(hashes, repeated)
         starts, counts, hashes = starts[again], counts[again], hashes[again]
@@ -273,7 +274,7 @@ class Segments:
         doc, place = pack.places(starts)
         low = -(1 << 63)
         ids = np.array([low if i is None else i for i in pack.ids] or [0], np.int64)
-        self.ids, self.rows, self.place = ids[doc], (number << 20) + doc, place
+        self.ids, self.rows, self.place = ids[doc], doc, place
         seen: dict[bytes, int] = {}
         self.which = np.empty(len(starts), np.int64)
         texts: list[bytes] = []
@@ -352,7 +353,7 @@ def _joined(blobs: list[bytes] | None, kind) -> np.ndarray:
 
 def segments_of(row: dict, n_ranges: int) -> tuple[Pack, Segments]:
     pack = Pack(row["blob"])
-    return pack, Segments(pack, row["pack"], _joined(row["repeated"], np.uint64), _joined(row["hot"], np.uint64), n_ranges)
+    return pack, Segments(pack, _joined(row["repeated"], np.uint64), _joined(row["hot"], np.uint64), n_ranges)
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -392,10 +393,11 @@ def verdicts(part: pa.Table) -> pa.Table:
             texts.append(whole[at:at + size])
             at += size
     size, windows, hashes, ids, rows, place = np.concatenate(numbers, axis=1)
+    pack = np.repeat(part.column("pack").to_numpy(), [n.shape[1] for n in numbers])   # rows are numbers within a pack
     # equal segments: one, with the earliest place
     unique: dict[bytes, int] = {}
     which = np.array([unique.setdefault(t, len(unique)) for t in texts], np.int64)
-    by_place = np.lexsort((place, rows, ids, which))
+    by_place = np.lexsort((place, rows, pack, ids, which))
     lead = by_place[np.append(True, which[by_place][1:] != which[by_place][:-1])]   # by number of the unique segment
     first_here = np.zeros(len(texts), bool)
     first_here[lead] = True
@@ -412,7 +414,7 @@ def verdicts(part: pa.Table) -> pa.Table:
         of = np.repeat(sort_these, n_windows[sort_these])
         nth = np.arange(len(of)) - np.repeat(np.cumsum(n_windows[sort_these]) - n_windows[sort_these], n_windows[sort_these])
         owner = lead[of]
-        order = np.lexsort((place[owner] + nth, rows[owner], ids[owner], classes))
+        order = np.lexsort((place[owner] + nth, rows[owner], pack[owner], ids[owner], classes))
         earliest = np.append(True, classes[order][1:] != classes[order][:-1])
         keeps[(offsets[of] + nth)[order[~earliest]]] = 0
     packs, kept, at = part.column("pack").to_pylist(), [], 0

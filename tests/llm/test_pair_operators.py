@@ -271,6 +271,19 @@ def test_a_line_in_a_third_of_the_documents(docs_of):
     assert all(got[70_000 + k][1:] == (240, 1) for k in range(5))
 
 
+def test_repeated_substrings_of_late_partitions_and_empty_documents(docs_of, monkeypatch):
+    """Pack numbers as in an input of very many splits; packs also end at a number of documents."""
+    monkeypatch.setattr(suffixes, "PACK_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "PACK_DOCS", 4)
+    rows = substring_rows() + [(100 + k, "") for k in range(30)]
+    packs = suffixes.packed(docs_of(rows, 1))
+    assert packs.count() >= len(rows) / 4
+    late = packs.withColumn("pack", F.col("pack") + F.lit(1_000_000 << 32))
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["text"]).hexdigest())
+                 for r in suffixes.cut_packs(late).collect())
+    assert got == plain_cut(rows)
+
+
 @pytest.mark.parametrize("letters", [1, 2, 3, 26])
 def test_suffix_order(letters):
     rng = np.random.default_rng(letters)
