@@ -5,7 +5,9 @@ Gaussian projections, cut into slots of ``WIDTH``. A query visits its own bucket
 and the buckets one slot away in any of the projections, in the order of their
 estimated success (the squared distances to the slots that are crossed, summed),
 ``PROBES`` buckets a table. The candidates of all tables are merged and ranked by
-the exact cosine of the original vectors in double precision.
+the exact cosine of the original vectors in double precision. A query for which
+this finds fewer ids than asked for, though there are more vectors of its length, is compared
+with all of them, so every query gets ``k`` neighbours or all there are.
 
 The index is cut by vector into blocks of about ``BLOCK_ROWS`` rows, each with
 all its tables, so a crowded bucket is spread over all blocks. Queries are sent to
@@ -94,18 +96,18 @@ class Tables:
         return np.flatnonzero(found)
 
 
-def search_block(index: pd.DataFrame, queries: pd.DataFrame, keep: int) -> pd.DataFrame:
-    """query, id, score: for each query the block's best candidates, ``keep`` ids at most."""
+def search_block(index: pd.DataFrame, queries: pd.DataFrame, keep: int, whole: bool = False) -> pd.DataFrame:
+    """query, id, score: for each query the block's best candidates, or with ``whole`` the best of all rows, ``keep`` ids at most."""
     out: tuple[list, list, list] = ([], [], [])
     if len(index) and len(queries):
         x, q = np.stack(index["v"].to_numpy()), np.stack(queries["v"].to_numpy())
         # times a power of two, which rounds nothing: no square over- or underflows
         x, q = (a * np.exp2(-np.floor(np.log2(np.abs(a).max(1, keepdims=True)))) for a in (x, q))
         x_norm, q_norm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-        tables = Tables(x / x_norm[:, None])
+        tables = None if whole else Tables(x / x_norm[:, None])
         ids = index["ids"].to_numpy()
         for i, name in enumerate(queries["query"].tolist()):
-            c = tables.candidates(q[i] / q_norm[i])
+            c = tables.candidates(q[i] / q_norm[i]) if tables else np.arange(len(x))
             cosine = (x[c] @ q[i]) / (x_norm[c] * q_norm[i])
             if len(c) > keep:  # all that reach the score of the keep-th
                 least = np.partition(cosine, len(c) - keep)[len(c) - keep]
@@ -124,19 +126,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, ident: str = "vec_
     index = stored(entries(rows, keep))
     asked = rows.where(is_query)
     distinct = stored(asked.groupBy("v").agg(F.min("id").alias("query")))
-    n_index, n_queries = index.count(), distinct.count()
-    blocks, groups = max(1, -(-n_index // BLOCK_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
+    blocks = max(1, -(-index.count() // BLOCK_ROWS))
     spread = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dim = F.size("v").alias("dim")
-    left = index.select("v", "ids", dim, spread("v", blocks).cast("int").alias("block"), every(groups).alias("part"))
-    right = distinct.select("v", "query", dim, spread("query", groups).cast("int").alias("part"), every(blocks).alias("block"))
     key = ["dim", "block", "part"]
-    found = (left.groupBy(*key).cogroup(right.groupBy(*key))
-             .applyInPandas(lambda x, q: search_block(x, q, keep), "query long, id long, score double"))
-    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
-    top = (found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep)
-           .groupBy("query").agg(F.array_sort(F.collect_list(F.struct("n", "id", "score"))).alias("top")))
+
+    def best_of(queries: DataFrame, whole: bool) -> DataFrame:
+        """query, top: the best ``keep`` found, in order."""
+        groups = max(1, -(-queries.count() // QUERY_ROWS))
+        left = index.select("v", "ids", dim, spread("v", blocks).cast("int").alias("block"), every(groups).alias("part"))
+        right = queries.select("v", "query", dim, spread("query", groups).cast("int").alias("part"), every(blocks).alias("block"))
+        found = (left.groupBy(*key).cogroup(right.groupBy(*key))
+                 .applyInPandas(lambda x, q: search_block(x, q, keep, whole), "query long, id long, score double"))
+        best = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+        return (found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep)
+                .groupBy("query").agg(F.array_sort(F.collect_list(F.struct("n", "id", "score"))).alias("top")))
+
+    top = stored(best_of(distinct, False))
+    there = index.groupBy(dim).agg(F.sum(F.size("ids")).alias("there"))
+    short = stored(distinct.withColumn("dim", dim).join(there, "dim").join(top, "query", "left")
+                   .where(F.coalesce(F.size("top"), F.lit(0)) < F.least(F.col("there"), F.lit(keep))).select("v", "query"))
+    if not short.isEmpty():
+        top = top.join(short, "query", "left_anti").union(best_of(short, True))
     own = asked.select("v", F.col("id").alias("query_id")).join(distinct, "v").select("query_id", "query")
     mine = F.slice(F.filter("top", lambda t: t["id"] != F.col("query_id")), 1, k)
     return (own.join(top, "query").select("query_id", F.posexplode(mine).alias("at", "t"))

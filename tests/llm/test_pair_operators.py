@@ -374,6 +374,30 @@ def test_nearest_odd_vectors(spark, monkeypatch):
     assert neighbours.nearest(df.where("false"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_nearest_of_few_and_far_vectors(spark):
+    """Every query gets all candidates where there are fewer than asked for, also those that no bucket leads to."""
+    rng = np.random.default_rng(5)
+    rows, n = [], 0
+    for count in range(2, 7):
+        for copy in range(3):
+            dim = 60 + 3 * count + copy                        # compared within their length only
+            basis = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+            vectors = [basis[0], -basis[0], *basis[1:]][:count] if copy else basis[:count]
+            rows += [(n + k, v.tolist()) for k, v in enumerate(vectors)]
+            n += 10
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") >= 0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    by_table = defaultdict(dict)
+    for i, v in rows:
+        by_table[len(v)][i] = np.array(v)
+    for table in by_table.values():
+        for i, v in table.items():
+            found = sorted(got[i])
+            assert [rank for rank, _, _ in found] == list(range(1, len(table))) and {j for _, j, _ in found} == set(table) - {i}
+            assert all(score == pytest.approx(float(v @ table[j]), abs=1e-9) for _, j, score in found)
+
+
 def test_buckets_are_visited_by_estimated_success():
     rng = np.random.default_rng(2)
     unit = rng.normal(size=(500, 16))
