@@ -5,7 +5,8 @@ text has no long pieces for it. Strings of ``MIN_LENGTH`` or more key
 characters whose characters-per-token ratio is at most ``MAX_RATIO`` are
 reported as kind ``token``, unless they are a known digest (hex of a digest
 length, UUID) or an identifier (letters in ordinary casing, joined by
-separators or followed by a number). The fixed patterns (kinds ``assign``,
+separators or followed by a number, that are short or spelt with as few tokens as
+words are). The fixed patterns (kinds ``assign``,
 ``access``, ``hex``) always stay; a ``token`` span that overlaps one of them
 is not repeated.
 
@@ -46,6 +47,8 @@ DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{48}|[0-9a-f
                     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$")
 SEPARATORS = re.compile(r"[+/_=-]+")
 #: An ordinary part of an identifier: lower, UPPER, Capitalised or camelCase, then at most a short number; or a number.
+SHORT = 3   # letters in a row that say nothing
+LETTERS = re.compile(rf"[A-Za-z]{{{SHORT + 1},}}")
 PART = re.compile(r"(?:[a-z]+|[A-Z]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*)?[0-9]{0,6}|[0-9]+")
 
 
@@ -70,11 +73,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def tokens(string: str) -> int:
+    return len(encoder().encode_ordinary(string))
+
+
+def is_identifier(string: str) -> bool:
+    """Ordinary parts whose letters, all longer runs together, are words by the token-efficiency test (in small letters or as they are)."""
+    if not all(map(PART.fullmatch, SEPARATORS.split(string))):
+        return False
+    runs = LETTERS.findall(string)
+    return sum(map(len, runs)) > MAX_RATIO * sum(min(tokens(r), tokens(r.lower())) for r in runs) or not runs
+
+
 def looks_random(string: str) -> bool:
     """The token-efficiency test of one candidate."""
-    if DIGEST.match(string) or all(map(PART.fullmatch, SEPARATORS.split(string))):
+    if DIGEST.match(string) or is_identifier(string):
         return False
-    return len(string) <= MAX_RATIO * len(encoder().encode_ordinary(string))
+    return len(string) <= MAX_RATIO * tokens(string)
 
 
 def token_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -49,6 +49,21 @@ def test_secret_scan(docs_of, small_rows):
     assert secrets.scan(docs_of([(1, "x")]).where("false")).count() == 0
 
 
+def test_random_strings_in_one_case():
+    rng = np.random.default_rng(7)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        alone = ["".join(rng.choice(list(letters), 32)) for _ in range(200)]
+        joined = [sep.join(s[k:k + 8] for k in range(0, 32, 8)) for s in alone for sep in "-_/+="]
+        numbered = [s[:24] + "123456" for s in alone]
+        for strings in (alone, joined, numbered):
+            texts = [f"key {s} end" for s in strings]
+            assert np.mean([secrets.all_spans(t) == [(4, 3, len(t) - 4)] for t in texts]) >= 0.98
+            assert np.mean([secrets.masked(t, secrets.all_spans(t)) == "key [SECRET] end" for t in texts]) >= 0.98
+    for name in ("some_long_ordinary_identifier_name", "getElementsByClassName", "MAXIMUM_CONNECTION_TIMEOUT_SECONDS", "and/or/if/a/b/c/d/e/f/g/h",
+                 "supercalifragilisticexpialidocious", "internationalization", "path/to/your/documents", "====================", "--------------------"):
+        assert not secrets.looks_random(name), name
+
+
 def test_redact(docs_of):
     docs = docs_of([(1, f"a {KEY} b"), (2, None), (3, "clean text"), (3, "clean text"), (None, "token=abcdef")])
     out = secrets.redact(docs)
