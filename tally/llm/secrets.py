@@ -7,8 +7,8 @@ reported as kind ``token``, unless they are a known digest (hex of a digest
 length, UUID) or an identifier (letters in ordinary casing, joined by
 separators or followed by a number, that are short or spelt with as few tokens as
 words are). The fixed patterns (kinds ``assign``,
-``access``, ``hex``) always stay; a ``token`` span that overlaps one of them
-is not repeated.
+``access``, ``hex``) always stay; what they leave of a longer string is tested
+like a string of its own.
 
 Offsets are code points, end exclusive, over the whole match. Null and empty
 texts have no spans. Repeated rows are scanned one by one; a null ``doc_id``
@@ -94,9 +94,18 @@ def looks_random(string: str) -> bool:
 
 def token_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
+    k = 0
     for m in CANDIDATE.finditer(text):
-        if all(m.end() <= s or m.start() >= e for s, _, e in base) and looks_random(m[0]):
-            out.append((m.start(), 3, m.end()))
+        at, end = m.span()
+        while k < len(base) and base[k][2] <= at:   # neither this nor a later candidate touches it
+            k += 1
+        rest = []
+        j = k
+        while j < len(base) and base[j][0] < end:
+            rest.append((at, base[j][0]))
+            at, j = max(at, base[j][2]), j + 1
+        rest.append((at, end))
+        out += [(s, 3, e) for s, e in rest if e - s >= MIN_LENGTH and looks_random(text[s:e])]
     return out
 
 
