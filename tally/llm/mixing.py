@@ -24,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import WORD, stored, text_or_empty
+from tally.llm.common import WORD, partitions, stored, text_or_empty
+from tally.operators.positions import POS, global_positions
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 BITS, LEVELS = 12, 5  # 60 bits in all
+SOURCE_BOUND = 10_000  # sources that one task ranks and adds up
 
 
 def size_of(text: Column) -> Column:
@@ -43,17 +45,25 @@ def hash60(doc_id: Column, text: Column) -> Column:
 def targets(sizes: DataFrame) -> DataFrame:
     """One row per source (src, source): source_size, target. ``sizes``: src, source, size.
 
-    The table of sources is tiny next to the documents; ranking it by code point
-    and filling the shares up to their caps is done on that table alone.
+    Sources are ranked by code point and the shares filled up to their caps. Up to
+    ``SOURCE_BOUND`` sources one task does that; above it they are sorted by ranges, with
+    offsets from the sums of each partition.
     """
-    per = sizes.groupBy("src", "source").agg(F.sum("size").alias("source_size"))
-    ranked = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    per = stored(sizes.groupBy("src", "source").agg(F.sum("size").alias("source_size")))
+    few = per.count() <= SOURCE_BOUND
+    if few:
+        ranked = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    else:
+        ranked = (global_positions(per, [F.col("source").asc_nulls_last()], partitions(sizes.sparkSession))
+                  .select("src", "source", "source_size", F.col(POS).alias("rank")))
     weighted = (ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)),
                                                          (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("long"))
                 .withColumn("cap", F.lit(MAX_REPEATS).cast("long") * F.col("source_size")))
     # sources in the order in which they reach their cap when the level (words per weight) rises
     order = [(F.col("cap") / F.col("weight")).asc(), F.col("rank").asc()]
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if not few:
+        return many_targets(weighted, order)
     whole = Window.partitionBy(F.lit(1))
     level = ((F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0)))
              / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
@@ -69,6 +79,27 @@ def targets(sizes: DataFrame) -> DataFrame:
                         .otherwise(F.col("cap").cast("double")).alias("target"))
 
 
+def many_targets(weighted: DataFrame, order: list[Column]) -> DataFrame:
+    """The same without a window over all sources."""
+    rows = stored(weighted.repartitionByRange(partitions(weighted.sparkSession), *order).withColumn("part", F.spark_partition_id()))
+    sums = rows.groupBy("part").agg(F.sum("cap").alias("part_cap"), F.sum("weight").alias("part_weight"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)   # a row for each partition
+    offsets = sums.select("part", *(F.coalesce(F.sum(f"part_{c}").over(earlier), F.lit(0)).alias(f"{c}_offset") for c in ("cap", "weight")))
+    total = rows.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"))
+    here = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = {c: F.col(f"{c}_offset") + F.coalesce(F.sum(c).over(here), F.lit(0)) for c in ("cap", "weight")}
+    levels = stored(rows.join(offsets, "part").crossJoin(F.broadcast(total))
+                    .withColumns({"cap_before": before["cap"], "weight_before": before["weight"]})
+                    .withColumn("o", F.col("cap") / F.col("weight"))
+                    .withColumn("level", (F.col("words") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before")))
+                    .select("src", "source", "source_size", "cap", "weight", "o", "rank", "level"))
+    fixed = levels.where(F.col("o") >= F.col("level")).agg(F.min(F.struct("o", "rank", "level")).alias("fixed"))
+    free = F.coalesce(F.struct("o", "rank") >= F.struct(F.col("fixed.o").alias("o"), F.col("fixed.rank").alias("rank")), F.lit(False))
+    return (levels.crossJoin(F.broadcast(fixed))
+            .select("src", "source", "source_size", F.when(free, F.col("fixed.level") * F.col("weight"))
+                    .otherwise(F.col("cap").cast("double")).alias("target")))
+
+
 def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """One row per source: src, copies, cut (60-bit hash), left, unit.
 

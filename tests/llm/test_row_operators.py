@@ -158,6 +158,25 @@ MIX_ROWS = ([(i, "w " * (1 + i % 17), f"s{i % 4}") for i in range(200)] + [(500,
             (502, "", "empty"), (503, "x y", "tiny"), (504, "w " * 4000, "s1"), (7, "w " * 8, "s3"), (7, "w " * 8, "s3")])
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_targets_of_many_sources(spark, monkeypatch, many):
+    """A table of sources above the bound is ranked and added up in ranges, with the same targets."""
+    if many:
+        monkeypatch.setattr(mixing, "SOURCE_BOUND", 2)
+    rng = np.random.default_rng(4)
+    sizes = {None: 7, "": 0, "é": 90, **{f"host{i}.example/{i % 13}": int(n) for i, n in enumerate(rng.pareto(0.8, 600) * 20)}}
+    rows = [("n" if s is None else "s" + s, s, n) for s, n in sizes.items()]
+    df = spark.createDataFrame(rows, "src string, source string, size long")
+    targets = mixing.targets(df)
+    got = {r["source"]: (r["source_size"], r["target"]) for r in targets.collect()}
+    expected = plain_targets(sizes)
+    assert {s: n for s, (n, _) in got.items()} == sizes
+    assert all(t == pytest.approx(expected[s], rel=1e-9, abs=1e-6) for s, (_, t) in got.items())
+    if many:
+        assert "Window" not in targets._jdf.queryExecution().executedPlan().toString()
+    assert mixing.targets(df.where("false")).count() == 0
+
+
 def test_mixing(docs_of):
     docs = docs_of(MIX_ROWS)
     got = mixing.mix(docs).collect()
