@@ -66,3 +66,25 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
             if out is not None:
                 yield out
     return df.mapInArrow(run, schema)
+
+
+#: Keys that are dealt out apart from the others: those with over 1 / HOT_SHARE of all rows, so HOT_SHARE at most.
+HOT_SHARE, HOT_LEAST = 10_000, 1_000
+
+
+def joined_on_hot(rows: DataFrame, keyed: DataFrame, on: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` (one row per key) in which no task gets all rows of a frequent key.
+
+    ``count`` says how many of ``rows`` have the key. Keys with more than the
+    10,000th part of all rows (and 1,000 at least) are 10,000 at most, whatever the
+    input's size; they are broadcast, so their rows stay where they are. The
+    others go through an ordinary join, where a key brings no more rows than that.
+    The column ``count`` is left out of the result; null keys join nothing.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    bound = max(HOT_LEAST, total // HOT_SHARE)
+    hot = F.broadcast(keyed.where(F.col(count) > bound).drop(count))
+    cold = keyed.where(F.col(count) <= bound).drop(count)
+    spread = rows.join(hot, on)
+    rest = rows.join(F.broadcast(keyed.where(F.col(count) > bound).select(on)), on, "left_anti").join(cold, on)
+    return spread.unionByName(rest)

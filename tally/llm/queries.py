@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import fingerprints, mixing, neardup, neighbours, packing, paragraphs, quality, secrets, suffixes, toxicity
+from tally.llm import (bitplanes, fingerprints, mixing, neardup, neighbours, packing, paragraphs, prefixes, quality, secrets,
+                       simhash, suffixes, toxicity)
 from tally.llm.common import checksum_split, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted")))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -67,8 +80,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Builder]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_neighbours, op3_near_duplicates, op4_paragraphs, op5_suffix_dedup, op6_packing, op7_mixing,
-        op8_fingerprints, op9_quality, op10_toxicity, pipeline)}
+        op8_fingerprints, op9_quality, op10_toxicity, op11_simhash, op12_centroids, op13_prefix_trie, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_duplicates": neardup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
+    return {"op3_near_duplicates": neardup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op12_centroids": bitplanes.ORACLE_SQL,
+            "op13_prefix_trie": prefixes.ORACLE_SQL}
