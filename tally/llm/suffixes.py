@@ -298,7 +298,9 @@ class Segments:
 
 
 def by_range(ranges: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """Slices of a sorted array of range numbers."""
+    """Slices of a sorted array of range numbers; an array that isn't sorted is an error."""
+    if (ranges[1:] < ranges[:-1]).any():
+        raise ValueError("range numbers have to be sorted")
     values, begins = np.unique(ranges, return_index=True)
     for v, b, e in zip(values.tolist(), begins.tolist(), [*begins.tolist()[1:], len(ranges)]):
         yield v, slice(b, e)
@@ -317,8 +319,11 @@ def anchors(packs: DataFrame, n_ranges: int) -> DataFrame:
                 hashes, owner, counts = np.unique(each, return_inverse=True, return_counts=True)
                 many = counts[owner] > 1
                 segments = pack.distinct_segments(starts[many], windows[many], owner[many], len(hashes)).astype(np.int32)
+                ranges = ranges_of(hashes, n_ranges)
+                order = np.argsort(ranges, kind="stable")
+                ranges, hashes, counts, segments = ranges[order], hashes[order], counts[order], segments[order]
                 rows = [(r, number, hashes[s].tobytes(), (counts[s] > 1).astype(np.uint8).tobytes(), segments[s][counts[s] > 1].tobytes())
-                        for r, s in by_range(ranges_of(hashes, n_ranges))]
+                        for r, s in by_range(ranges)]
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
 
     schema = pa.schema([("range", pa.int64()), ("pack", pa.int64()), ("hashes", pa.binary()), ("twice", pa.binary()),
