@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tally.functions.clean import blank_nulls, diff_numeric, diff_string, number_tail, squash_spaces, string_tail
 from tally.operators.names import q
 from tally.operators.normalize import KEY
-from tally.operators.pair import MATCHED, RN, STATUS, source_name, target_name
+from tally.operators.pair import MATCHED, STATUS, source_name, target_name
+from tally.operators.runs import COPIES, RN, expanded
 
 COLUMN_NAME = "Column Name"
 ANY = "_any"     # true when any compared column of a pair differs
@@ -97,7 +98,9 @@ def cells(paired: DataFrame, fl: dict[str, Column], labels: dict[str, str],
     # Only rows with a difference reach the generator, which holds plain columns:
     # no higher-order function (interpreted) and no rule in its body.
     names = list(fl)
-    staged = mismatched(paired).select(
+    rows = mismatched(paired)
+    rows = expanded(rows) if COPIES in rows.columns else rows
+    staged = rows.select(
         F.col(KEY), F.col(RN), *[src(c).alias(c) for c in context],
         *[f.alias(f"_f{i}") for i, f in enumerate(fl.values())],
         *[blank_nulls(src(c)).alias(f"_sv{i}") for i, c in enumerate(names)],

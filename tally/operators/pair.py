@@ -1,8 +1,8 @@
 """Pair source rows with target rows (positional keys, match, missing, surplus).
 
-Both sides are tagged and unioned, then numbered within their key: the k-th
-source row of a key pairs with the k-th target row of the same key. The result
-has one row per (key, position), the values of each side as ``_s_{column}`` and
+The k-th source row of a key pairs with the k-th target row of the same key. The
+result has one row per pair of runs of equal rows (see ``runs``): ``_copies`` pairs at the
+positions from ``_rn`` on, the values of each side as ``_s_{column}`` and
 ``_t_{column}``, and a status:
 
 * ``MATCHED``            both present
@@ -16,16 +16,12 @@ numbered by ``order_by``, then by all of these columns (ascending, nulls first):
 rows that still tie are equal in everything the outputs show, so the result does
 not depend on partitions, cores or retries.
 
-Physical plan (cold keys): ONE hash exchange on ``_key`` for the union; the
-per-side row_number, the per-key side counts and the (key, position) grouping
-all reuse that partitioning (window and aggregate keys contain ``_key``).
+Three ways, all with the same rows:
 
-Hot keys: a key holding more than ``hot_key_rows`` rows would put all of them
-in one task. Such keys are counted (one partial aggregate over the keys, only
-if the tables together have more rows than the threshold), however many there
-are, and numbered with a range partitioning on (key, side, order...) instead, so
-one key spreads over many tasks. The (key, position) grouping then hashes on
-both columns, which spreads hot keys evenly. Both ways give the same rows.
+* no key repeats (``judge`` has counted them): one full outer join on the key, no positions;
+* keys that repeat: runs, one exchange on the key, one sweep (``cold_pairs``);
+* hot keys, with more than ``hot_key_rows`` rows: runs spread by order and position (``hot_pairs``).
+  The keys are counted by ``judge`` already, however many there are.
 """
 
 from __future__ import annotations
@@ -38,8 +34,9 @@ from pyspark.sql import functions as F
 from tally.operators.names import q
 from tally.operators.normalize import KEY
 from tally.operators.positions import GROUP_ROWS, POS, global_positions
+from tally.operators.runs import COPIES, HAS_S, HAS_T, NS, NT, RN, SIDE, cold_pairs, hot_pairs
 
-SIDE, RN, NS, NT, STATUS, HAS_S, HAS_T = "_side", "_rn", "_ns", "_nt", "_status", "_has_s", "_has_t"
+STATUS = "_status"
 MATCHED = "MATCHED"
 MISSING_IN_TARGET = "MISSING_IN_TARGET"
 MISSING_IN_SOURCE = "MISSING_IN_SOURCE"
@@ -67,35 +64,15 @@ def _tag(df: DataFrame, side: int, source_cols: list[str], target_cols: list[str
                      *[(q(c) if side == 1 else null).alias(target_name(c)) for c in target_cols])
 
 
-def _values(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in (KEY, SIDE) and not c.startswith("_o")]
-
-
-def _group_pairs(numbered: DataFrame, values: list[str], counts: list[Column]) -> DataFrame:
-    """One row per (key, position); at most one source and one target row."""
-    return numbered.groupBy(KEY, RN).agg(
-        F.max(F.col(SIDE) == 0).alias(HAS_S), F.max(F.col(SIDE) == 1).alias(HAS_T),
-        *[F.first(q(c), ignorenulls=True).alias(c) for c in values], *counts)
-
-
-def _cold_pairs(u: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
-    by_side = Window.partitionBy(KEY, SIDE).orderBy(*order)
-    by_key = Window.partitionBy(KEY)
-    numbered = (u.repartition(KEY)
-                .withColumn(RN, (F.row_number().over(by_side) - 1).cast("bigint"))
-                .withColumn(NS, F.count_if(F.col(SIDE) == 0).over(by_key))
-                .withColumn(NT, F.count_if(F.col(SIDE) == 1).over(by_key)))
-    return _group_pairs(numbered, values, [F.max(NS).alias(NS), F.max(NT).alias(NT)])
-
-
-def _hot_pairs(u: DataFrame, order: list[Column], values: list[str], partitions: int) -> DataFrame:
-    """Positions for hot keys via range partitioning (see ``global_positions``);
-    side totals come from a partial aggregate, never from a window over a key's rows."""
-    numbered = global_positions(u, order, partitions, group=[KEY, SIDE])
-    totals = numbered.groupBy(KEY).agg(
-        F.max(F.when(F.col(SIDE) == 0, F.col(GROUP_ROWS)).otherwise(F.lit(0))).alias(NS),
-        F.max(F.when(F.col(SIDE) == 1, F.col(GROUP_ROWS)).otherwise(F.lit(0))).alias(NT))
-    return _group_pairs(numbered.withColumn(RN, F.col(POS).cast("bigint")), values, []).join(totals, KEY)
+def _unique_pairs(source: DataFrame, target: DataFrame, source_cols: list[str], target_cols: list[str]) -> DataFrame:
+    """Pairs of keys of which no side has two rows."""
+    s = source.select(KEY, F.lit(True).alias("_in_s"), *[q(c).alias(source_name(c)) for c in source_cols])
+    t = target.select(KEY, F.lit(True).alias("_in_t"), *[q(c).alias(target_name(c)) for c in target_cols])
+    has = {HAS_S: F.coalesce("_in_s", F.lit(False)), HAS_T: F.coalesce("_in_t", F.lit(False))}
+    one = lambda n: F.lit(n).cast("bigint")
+    return s.join(t, KEY, "full_outer").select(
+        KEY, one(0).alias(RN), one(1).alias(COPIES), has[HAS_S].cast("bigint").alias(NS), has[HAS_T].cast("bigint").alias(NT),
+        *[c.alias(n) for n, c in has.items()], *[q(source_name(c)) for c in source_cols], *[q(target_name(c)) for c in target_cols])
 
 
 def classify(paired: DataFrame) -> DataFrame:
@@ -115,10 +92,14 @@ def hot_keys_of(keys: DataFrame, total_rows: int, hot_key_rows: int = HOT_KEY_RO
             .checkpoint(eager=True))
 
 
+def _is_small(hot: DataFrame) -> bool:
+    return hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+
+
 def _split(df: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of hot keys, all other rows."""
     marks = hot.select(KEY, F.lit(True).alias("_hot"))
-    marks = F.broadcast(marks) if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else marks
+    marks = F.broadcast(marks) if _is_small(hot) else marks
     marked = df.join(marks, KEY, "left")
     return marked.where("_hot").drop("_hot"), marked.where("_hot is null").drop("_hot")
 
@@ -134,17 +115,30 @@ def _hot_partitions(hot: DataFrame) -> int:
 
 
 def pair_rows(source: DataFrame, target: DataFrame, source_cols: list[str], target_cols: list[str],
-              order_by: list[str], hot: DataFrame | None = None) -> DataFrame:
-    """Paired and classified rows (lazy). ``source``/``target`` carry ``_key``; ``hot`` lists keys for the range path."""
+              order_by: list[str], hot: DataFrame | None = None, unique: bool = False) -> DataFrame:
+    """Paired and classified runs (lazy). ``source``/``target`` carry ``_key``; ``hot`` lists keys for the spread path;
+    ``unique``: no key has two rows on a side."""
+    if unique:
+        return classify(_unique_pairs(source, target, source_cols, target_cols))
     u = (_tag(source, 0, source_cols, target_cols, order_by)
          .unionByName(_tag(target, 1, source_cols, target_cols, order_by)))
-    values = _values(u)
-    order = [F.col(f"_o{i}").asc_nulls_first() for i in range(len(order_by))] + [q(c).asc_nulls_first() for c in values]
+    s_values, t_values = [source_name(c) for c in source_cols], [target_name(c) for c in target_cols]
+    order = ([F.col(f"_o{i}").asc_nulls_first() for i in range(len(order_by))]
+             + [q(c).asc_nulls_first() for c in [*s_values, *t_values]])
     if hot is None:
-        return classify(_cold_pairs(u, order, values))
+        return classify(cold_pairs(u, order, s_values, t_values))
     hot_rows, cold_rows = _split(u, hot)
-    cold = _cold_pairs(cold_rows, order, values)
-    return classify(cold.unionByName(_hot_pairs(hot_rows, order, values, _hot_partitions(hot))))
+    spread = hot_pairs(hot_rows, order, s_values, t_values, _hot_partitions(hot), _is_small(hot))
+    return classify(cold_pairs(cold_rows, order, s_values, t_values).unionByName(spread))
+
+
+def only_keys(side: DataFrame, keys: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Rows of ``side`` whose key is listed. Rows of ``hot`` keys (listed as well) stay where they are."""
+    if hot is None or not _is_small(hot):
+        return side.join(keys, KEY, "left_semi")
+    marks = F.broadcast(hot.select(KEY))
+    return (side.join(marks, KEY, "left_semi")
+            .unionByName(side.join(marks, KEY, "left_anti").join(keys, KEY, "left_semi")))
 
 
 def number_within_key(df: DataFrame, order: list[Column], hot: DataFrame | None = None) -> DataFrame:

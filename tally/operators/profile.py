@@ -1,10 +1,13 @@
 """Column profiling: choose the compare rule of each column.
 
-Two grouped counts over whole columns, no sample. The first reads every column of
-both sides: cells are turned into rows (column number, text) *before* any rule, so
-the rules exist once in the generated code however many columns there are, and
-the counts are summed up per column before the shuffle. The second does the same
-for the columns that may be dates only, for the shares of the known formats. The
+Two grouped counts over whole columns, no sample. The first is a histogram of
+*shapes*: cells are turned into rows (column number, text) and a text into its shape, in
+which every digit stands for all digits. The rules (date-like, castable, dash, sentinel) see only
+classes of characters, so they say the same of a text and of its shape and run
+once per shape, of which a column has few. A text that begins with a letter of no number or sentinel is
+decided by that letter; texts with other characters than numbers and dates have, or very long ones,
+are decided on the spot. Histograms add up, so cells are summed up before the shuffle. The second
+count looks at the columns that may be dates only, for the shares of the known formats. The
 driver gets one row of counters per column and side.
 """
 
@@ -70,30 +73,72 @@ def numeric_stats(values: Column) -> tuple[Column, Column, Column]:
     return real, real & castable, real & values.contains("-")
 
 
-def _cells(df: DataFrame, columns: list[str], keys: set[str], side: str) -> DataFrame:
-    """side, column_name, raw text, text as a key is compared, stripped text, and whether it looks like a date."""
+def _raw_cells(df: DataFrame, columns: list[str], keys: set[str], side: str) -> DataFrame:
+    """side, column_name, raw text, is_key: one row per cell."""
     cell = F.array(*[F.struct(F.lit(c).alias("column_name"), blank_nulls(q(c)).alias("raw"), F.lit(c in keys).alias("is_key"))
                      for c in columns])
-    rows = (df.select(F.inline(cell))
-            .select(F.lit(side).alias("side"), "column_name", "raw", "is_key", py_strip(F.col("raw")).alias("stripped")))
+    return (df.select(F.inline(cell))
+            .select(F.lit(side).alias("side"), "column_name", "raw", "is_key"))
+
+
+def _judged_cells(cells: DataFrame) -> DataFrame:
+    """Raw cells, their text as a key is compared, the stripped text, and whether it looks like a date."""
+    rows = cells.withColumn("stripped", py_strip(F.col("raw")))
     rows = rows.select("*", F.when(F.col("is_key"), normalize_key("raw")).otherwise(F.col("raw")).alias("final"),
                        (~is_sentinel(F.col("stripped"))).alias("real"))
     return rows.withColumn("looks", F.col("real") & date_like(F.col("stripped")))
 
 
-def text_counts(cells: DataFrame) -> DataFrame:
-    """First step: one row of counters per side and column."""
+# A shape is "S" and the text with its digits replaced, or "D" and the verdicts as 0 or 1 in the order of VERDICTS.
+VERDICTS = ("real", "looks", "n_real", "n_cast", "n_dash")
+LONGEST_SHAPE = 64
+#: Characters of numbers, dates and sentinels; blanks other than the plain one are decided on the spot.
+TAME = "^[-+0-9.,%/: nNaAoOeEiIfFtTyY]*$"
+
+
+def _opens_with_other_letter(text: Column) -> Column:
+    """The first character is an ASCII letter with which no number, date or sentinel begins."""
+    first = F.lower(F.substring(text, 1, 1))
+    return (first >= F.lit("a")) & (first <= F.lit("z")) & ~first.isin("n", "i")
+
+
+def _verdicts(cells: DataFrame) -> DataFrame:
+    """``VERDICTS`` of each row of ``_judged_cells``, as columns."""
     real, castable, dash = numeric_stats(F.col("final"))
-    n = lambda c: F.count_if(c).cast("bigint")
-    return cells.groupBy("side", "column_name").agg(
-        F.count(F.lit(1)).alias("rows"), n(F.col("real")).alias("nonsentinel"), n(F.col("looks")).alias("date_like"),
-        n(real).alias("numbers_of"), n(castable).alias("castable"), n(dash).alias("with_dash"))
+    return cells.select("*", real.alias("n_real"), castable.alias("n_cast"), dash.alias("n_dash"))
+
+
+def shape_histogram(cells: DataFrame) -> DataFrame:
+    """side, column_name, is_key, shape, n: how many cells of a column have which shape."""
+    raw = F.col("raw")
+    digits = F.when(F.col("is_key"), F.translate(raw, "23456789", "1" * 8)).otherwise(F.translate(raw, "023456789", "1" * 9))
+    stripped = py_strip(raw)
+    final = F.when(F.col("is_key"), normalize_key("raw")).otherwise(raw)
+    real = ~is_sentinel(stripped)
+    n_real, n_cast, n_dash = numeric_stats(final)
+    bits = [real, real & date_like(stripped), n_real, n_cast, n_dash]
+    told = F.concat(F.lit("D"), *[F.when(b, F.lit("1")).otherwise(F.lit("0")) for b in bits])
+    shape = (F.when(_opens_with_other_letter(raw), F.when(raw.contains("-"), F.lit("D10101")).otherwise(F.lit("D10100")))
+             .when((F.length(raw) <= LONGEST_SHAPE) & raw.rlike(TAME), F.concat(F.lit("S"), digits)).otherwise(told))
+    return cells.groupBy("side", "column_name", "is_key", shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def text_counts(cells: DataFrame) -> DataFrame:
+    """First step: one row of counters per side and column, from raw cells."""
+    shapes = shape_histogram(cells).withColumn("raw", F.substring("shape", 2, LONGEST_SHAPE))
+    judged = _verdicts(_judged_cells(shapes))
+    told = F.substring("shape", 1, 1) == "D"
+    n = lambda i: F.coalesce(F.sum(F.when(F.when(told, F.substring("shape", 2 + i, 1) == "1").otherwise(F.col(VERDICTS[i])),
+                                          F.col("n"))), F.lit(0)).cast("bigint")
+    return judged.groupBy("side", "column_name").agg(
+        F.sum("n").alias("rows"), n(0).alias("nonsentinel"), n(1).alias("date_like"),
+        n(2).alias("numbers_of"), n(3).alias("castable"), n(4).alias("with_dash"))
 
 
 def format_counts(cells: DataFrame) -> DataFrame:
     """Second step: per side and column how many texts each known format parses (``parsed_j``; ``exact_j`` without
     stripping), and the number counters of the values that the no-format rule leaves."""
-    looks = F.col("looks")
+    cells, looks = _judged_cells(cells), F.col("looks")
     same = F.col("raw") == F.col("stripped")
     parsed = [(looks & parse_with(F.col("stripped"), f).isNotNull()).alias(f"p{j}") for j, f in enumerate(FORMATS)]
     real, castable, dash = numeric_stats(F.col("final"))
@@ -134,7 +179,7 @@ def profile_both(source: DataFrame, target: DataFrame, compare: list[str], keys:
     key_set = set(keys)
 
     def all_cells(columns: dict[str, list[str]]) -> DataFrame | None:
-        parts = [_cells(sides[s][0], cols, key_set, s) for s, cols in columns.items() if cols]
+        parts = [_raw_cells(sides[s][0], cols, key_set, s) for s, cols in columns.items() if cols]
         return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
 
     profiled = {s: list(dict.fromkeys([*compare, *sorted(explicit)])) for s, (_, explicit) in sides.items()}
@@ -187,7 +232,7 @@ def detect_dates(df: DataFrame, columns: list[str], explicit: set[str]) -> dict[
 def date_profile_frame(df: DataFrame, columns: list[str], side: str, keys: list[str] = ()) -> DataFrame:
     """Per column: non-sentinel and date-like counts and the auto-detect verdict."""
     need = F.greatest(F.col("nonsentinel") * F.lit(DATE_SHARE), F.lit(1.0))
-    return (text_counts(_cells(df, columns, set(keys), side))
+    return (text_counts(_raw_cells(df, columns, set(keys), side))
             .select("side", "column_name", "nonsentinel", "date_like",
                     ((F.col("nonsentinel") > 0) & (F.col("date_like") >= need)).alias("is_date")))
 
@@ -198,7 +243,7 @@ def date_format_frame(df: DataFrame, columns: list[str], side: str, keys: list[s
     chosen = F.lit(None).cast("string")
     for j in reversed(range(len(FORMATS))):
         chosen = F.when((F.col("nonsentinel") > 0) & (F.col(f"parsed_{j}") >= need), F.lit(FORMATS[j].strftime)).otherwise(chosen)
-    return (format_counts(_cells(df, columns, set(keys), side))
+    return (format_counts(_raw_cells(df, columns, set(keys), side))
             .select("side", "column_name", "nonsentinel", *[f"parsed_{j}" for j in range(len(FORMATS))],
                     chosen.alias("date_format")))
 

@@ -16,9 +16,9 @@ from tally.functions.clean import blank_nulls
 from tally.operators.diff import ANY, COLUMN_NAME, src, tgt
 from tally.operators.names import q
 from tally.operators.normalize import KEY
-from tally.operators.pair import (HAS_S, HAS_T, MATCHED, MISSING_IN_SOURCE, MISSING_IN_TARGET, NS, NT, RN,
-                                  STATUS, SURPLUS_IN_SOURCE, SURPLUS_IN_TARGET, source_name, target_name)
+from tally.operators.pair import MATCHED, MISSING_IN_SOURCE, MISSING_IN_TARGET, STATUS
 from tally.operators.positions import POS, global_positions
+from tally.operators.runs import COPIES, RN
 
 RECORD_STATUS = "Record Status"
 COUNT = "Count"
@@ -30,9 +30,7 @@ def _status(name: str) -> Column:
 
 def column_counts(paired: DataFrame, fl: dict[str, Column], labels: dict[str, str]) -> DataFrame:
     """Discrepancies per column (only columns with any), most first, then by label; one aggregate."""
-    is_m = _status(MATCHED)
-    row = paired.agg(F.array(*[F.struct(F.lit(labels[c]).alias(COLUMN_NAME),
-                                        F.count_if(is_m & f).cast("bigint").alias(COUNT))
+    row = paired.agg(F.array(*[F.struct(F.lit(labels[c]).alias(COLUMN_NAME), copies_where(f).alias(COUNT))
                                for c, f in fl.items()]).alias("a"))
     return row.select(F.inline("a")).where(F.col(COUNT) > 0).orderBy(F.desc(COUNT), q(COLUMN_NAME))
 
@@ -50,14 +48,14 @@ COUNTERS = ("source_rows", "target_rows", "matched", "missing_in_source", "missi
             "surplus_in_target", "duplicate_key_rows_in_source", "duplicate_key_rows_in_target", "records_affected")
 
 
-def counters(fl: dict[str, Column]) -> list[Column]:
-    """The aggregates behind every count, over paired rows: COUNTERS, then ``n0``, ``n1``, ... per compared column."""
-    is_m = _status(MATCHED)
-    conditions = [F.col(HAS_S), F.col(HAS_T), is_m, _status(MISSING_IN_SOURCE), _status(MISSING_IN_TARGET),
-                  _status(SURPLUS_IN_SOURCE), _status(SURPLUS_IN_TARGET), F.col(HAS_S) & (F.col(NS) > 1),
-                  F.col(HAS_T) & (F.col(NT) > 1), is_m & F.col(ANY)]
-    return ([F.count_if(c).cast("bigint").alias(n) for n, c in zip(COUNTERS, conditions)]
-            + [F.count_if(is_m & f).cast("bigint").alias(f"n{i}") for i, f in enumerate(fl.values())])
+def copies_where(condition: Column) -> Column:
+    """How many matched pairs meet the condition (a row stands for ``_copies`` pairs)."""
+    return F.coalesce(F.sum(F.when(_status(MATCHED) & condition, F.col(COPIES))), F.lit(0)).cast("bigint")
+
+
+def difference_counters(fl: dict[str, Column]) -> list[Column]:
+    """Aggregates over paired runs: ``records_affected``, then ``n0``, ``n1``, ... per compared column."""
+    return [copies_where(F.col(ANY)).alias("records_affected"), *[copies_where(f).alias(f"n{i}") for i, f in enumerate(fl.values())]]
 
 
 ALL_MATCHED, SOME_DIFFER = "All mapped columns matched perfectly", "Discrepancies found"
@@ -100,19 +98,6 @@ def summary(totals: DataFrame, labels: list[str], source_label: str, target_labe
     return totals.select(F.inline(F.concat(lines, columns)))
 
 
-def missing(paired: DataFrame, status: str, side: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of one side whose key is absent from the other side, all columns of
-    that side (target columns under their source names).
-
-    From the paired rows if they hold all these columns, else the side's own rows
-    with the keys that are missing (every row of such a key is missing)."""
-    name = source_name if status == MISSING_IN_TARGET else target_name
-    lost = paired.where(_status(status))
-    if all(name(c) in paired.columns for c in columns):
-        return lost.select(*[q(name(c)).alias(c) for c in columns])
-    return side.join(lost.select(KEY).distinct(), KEY, "left_semi").select(*[q(c) for c in columns])
-
-
 def with_comments(df: DataFrame, comment_columns: tuple[str, ...]) -> DataFrame:
     return df.withColumns({c: F.lit("") for c in comment_columns}) if comment_columns else df
 
@@ -160,6 +145,18 @@ def top_n(cells: DataFrame, keys: list[str], include: list[str], value_names: tu
     return with_comments(first.select(*[q(c) for c in cols]), comment_columns)
 
 
+def page_files(cells: DataFrame, keys: list[str], include: list[str], value_names: tuple[str, str], page_rows: int,
+               partitions: int, rows: int, comment_columns: tuple[str, ...] = ()) -> DataFrame:
+    """Report rows so dealt out that partition k holds the k-th ``page_rows`` rows in report order: written, every
+    file but the last has exactly that many. ``rows``: how many there are."""
+    cols = report_columns(keys, include, value_names, cells.columns)
+    pages = max(1, -(-rows // page_rows))
+    placed = global_positions(cells, report_order(keys), partitions)
+    page = ((F.col(POS) - F.col(POS) % page_rows) / page_rows).cast("int")
+    dealt = placed.repartitionById(pages, page).sortWithinPartitions(POS)
+    return with_comments(dealt.select(*[q(c) for c in cols]), comment_columns)
+
+
 def paginate(cells: DataFrame, keys: list[str], include: list[str], value_names: tuple[str, str],
              page_rows: int, partitions: int) -> DataFrame:
     """Report rows with a 1-based ``page`` of ``page_rows`` rows each."""

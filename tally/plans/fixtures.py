@@ -86,6 +86,29 @@ HOT_TGT = """select case when l_orderkey%3=0 then 'hot' else cast(l_orderkey as
   cast(cast(l_extendedprice + case when l_partkey%61=0 then 1 else 0 end as decimal(18,2)) as string) as price from lineitem
 where l_partkey%107<>0"""
 
+# A third of all rows under one key, in few different rows: long runs of equal ones on both sides.
+RUNS_SRC = """select case when l_orderkey%3=0 then 'hot' else cast(l_orderkey as string) end as ok,
+  case when l_orderkey%3=0 then cast(l_linenumber%3 as string) else cast(l_partkey as string) end as pk,
+  case when l_orderkey%3=0 then l_returnflag else cast(cast(l_extendedprice as decimal(18,2)) as string) end as price from lineitem"""
+
+RUNS_TGT = """select case when l_orderkey%3=0 then 'hot' else cast(l_orderkey as string) end as ok,
+  case when l_orderkey%3=0 then cast(l_linenumber%3 as string) else cast(l_partkey as string) end as pk,
+  case when l_orderkey%3=0 then case when l_partkey%211=0 then lower(l_returnflag) else l_returnflag end
+       else cast(cast(l_extendedprice + case when l_partkey%61=0 then 1 else 0 end as decimal(18,2)) as string) end as price from lineitem
+where l_partkey%107<>0"""
+
+# Rows whose order is that of the files they are written to (``ord``, which the files do not hold), with quoted line ends.
+_FILE_ORD = """lpad(cast(100-l_linenumber as string),3,'0')||'-'||lpad(cast(l_partkey as string),10,'0')||'-'||
+  lpad(cast(l_suppkey as string),10,'0')||'-'||lpad(cast(cast(l_extendedprice as decimal(18,2)) as string),14,'0')||'-'||l_returnflag"""
+
+FILES_SRC = f"""select cast(l_orderkey as string) as ok, cast(l_partkey as string) as pk,
+  cast(cast(l_extendedprice as decimal(18,2)) as string) as price, 'say "'||l_returnflag||'",'||chr(10)||'"' as note, {_FILE_ORD} as ord from lineitem"""
+
+FILES_TGT = f"""select cast(l_orderkey as string) as ok, cast(l_partkey as string) as pk,
+  cast(cast(l_extendedprice + case when l_partkey%59=0 then 1 else 0 end as decimal(18,2)) as string) as price,
+  case when l_suppkey%29=0 then 'say '||chr(10) else 'say "'||l_returnflag||'",'||chr(10)||'"' end as note, {_FILE_ORD} as ord
+from lineitem where l_partkey%97<>0"""
+
 # Cells that a careless text file would spoil: blanks at both ends, quotes, commas, line ends, backslashes.
 TEXTS_SRC = """select cast(o_orderkey as string) as id, '  '||o_orderpriority||' "x", '||chr(92)||' ' as note,
   o_orderstatus as status from orders"""
@@ -116,6 +139,7 @@ _CUST = ("id", "name", "bal", "seg")
 _DUPS = ("ok", "pk", "price", "rf")
 _HOT = ("ok", "pk", "price")
 _TEXTS = ("id", "note", "status")
+_FILES = ("ok", "pk", "price", "note")
 _CONV = ("conv_id", "turn", "role", "text")
 _EVENTS = ("event_id", "ts", "event_type", "value", "props")
 
@@ -135,6 +159,12 @@ FIXTURES: dict[str, Fixture] = {
     "hot": Fixture("hot", HOT_SRC, HOT_TGT, _HOT, _HOT,
                    ReconSpec(mappings=_identity(_HOT), key_columns=("ok",),
                              source_name="hot_src", target_name="hot_tgt"), ("lineitem",)),
+    "runs": Fixture("runs", RUNS_SRC, RUNS_TGT, _HOT, _HOT,
+                    ReconSpec(mappings=_identity(_HOT), key_columns=("ok",),
+                              source_name="runs_src", target_name="runs_tgt"), ("lineitem",)),
+    "files": Fixture("files", FILES_SRC, FILES_TGT, (*_FILES, "ord"), (*_FILES, "ord"),
+                     ReconSpec(mappings=_identity(_FILES), key_columns=("ok",), order_by=("ord",),
+                               source_name="files_src", target_name="files_tgt"), ("lineitem",)),
     "texts": Fixture("texts", TEXTS_SRC, TEXTS_TGT, _TEXTS, _TEXTS,
                      ReconSpec(mappings=_identity(_TEXTS), key_columns=("id",),
                                source_name="texts_src", target_name="texts_tgt"), ("orders",)),

@@ -1,9 +1,11 @@
 """``reconcile(source, target, spec)``: the whole comparison as one lazy plan.
 
-Driver work is limited to name resolution and the profile's counters; every
-output is a lazy DataFrame over the same paired rows. ``ReconResult.write``
-materialises the rows that differ or are one-sided once (Parquet under the
-session's checkpoint folder), takes all counters in the same pass and derives
+Driver work is limited to name resolution and counters. Two passes come first: the
+profile, and ``judge``, which counts every key and finds those that agree on both sides.
+Every output is then a lazy DataFrame. Counts and missing rows come from the
+judged keys; only keys that differ are paired, unless an output shows equal rows too
+(``full_data``, ``flags``, ``paired``). ``ReconResult.write`` materialises the pairs that
+differ once (Parquet under the session's checkpoint folder) and derives
 every output from that copy, so a lost executor never recomputes the shuffle for
 each output.
 """
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -20,9 +22,12 @@ from pyspark.sql import functions as F
 from tally.operators import diff as D
 from tally.operators import pair as P
 from tally.operators import report as R
+from tally.operators.judge import Judged, judge
 from tally.operators.normalize import KEY, add_key, normalize_dates, normalize_keys, rename, stringify
 from tally.operators.profile import Profile, profile_both
-from tally.session import scratch_path
+from tally.operators.names import q
+from tally.operators.runs import expanded
+from tally.session import scratch_path, spread_small
 from tally.sources.files import write_table
 from tally.spec import Alignment, ReconSpec, align, config_rows
 
@@ -48,6 +53,7 @@ class Prepared:
 
 def aligned_sides(source: DataFrame, target: DataFrame, spec: ReconSpec) -> tuple[Alignment, DataFrame, DataFrame]:
     """Aligned, stringified sides with keys normalised once (what profiling reads)."""
+    source, target = spread_small(source), spread_small(target)
     al = align(spec, source.columns, target.columns)
     scales = dict(spec.decimal_scales)
     s = rename(stringify(source, scales), al.source_renames)
@@ -91,11 +97,14 @@ class ReconRecord:
 @dataclass
 class ReconResult:
     prepared: Prepared
-    paired: DataFrame
-    flags_stored: bool = False
-    totals: DataFrame | None = None     # the row of counters, if it was taken already
-    complete: bool = True               # False: equal rows were left out of ``paired``
-    counted: dict = field(default_factory=dict)
+    judged: Judged
+    hot: DataFrame | None = None        # keys of the spread path
+    stored: DataFrame | None = None     # pairs with flags, written once
+    complete: bool = True               # False: ``stored`` holds only pairs that differ
+    counted: dict | None = None         # the counters of differences, if they were taken already
+
+    #: Share of all rows from which on pairing everything is cheaper than leaving out what agrees.
+    FILTER_SHARE = 0.5
 
     # -- shorthand ---------------------------------------------------------
     @property
@@ -107,26 +116,40 @@ class ReconResult:
         return self.prepared.alignment
 
     def fl(self) -> dict:
-        """Per-column difference flags as columns of ``self.paired``."""
+        """Per-column difference flags, as columns of the pairs."""
         return D.stored_flags(self.prepared.alignment.compare)
 
-    def __post_init__(self):
-        # Every output reads the ``__diff_{c}`` columns; add them (staged
-        # projections, lazily) unless this result reads a stored copy.
-        if not self.flags_stored:
-            p = self.prepared
-            self.paired = D.add_flags(self.paired, p.alignment.compare, p.numeric, self.spec.case_sensitive)
-            self.flags_stored = True
+    # -- pairs -------------------------------------------------------------
+    def _pairs(self, every: bool) -> DataFrame:
+        """Runs of pairs with their flags: of every key, or of all that may hold a difference."""
+        if self.stored is not None:
+            if every and not self.complete:
+                raise ValueError("equal rows were not kept: set include_full_data")
+            return self.stored
+        p, n = self.prepared, self.judged.counts
+        source, target, hot, unique = p.source, p.target, self.hot, n["most"] <= 1
+        if not every and n["open_rows"] < self.FILTER_SHARE * (n["source_rows"] + n["target_rows"]):
+            keys, unique = self.judged.two_sided(), not self.judged.has_duplicates
+            hot = None if hot is None else hot.join(keys, KEY, "left_semi")
+            source, target = P.only_keys(source, keys, hot), P.only_keys(target, keys, hot)
+        carried = list(dict.fromkeys([*self.al.compare, *self.al.context]))
+        pairs = P.pair_rows(source, target, carried, self.al.compare, self.al.order_by, hot, unique)
+        return D.add_flags(pairs, self.al.compare, p.numeric, self.spec.case_sensitive)
+
+    @property
+    def paired(self) -> DataFrame:
+        """One row per (key, position), equal rows included: what every other output is defined on."""
+        return expanded(self._pairs(every=True) if self.stored is None else self.stored)
 
-    def _all(self) -> DataFrame:
-        if not self.complete:
-            raise ValueError("equal rows were not kept: set include_full_data")
-        return self.paired
+    def _missing(self, rows: DataFrame, side: str) -> DataFrame:
+        """Rows of a side whose key the other side lacks: no positions are needed for them."""
+        keys = self.judged.one_sided(side)
+        return P.only_keys(rows, keys, None if self.hot is None else self.hot.join(keys, KEY, "left_semi"))
 
     # -- outputs -----------------------------------------------------------
     def cells(self) -> DataFrame:
         """Differing cells with internal (_key, _rn) columns."""
-        return D.cells(self.paired, self.fl(), self.prepared.labels, self.al.context, self.spec.value_label)
+        return D.cells(self._pairs(False), self.fl(), self.prepared.labels, self.al.context, self.spec.value_label)
 
     def discrepancies(self) -> DataFrame:
         return self.cells().drop(KEY, P.RN)
@@ -136,69 +159,88 @@ class ReconResult:
                                     self.spec.comment_columns)
 
     def missing_in_target(self, comments: bool = False) -> DataFrame:
-        df = R.missing(self.paired, P.MISSING_IN_TARGET, self.prepared.source, self.al.source_columns)
+        df = self._missing(self.prepared.source, "source").select(*[q(c) for c in self.al.source_columns])
         return R.with_comments(df, self.spec.comment_columns) if comments else df
 
     def missing_in_source(self, comments: bool = False) -> DataFrame:
-        df = R.missing(self.paired, P.MISSING_IN_SOURCE, self.prepared.target, self.al.target_columns)
+        df = self._missing(self.prepared.target, "target").select(*[q(c) for c in self.al.target_columns])
         return R.with_comments(df, self.spec.comment_columns) if comments else df
 
     def full_data(self) -> DataFrame:
-        return R.full_data(self._all(), self.al.compare)
+        return R.full_data(expanded(self._pairs(True)), self.al.compare)
 
     def column_counts(self) -> DataFrame:
-        return R.column_counts(self.paired, self.fl(), self.prepared.labels)
+        return R.column_counts(self._pairs(False), self.fl(), self.prepared.labels)
+
+    def totals(self) -> DataFrame:
+        """One row: every counter of the summary."""
+        known = [F.lit(self.judged.counts[c]).cast("bigint").alias(c) for c in R.COUNTERS if c != "records_affected"]
+        if self.counted is not None:
+            spark = self.prepared.source.sparkSession
+            rest = spark.createDataFrame([tuple(self.counted.values())], ", ".join(f"{n} bigint" for n in self.counted))
+        else:
+            rest = self._pairs(False).agg(*R.difference_counters(self.fl()))
+        return rest.select(*known, "*")
 
     def summary(self) -> DataFrame:
-        totals = self.totals if self.totals is not None else self.paired.agg(*R.counters(self.fl()))
         spec = self.spec
-        return R.summary(totals, list(self.prepared.labels.values()), spec.source_label, spec.target_label,
+        return R.summary(self.totals(), list(self.prepared.labels.values()), spec.source_label, spec.target_label,
                          spec.source_name, spec.target_name)
 
     def flags(self) -> DataFrame:
-        return D.with_flags(self._all(), self.fl())
+        return D.with_flags(expanded(self._pairs(True)), self.fl())
 
     def mismatched(self) -> DataFrame:
-        return D.mismatched(self.paired)
+        return expanded(D.mismatched(self._pairs(False)))
 
     def columns_with_diffs(self) -> DataFrame:
-        return R.columns_with_diffs(self.paired, self.fl())
+        return R.columns_with_diffs(self._pairs(False), self.fl())
 
     def _partitions(self) -> int:
-        return int(self.paired.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return int(self.prepared.source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def top_n(self, n: int) -> DataFrame:
         return R.top_n(self.cells(), self.al.keys, self.al.include, self.spec.value_label, n,
                        self.spec.comment_columns, self._partitions())
 
     def pages(self, page_rows: int, partitions: int | None = None) -> DataFrame:
-        return R.paginate(self.cells(), self.al.keys, self.al.include, self.spec.value_label, page_rows,
+        """The report with page numbers. Its pairs are written once: sorting over the cluster reads them more than once."""
+        rows = self if self.stored is not None else self.materialize()
+        return R.paginate(rows.cells(), self.al.keys, self.al.include, self.spec.value_label, page_rows,
                           partitions or self._partitions())
 
+    def page_files(self, page_rows: int) -> DataFrame:
+        """The report in partitions of exactly ``page_rows`` rows (the last may hold fewer), in order."""
+        result = self if self.counted is not None else self.materialize()
+        cells = sum(n for c, n in result.counted.items() if c != "records_affected")
+        return R.page_files(result.cells(), self.al.keys, self.al.include, self.spec.value_label, page_rows,
+                            self._partitions(), cells, self.spec.comment_columns)
+
+    def write_pages(self, path: str, page_rows: int, fmt: str = "parquet") -> str:
+        """Write the report in files of exactly ``page_rows`` rows, in report order by file name; only the last may be shorter."""
+        write_table(self.page_files(page_rows), path, fmt)
+        return path
+
     def configuration(self) -> DataFrame:
         """How every mapping was treated (one row per mapping; spec-sized)."""
         names, rows = config_rows(self.spec, self.al, self.prepared.dates)
-        spark = self.paired.sparkSession
+        spark = self.prepared.source.sparkSession
         return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)).coalesce(1)
 
     # -- sinks -------------------------------------------------------------
     def materialize(self, path: str | None = None) -> "ReconResult":
-        """Write the paired rows with their difference flags once (Parquet in the shared checkpoint
+        """Write the pairs with their difference flags once (Parquet in the shared checkpoint
         folder) and return a result reading that copy: later outputs neither re-shuffle nor re-clean
-        values. Rows that match in every cell are counted in the same pass and written only for
-        ``include_full_data``."""
-        spark = self.paired.sparkSession
+        values. Pairs that are equal in every cell are written only for ``include_full_data``."""
+        spark = self.prepared.source.sparkSession
         path = path or scratch_path(spark, f"paired-{uuid.uuid4().hex}")
         seen = Observation(f"paired-{uuid.uuid4().hex}")
-        rows = self.paired.observe(seen, *R.counters(self.fl()))
         complete = self.complete and self.spec.include_full_data
+        rows = self._pairs(complete).observe(seen, *R.difference_counters(self.fl()))
         if not complete:
-            rows = rows.where((F.col(P.STATUS) != P.MATCHED) | F.col(D.ANY))
+            rows = D.mismatched(rows)
         rows.write.mode("overwrite").parquet(path)
-        got = seen.get
-        totals = spark.createDataFrame([tuple(got.values())], ", ".join(f"{n} bigint" for n in got))
-        return ReconResult(self.prepared, spark.read.schema(rows.schema).parquet(path), flags_stored=True, totals=totals,
-                           complete=complete, counted=got)
+        return ReconResult(self.prepared, self.judged, self.hot, spark.read.schema(rows.schema).parquet(path), complete, seen.get)
 
     def write(self, out_dir: str, fmt: str = "parquet", page_rows: int | None = None) -> ReconRecord:
         """Write every output (complete sets, no row cap; ``page_rows`` rows a file at most) as ``fmt``
@@ -220,7 +262,7 @@ class ReconResult:
         for name, df in outputs.items():
             paths[name] = f"{out_dir.rstrip('/')}/{name}"
             write_table(df, paths[name], fmt, page_rows)
-        n = result.counted
+        n = result.judged.counts | result.counted
         per_column = {label: n[f"n{i}"] for i, label in enumerate(self.prepared.labels.values())}
         cells = sum(per_column.values())
         return ReconRecord(
@@ -240,11 +282,10 @@ def reconcile(source: DataFrame, target: DataFrame, spec: ReconSpec, *, numeric:
     """
     prep = prepare(source, target, spec, numeric=numeric)
     al = prep.alignment
+    judged = judge(prep.source, prep.target, al.compare, al.order_by, prep.numeric, spec.case_sensitive, hot_key_rows)
     if hot_keys is not None:
         rows = [(k, 0) for k in hot_keys]
         hot = source.sparkSession.createDataFrame(rows, f"{KEY} string, _rows bigint") if rows else None
     else:
-        keys = prep.source.select(KEY).unionByName(prep.target.select(KEY))
-        hot = P.hot_keys_of(keys, prep.profile.total_rows, hot_key_rows)
-    carried = list(dict.fromkeys([*al.compare, *al.context]))
-    return ReconResult(prep, P.pair_rows(prep.source, prep.target, carried, al.compare, al.order_by, hot))
+        hot = judged.hot()
+    return ReconResult(prep, judged, hot)

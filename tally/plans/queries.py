@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,14 @@ from tally.functions import clean as C
 from tally.functions import dates as DT
 from tally.operators import profile as PR
 from tally.operators.diff import src, tgt
+from tally.operators.names import q
 from tally.operators.normalize import KEY, add_key, normalize_keys, rename, stringify
 from tally.operators.pair import RN, duplicate_key_counts, hot_keys_of, number_within_key
 from tally.plans import oracle as O
 from tally.plans.fixtures import FIXTURES, load, register_tables
 from tally.plans.pipeline import ReconResult, aligned_sides, prepare, reconcile
 from tally.session import scratch_path
-from tally.sources.files import scan_csv_strings
+from tally.sources.files import ROW_ORDER, scan_csv_strings, write_table
 
 PAGE_ROWS = 500
 TOP_N = 1000
@@ -504,6 +506,59 @@ def q_discrepancies_hot(spark, sf):
     return _hot(spark, sf).discrepancies()
 
 
+def _runs(spark, sf) -> ReconResult:
+    s, t, fx = load(spark, sf, "runs")
+    return reconcile(s, t, fx.spec, hot_key_rows=HOT_ROWS)
+
+
+def q_summary_runs(spark, sf):
+    return _runs(spark, sf).summary()
+
+
+def q_discrepancies_runs(spark, sf):
+    return _runs(spark, sf).discrepancies()
+
+
+def files_in_order(spark, sf) -> ReconResult:
+    """Both sides of `files` written as CSV in the order of ``ord``, without it; read back in splits and paired in file order."""
+    s, t, fx = load(spark, sf, "files")
+
+    def written(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, f"csv-files-{uuid.uuid4().hex}")
+        write_table(df.orderBy("ord").drop("ord"), path, "csv")
+        return scan_csv_strings(spark, path, row_order=True)
+
+    return reconcile(written(s), written(t), replace(fx.spec, order_by=(ROW_ORDER,)))
+
+
+def q_discrepancies_files(spark, sf):
+    return files_in_order(spark, sf).discrepancies()
+
+
+def q_summary_files(spark, sf):
+    return files_in_order(spark, sf).summary()
+
+
+def q_page_files(spark, sf):
+    """The `orders` report written in files of ``PAGE_ROWS`` rows and read back: every row with its file's number and size."""
+    path = scratch_path(spark, f"pages-{uuid.uuid4().hex}")
+    run(spark, sf, "orders").write_pages(path, PAGE_ROWS)
+    rows = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_name"))
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("file_rows"))
+    number = (F.regexp_extract("file", "part-([0-9]+)", 1).cast("bigint") + 1).alias("page")
+    return rows.join(files, "file").select(*[q(c) for c in rows.columns if c != "file"], number, "file_rows")
+
+
+def sql_page_files() -> str:
+    def body(p):
+        cols = ", ".join(O.ident(c) for c in p.report_cols())
+        comments = "".join(f", '' as {O.ident(c)}" for c in p.spec.comment_columns)
+        return (f"select *, count(*) over (partition by page) as file_rows from (select {cols}{comments}, "
+                f"cast(floor((row_number() over (order by {p.report_order()}) - 1) / {PAGE_ROWS}) + 1 as bigint) as page "
+                f"from ({p.cells_sql(internal=True)}) c) x")
+    return O.fixture_sql("orders", body)
+
+
 def q_scan_csv_strings(spark, sf):
     """Write the orders target fixture as CSV (shared scratch folder), read it
     back with the all-string scan."""
@@ -561,6 +616,11 @@ def registry() -> dict[str, tuple[Builder, Callable[[], str] | str]]:
         "written_csv": (q_written_csv, sql_written_csv),
         "summary_hot": (q_summary_hot, lambda: _sql_summary("hot")),
         "discrepancies_hot": (q_discrepancies_hot, lambda: _sql_discrepancies("hot")),
+        "summary_runs": (q_summary_runs, lambda: _sql_summary("runs")),
+        "discrepancies_runs": (q_discrepancies_runs, lambda: _sql_discrepancies("runs")),
+        "summary_files": (q_summary_files, lambda: _sql_summary("files")),
+        "discrepancies_files": (q_discrepancies_files, lambda: _sql_discrepancies("files")),
+        "page_files": (q_page_files, sql_page_files),
     }
     for name in ("lines", "cust", "conv", "events", "dups"):
         reg[f"discrepancies_{name}"] = (_q_discrepancies(name), (lambda n=name: _sql_discrepancies(n)))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tally") -> SparkSession:
@@ -52,3 +52,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str | None = None) -> str:
     """A fresh path under the checkpoint folder for intermediate tables."""
     return f"{checkpoint_dir(spark).rstrip('/')}/tally/{name or uuid.uuid4().hex}"
+
+
+SPREAD_BYTES = 1 << 30   # input up to which rows are dealt out before work that is done per cell
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over ``spark.sql.shuffle.partitions``, if Spark estimates it at ``SPREAD_BYTES`` at most.
+
+    A small table is often one file that Spark reads in one task; a large one has
+    many splits by itself and is left as it is. Only the columns that are used are dealt out.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES:
+        return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -10,44 +10,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.operators.names import q
+from tally.sources import csv_splits
 
 
 def csv_reader(spark: SparkSession, multi_line: bool = True):
-    """Every column a string; empty → null; short rows null-filled, long rows
-    truncated (PERMISSIVE); quoted newlines and doubled quotes understood.
-
-    ``multi_line=True`` is needed for quoted newlines but reads each file in
-    one task; with many large files and no embedded newlines pass False to
-    let Spark split files, or land a big CSV once as Parquet.
-    """
+    """Spark's own reader with every column a string; empty → null; short rows null-filled, long rows
+    truncated (PERMISSIVE); quoted newlines and doubled quotes understood. With
+    ``multi_line`` it reads each file in one task."""
     return (spark.read.option("header", True).option("inferSchema", False)
             .option("mode", "PERMISSIVE").option("multiLine", multi_line)
             .option("escape", '"').option("quote", '"').option("encoding", "UTF-8"))
 
 
-def scan_csv_strings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def scan_csv_strings(spark: SparkSession, path: str, multi_line: bool = True, row_order: bool = False) -> DataFrame:
     """Read CSV with every value as text; header names trimmed, a leading
-    byte-order mark dropped, blank header cells dropped, '' → null."""
-    df = csv_reader(spark, multi_line).csv(path)
+    byte-order mark dropped, blank header cells dropped, '' → null.
+
+    Large files are read in splits, quoted line ends included (see ``csv_splits``). ``multi_line=False``
+    leaves out the work that these need, for files without any. ``row_order`` adds ``_row_order``: text that
+    sorts rows by file and place in it, for ``order_by=("_row_order",)``.
+    """
+    header = csv_reader(spark, multi_line).csv(path)       # the names; no data is read
+    if multi_line or row_order:
+        df = csv_splits.scan(spark, path, len(header.columns), ROW_ORDER if row_order else None)
+    else:
+        df = header.toDF(*[f"_c{i}" for i in range(len(header.columns))])
     cols = []
-    for i, name in enumerate(df.columns):
-        clean = name.lstrip("﻿").strip()
+    for i, name in enumerate(header.columns):
+        clean = name.lstrip("\ufeff").strip()
         if clean:
-            cols.append(F.nullif(q(name), F.lit("")).alias(clean))
-    return df.select(*cols)
+            cols.append(F.nullif(F.col(f"_c{i}"), F.lit("")).alias(clean))
+    return df.select(*cols, *([ROW_ORDER] if row_order else []))
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """Column names only (trimmed, blanks dropped); reads the first line."""
     names = csv_reader(spark, multi_line=False).csv(path).columns
-    return [n.lstrip("﻿").strip() for n in names if n.lstrip("﻿").strip()]
+    return [n.lstrip("\ufeff").strip() for n in names if n.lstrip("\ufeff").strip()]
 
 
 ROW_ORDER = "_row_order"
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """``df``, as read from Parquet files, plus ``_row_order``: text that sorts rows by file and place in it.
+    """``df``, as read from Parquet files (CSV: ``scan_csv_strings(row_order=True)``), plus ``_row_order``: text that sorts rows by file and place in it.
 
     Both tables read this way and ``order_by=("_row_order",)`` pair duplicates in the
     order in which the files hold them, whatever later stages do to the partitions.
