@@ -70,7 +70,9 @@ def cold_pairs(rows: DataFrame, order: list[Column], s_values: list[str], t_valu
     before = Window.partitionBy(KEY, SIDE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     by_key = Window.partitionBy(KEY)
     rows_of = lambda side: F.coalesce(F.sum(F.when(F.col(SIDE) == side, F.col(_N))).over(by_key), F.lit(0))
-    placed = (runs_of(rows).repartition(KEY)
+    # a fixed number of partitions: few runs may stand for many rows, so they are not merged by their size
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = (runs_of(rows).repartition(tasks, KEY)
               .withColumn(_START, F.coalesce(F.sum(_N).over(before), F.lit(0)))
               .withColumn(NS, rows_of(0)).withColumn(NT, rows_of(1)).withColumn(_HIGH, F.lit(_NO_END)))
     return _swept(placed, [KEY], s_values, t_values)
@@ -89,7 +91,7 @@ def hot_pairs(rows: DataFrame, order: list[Column], s_values: list[str], t_value
     low, high = F.col(_BUCKET) * bucket, (F.col(_BUCKET) + 1) * bucket
     cut = (pieces.withColumn(_START, F.greatest(F.col(POS), low)).withColumn(_HIGH, high)
            .withColumn(_N, F.least(F.col(POS) + F.col(_N), high) - F.greatest(F.col(POS), low)))
-    return _swept(cut, [KEY, _BUCKET], s_values, t_values)
+    return _swept(cut.repartition(partitions, KEY, _BUCKET), [KEY, _BUCKET], s_values, t_values)
 
 
 def expanded(pairs: DataFrame) -> DataFrame:
