@@ -19,6 +19,7 @@ empty result.
 
 from __future__ import annotations
 
+import base64
 import os
 import zlib
 from bisect import bisect_right
@@ -34,63 +35,47 @@ from pyspark.sql import functions as F
 from tally.llm.common import text_or_empty
 
 WINDOW = 1024
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"   # the same vocabulary
+LONG = 1000            # characters of a word, or of blanks beyond one a word, that go to the tokenizer
 BLOCK_IDS = 1 << 21
 SWEEPS = 25            # of the least-squares solver
 TRIPLES = 4            # combinations of three enumerated for each largest length
-CACHE_WORDS = 1_000_000  # words whose ids a worker keeps
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-class Words(dict):
-    """Token ids of words as little-endian unsigned 32-bit bytes, looked up or made; bounded."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():  # a token never holds letters and marks
-            ids = self[word[:-1]] + self[word[-1]]
-        else:
-            ids = self.encode(word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
-
-
 class Ids:
-    """Token ids of texts, see Words.
+    """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    Tokens never cross a single blank or line end between two words, so a text
-    with no other white space is the concatenation of its words' ids (a blank
-    belongs to the word behind it). Other texts go to the tokenizer whole.
+    Two libraries hold the vocabulary, one of them as ranks, and give the same ids for every
+    character of Unicode (tests compare them). The faster one takes a text, unless it has very long
+    words or blanks, which that one is slow on; such a text goes to the tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.words = Words(self.encode)
+        with open(ranks, "rb") as lines:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.by_rank = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_to_numpy
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
-        plain = (text and text[0] not in " \n" and text[-1] not in " \n" and "  " not in text and "\n\n" not in text
-                 and " \n" not in text and "\n " not in text and text.replace("\n", " ").isprintable())
-        if not plain:
+        sizes = list(map(len, text.split()))
+        if max(sizes, default=0) > LONG or len(text) - sum(sizes) - len(sizes) > LONG:
             return self.encode(text)
-        return b"".join(map(self.words.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+        return self.by_rank(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=1)
 def shared_ids(name: str = VOCABULARY) -> Ids:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import public_tokenizers as files
-    return Ids(files.path(name))
+    return Ids(files.path(name), files.path(RANKS), files.PATTERN)
 
 
 def combinations(histogram: np.ndarray) -> list[tuple[int, ...]]:
