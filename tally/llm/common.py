@@ -58,13 +58,25 @@ def bounded_labels(labels: DataFrame, column: str, train: Column, bound: int) ->
     return one.where(F.pmod(F.xxhash64("doc_id", F.lit("label sample")), F.lit(1 << 32)) < share)
 
 
+SLICE_BYTES = 2 << 20   # of a batch that a task looks at once
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``size`` bytes (a longer row stands alone with few others), so that
+    what a task makes of it, lists of texts above all, stays small."""
+    rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``f`` over each Arrow batch of ``df``; no state between batches."""
+    """``f`` over slices of each Arrow batch of ``df``; no state between them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = f(batch)
-            if out is not None:
-                yield out
+            for part in slices(batch):
+                out = f(part)
+                if out is not None:
+                    yield out
     return df.mapInArrow(run, schema)
 
 

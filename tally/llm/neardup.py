@@ -16,9 +16,11 @@ and a component keeps its smallest ``doc_id``.
    full sets of 64-bit shingle hashes.
 4. A bucket whose members these links leave in several components is searched
    for links between those components: its members go in blocks to tasks that
-   compare sketches and confirm on the full sets. A task returns links that
+   compare sketches and confirm on the full sets (blocks are bounded by members and
+   by the bytes of their sets). A task returns links that
    join components, fewer than its members, never all pairs.
-5. Components over all links.
+5. Components over all links; a set that very many documents share, and a component of very many sets,
+   are joined without an exchange.
 
 Rows with a null ``doc_id`` take no part in links (component null, kept), a
 document without words is a component of its own (if its id has no other text). Rows
@@ -39,14 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import map_arrow, stored, text_or_empty
+from tally.llm.common import joined_on_hot, map_arrow, stored, text_or_empty
 from tally.llm.components import components
 
 SHINGLE = 5
 COORDINATES, ROWS = 128, 4   # of sketches, and of a band
 BLOCK = 400                # members of a bucket that one task compares with as many others
 SPREAD = 5                 # standard deviations that a sketch's estimate may lie under the similarity
-CACHE_WORDS = 500_000
+BLOCK_BYTES = 8 << 20      # of their sets
 MAX_COORDINATES = 128
 _MASK56 = np.uint64((1 << 56) - 1)
 _SEEDS = np.random.default_rng(64_128).integers(0, 1 << 64, 2 * MAX_COORDINATES, dtype=np.uint64)
@@ -60,16 +62,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = WordHashes()
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
+    return mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
 
 
 def shingles(text: str) -> np.ndarray:
@@ -80,7 +75,7 @@ def shingles(text: str) -> np.ndarray:
     if len(words) < SHINGLE:
         import xxhash
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = mixed(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+    h = word_hashes(words)
     n = len(words) - SHINGLE + 1
     total = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
@@ -99,7 +94,7 @@ def shingles_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), lengths)
     values, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(words) >= SHINGLE:
-        h = mixed(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+        h = word_hashes(words)
         n = len(words) - SHINGLE + 1
         total = np.zeros(n, np.uint64)
         for k in range(SHINGLE):
@@ -228,9 +223,9 @@ def set_table(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v: set keys) that are linked."""
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-        ok = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)],
-                      pa.bool_())
+        pairs = zip(batch.column("left"), batch.column("right"))      # the sets are read where they lie
+        ok = pa.array([linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                       for x, y in pairs], pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column("u").filter(ok), batch.column("v").filter(ok)], names=["u", "v"])
 
     left = sets.select(F.col("set_key").alias("u"), F.col("items").alias("left"))
@@ -288,12 +283,15 @@ def near_links(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     labelled = members.join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     open_groups = (labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                    .where("low <> high").select("band"))
+    opened = stored(labelled.join(open_groups, "band").select("band", "members", "label", "set_key"))
+    weights = (opened.join(sets.select("set_key", F.octet_length("items").alias("bytes")), "set_key")
+               .groupBy("band").agg(F.sum("bytes").alias("bytes")))
     # member blocks: every two blocks of a bucket meet in one task
-    n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    n_blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("set_key", F.lit("block")), n_blocks).cast("int")
     meet = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: F.struct(
         F.least(own, k).alias("low"), F.greatest(own, k).alias("high"), (own > k).cast("int").alias("side")))
-    sent = (labelled.join(open_groups, "band").withColumn("m", F.explode(meet))
+    sent = (opened.join(weights, "band").withColumn("m", F.explode(meet))
             .select("band", "m.low", "m.high", "m.side", "label", "set_key").join(sets, "set_key"))
     more = (sent.groupBy("band", "low", "high")
             .applyInPandas(lambda pdf: block_links(pdf, percent), "u binary, v binary"))
@@ -310,15 +308,16 @@ def with_components(docs: DataFrame, percent: int) -> DataFrame:
                .where("low <> high").select("doc_id", "low"))
     own = full.join(several, "doc_id").select(F.col("set_key").alias("u"), F.col("low").alias("v"))
     labels = components(links.union(own), "u", "v").withColumnRenamed("node", "set_key")
-    labelled = (full.select("doc_id", "set_key").join(labels, "set_key", "left")
-                .select("doc_id", "set_key", F.coalesce("label", "set_key").alias("label")))
-    names = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = labelled.select("set_key", "label").distinct().join(names, "label").select("set_key", "component_id")
-    key = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set_key")).alias("set_key")
-    out = rows.select("doc_id", "n", key).join(of_set, "set_key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    labelled = stored(classes.join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")))
+    names = stored(labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    of_set = stored(joined_on_hot(labelled, names, "label", "members").select("set_key", "component_id", "copies"))
+    linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    named = joined_on_hot(rows.where(linkable).select("doc_id", "n", "set_key"), of_set, "set_key", "copies")
+    alone = rows.where(~linkable).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = named.select("doc_id", "n", "component_id").unionByName(alone.select("doc_id", "n", "component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:

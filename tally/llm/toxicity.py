@@ -274,6 +274,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 def keep_clean(docs: DataFrame, grammar: Grammar, cut: float = CUT) -> DataFrame:
     """``docs`` without the rows that score ``cut`` or more; all columns stay as they are."""
     def toxic(texts: pa.Array) -> pa.Array:
-        return pa.array([t is not None and grammar.probability(grammar.figures(t)) >= cut for t in texts.to_pylist()], pa.bool_())
+        each = (t.as_py() for t in texts)      # one text at a time
+        return pa.array([t is not None and grammar.probability(grammar.figures(t)) >= cut for t in each], pa.bool_())
 
     return docs.where(~F.arrow_udf(toxic, "boolean")(F.col("text").cast("string")))
