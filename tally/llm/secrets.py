@@ -4,9 +4,9 @@ A random string is spelt with many tokens: a vocabulary trained on ordinary
 text has no long pieces for it. Strings of ``MIN_LENGTH`` or more key
 characters whose characters-per-token ratio is at most ``MAX_RATIO`` are
 reported as kind ``token``, unless they are a known digest (hex of a digest
-length, UUID) or an identifier (letters in ordinary casing, joined by
-separators or followed by a number, that are short or spelt with as few tokens as
-words are). The fixed patterns (kinds ``assign``,
+length, UUID) or an identifier (numbers, or letters in ordinary casing, joined by
+separators or followed by a number, of which words make up half at least). Where parts of up to
+three letters that are no words, and numbers, make up more, the whole string's ratio decides. The fixed patterns (kinds ``assign``,
 ``access``, ``hex``) always stay; what they leave of a longer string is tested
 like a string of its own.
 
@@ -47,7 +47,7 @@ DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{48}|[0-9a-f
                     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$")
 SEPARATORS = re.compile(r"[+/_=-]+")
 #: An ordinary part of an identifier: lower, UPPER, Capitalised or camelCase, then at most a short number; or a number.
-SHORT = 3   # letters in a row that say nothing
+SHORT = 3   # letters in a row that are no word
 LETTERS = re.compile(rf"[A-Za-z]{{{SHORT + 1},}}")
 PART = re.compile(r"(?:[a-z]+|[A-Z]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*)?[0-9]{0,6}|[0-9]+")
 
@@ -78,11 +78,20 @@ def tokens(string: str) -> int:
 
 
 def is_identifier(string: str) -> bool:
-    """Ordinary parts whose letters, all longer runs together, are words by the token-efficiency test (in small letters or as they are)."""
-    if not all(map(PART.fullmatch, SEPARATORS.split(string))):
+    """Ordinary parts that are numbers alone, or that words make up for the most part: longer runs of letters, which
+    together pass the token-efficiency test (in small letters or as they are), and short parts that are a
+    token as a word of their own, half of all letters and digits at least."""
+    parts = SEPARATORS.split(string)
+    if not all(map(PART.fullmatch, parts)):
         return False
+    if not any(map(str.isalpha, string)):
+        return True
     runs = LETTERS.findall(string)
-    return sum(map(len, runs)) > MAX_RATIO * sum(min(tokens(r), tokens(r.lower())) for r in runs) or not runs
+    covered = sum(map(len, runs))
+    if runs and covered <= MAX_RATIO * sum(min(tokens(r), tokens(r.lower())) for r in runs):
+        return False
+    short = sum(len(p) for p in parts if len(p) <= SHORT and p.isalpha() and tokens(" " + p.lower()) == 1)
+    return 2 * (covered + short) >= sum(map(str.isalnum, string))
 
 
 def looks_random(string: str) -> bool:
@@ -154,7 +163,8 @@ def redact(docs: DataFrame) -> DataFrame:
     All rows and columns stay; a null text stays null.
     """
     def one(texts: pa.Array) -> pa.Array:
-        return pa.array([t if t is None else masked(t, all_spans(t)) for t in texts.to_pylist()], pa.string())
+        each = (t.as_py() for t in texts)      # one text at a time
+        return pa.array([t if t is None else masked(t, all_spans(t)) for t in each], pa.string())
 
     hide = F.arrow_udf(one, "string")
     out = docs.withColumn("text", hide(F.col("text").cast("string")))
