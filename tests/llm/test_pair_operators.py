@@ -131,23 +131,26 @@ def test_paragraph_clusters(docs_of):
     got = paragraphs.clusters(docs).collect()
     texts = {i: t for i, t in rows if i is not None}
     places = [(i, s, e, neardup.shingles(t[s:e])) for i, t in texts.items() for s, e in paragraphs.paragraphs(t or "")]
-    label = {(p[0], p[1]): (p[0], p[1]) for p in places}
-    for _ in range(5):
-        for a in places:
-            for b in places:
-                if neardup.linked(a[3], b[3], 80):
-                    low = min(label[a[:2]], label[b[:2]])
-                    label[a[:2]] = label[b[:2]] = low
-    several = {v for v in label.values() if list(label.values()).count(v) > 1}
-    assert {(r["doc_id"], r["start"]): (r["cluster_doc_id"], r["cluster_start"]) for r in got} == {k: v for k, v in label.items() if v in several}
-    assert all(r["kept"] == ((r["doc_id"], r["start"]) == (r["cluster_doc_id"], r["cluster_start"])) for r in got)
+    label = {p[:3]: p[:3] for p in places}
+    links = [(a[:3], b[:3]) for a in places for b in places if neardup.linked(a[3], b[3], 80)]
+    for _ in range(8):
+        for a, b in links:
+            low = min(label[a], label[b])
+            label[a] = label[b] = low
+    several = {v for k, v in label.items() if k[0] != v[0] or k[1] >= v[2]}       # not only in one place
+    assert {(r["doc_id"], r["start"], r["end"]): (r["cluster_doc_id"], r["cluster_start"]) for r in got} == {
+        k: v[:2] for k, v in label.items() if v in several}
+    first_end = {v[:2]: v[2] for v in several}
+    assert all(r["kept"] == (r["doc_id"] == r["cluster_doc_id"] and r["start"] < first_end[r["cluster_doc_id"], r["cluster_start"]]) for r in got)
     cut = paragraphs.cut(docs)
     assert cut.columns == docs.columns and cut.count() == len(rows)
     after = defaultdict(list)
     for r in cut.collect():
         after[r["doc_id"]].append(r["text"])
     assert after[50] == [other] and after[51] == [None] and after[54] == [texts[54]] and after[None] == [passage]
-    assert all(len(after[k][0].split("\n")) == 2 for k in range(1, 12) if label.get((k, len(texts[k].split("\n")[0]) + 1)) in several)
+    passages = {k: (len(texts[k].split("\n")[0]), len(texts[k]) - len(texts[k].split("\n")[2]) - 1) for k in range(12)}
+    assert all(len(after[k][0].split("\n")) == 2 for k in range(1, 12) if label.get((k, *passages[k])) in several)
+    assert sum(label.get((k, *passages[k])) in several for k in range(1, 12)) > 6
     assert paragraphs.clusters(docs.where("false")).count() == 0
 
 
@@ -194,6 +197,24 @@ def test_overlapping_paragraphs_do_not_remove_each_other(docs_of):
     assert all(len(kept[i].split()) >= 10 for i in kept)
 
 
+def test_whole_sentences_are_found_wherever_they_stand(docs_of):
+    """A sentence of 10 to 30 words copied whole, between short sentences that are others each time."""
+    rng = random.Random(41)
+    short = lambda: " ".join(prose(rng, rng.randrange(1, 5)) + "." for _ in range(rng.randrange(1, 4)))
+    rows, places = [], []
+    for k in range(500):
+        sentence = prose(rng, rng.randrange(10, 31)) + "."
+        for side in range(2):
+            before = short()
+            rows.append((2 * k + side, f"{before} {sentence} {short()}"))
+            places.append((2 * k + side, len(before) + 1, len(before) + 1 + len(sentence)))
+    got = defaultdict(list)
+    for r in paragraphs.clusters(docs_of(rows)).collect():
+        got[r["doc_id"]].append((r["start"], r["end"], r["cluster_doc_id"]))
+    for i, start, end in places:
+        assert any(s <= start and e >= end - 1 and c == i - i % 2 for s, e, c in got[i]), i
+
+
 def test_every_word_lies_in_a_paragraph():
     rng = random.Random(13)
     for n in range(10, 120):
@@ -252,6 +273,34 @@ def test_repeated_substrings_odd_rows(docs_of):
     assert suffixes.digest(docs_of([(1, text)]).where("false")).count() == 0
 
 
+def test_many_hash_ranges(docs_of, small_rows, monkeypatch):
+    """Hundreds of ranges and more than ten packs: nothing stays in, and no range gets much more than others."""
+    monkeypatch.setattr(suffixes, "PACK_BYTES", 1 << 15)
+    monkeypatch.setattr(suffixes, "RANGE_BYTES", 1 << 10)
+    packs = suffixes.packed(docs_of(small_rows))
+    n_ranges = -(-packs.agg(F.sum("size")).first()[0] // suffixes.RANGE_BYTES)
+    assert packs.count() > 10 and n_ranges > 300
+    sent = defaultdict(int)
+    for r in suffixes.anchors(packs, n_ranges).select("range", F.octet_length("hashes").alias("n")).collect():
+        sent[r["range"]] += r["n"] // 8
+    median = sorted(sent.values())[len(sent) // 2]
+    assert len(sent) > 0.9 * n_ranges and max(sent.values()) < 6 * median
+    texts = {i: (t or "").encode() for i, t in small_rows}
+    first, expected = {}, {}
+    for i in sorted(texts):
+        gone = bytearray(len(texts[i]))
+        for k in range(len(texts[i]) - 99):
+            if first.setdefault(texts[i][k:k + 100], (i, k)) != (i, k):
+                gone[k:k + 100] = b"\1" * 100
+        expected[i] = hashlib.sha256(bytes(b for b, g in zip(texts[i], gone) if not g)).hexdigest()
+    assert {r["doc_id"]: r["kept_sha256"] for r in suffixes.digest(docs_of(small_rows)).collect()} == expected
+
+
+def test_ranges_have_to_be_sorted():
+    with pytest.raises(ValueError):
+        list(suffixes.by_range(np.array([2, 1])))
+
+
 def test_a_line_in_a_third_of_the_documents(docs_of):
     """One anchor with a different segment in each of many documents is dealt out over many ranges, at production values."""
     rng = random.Random(8)
