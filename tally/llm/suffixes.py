@@ -54,6 +54,7 @@ REACH = LENGTH - GRAM + 1       # pieces in a window
 PACK_BYTES = 4 << 20
 PACK_DOCS = 1 << 18
 RANGE_BYTES = 3 << 20           # text for which one range of anchor hashes is made
+COUNTED_RANGES = 16             # of these whose anchors are counted together, so a pack sends fewer, larger rows
 HOT_PACKS = 50_000
 CHUNK = 1 << 19                 # windows whose anchors are found at a time
 _POSITION = np.uint64((1 << 20) - 1)
@@ -63,16 +64,22 @@ _ODD = np.random.default_rng(1002).integers(0, 1 << 64, 8, dtype=np.uint64) | np
 
 # ---- difference-cover suffix sort of one array -------------------------------------------------------------------
 
-def _names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
-    """Ranks from 1 of rows of small non-negative numbers (equal rows share one), and how many there are."""
+def _names(*columns: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Ranks from 1 of rows of small non-negative numbers (equal rows share one), how many there are, and the rows in order."""
     key = columns[0]
     for c in columns[1:]:
         top = int(c.max(initial=0)) + 1
         if int(key.max(initial=0)) >= (1 << 62) // top:
-            key = np.unique(key, return_inverse=True)[1]
+            key = _names(key)[0]
         key = key * top + c
-    distinct, names = np.unique(key, return_inverse=True)
-    return names.astype(np.int64) + 1, len(distinct)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), np.int64)
+    new[1:] = key[1:] != key[:-1]
+    ranks = np.cumsum(new)
+    names = np.empty(len(key), np.int64)
+    names[order] = ranks
+    return names, int(ranks[-1]) if len(ranks) else 0, order
 
 
 def suffix_order(text: np.ndarray, length: int, reach: int = 1) -> np.ndarray:
@@ -84,10 +91,8 @@ def suffix_order(text: np.ndarray, length: int, reach: int = 1) -> np.ndarray:
     first = np.arange(1, n + (n % 3 == 1), 3)   # the end counts as a sample if it keeps the two classes apart
     second = np.arange(2, n, 3)
     sample = np.concatenate([first, second])
-    names, distinct = _names(t[sample], t[sample + 1], t[np.minimum(sample + 2, n + 2)])
-    if distinct == len(sample) or 3 * reach >= length:
-        order = np.argsort(names, kind="stable")
-    else:
+    names, distinct, order = _names(t[sample], t[sample + 1], t[np.minimum(sample + 2, n + 2)])
+    if distinct < len(sample) and 3 * reach < length:
         order = suffix_order(names, length, 3 * reach)
     rank = np.zeros(n + 3, np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
@@ -96,19 +101,13 @@ def suffix_order(text: np.ndarray, length: int, reach: int = 1) -> np.ndarray:
     sorted_sample = sample[order]
     sorted_sample = sorted_sample[sorted_sample < n]
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], t[rest]))]
-    # merge: for each remaining suffix the number of sampled ones before it, by binary search
-    low, high = np.zeros(len(rest), np.int64), np.full(len(rest), len(sorted_sample), np.int64)
-    a, b, ra, rb = t[rest], t[rest + 1], rank[rest + 1], rank[rest + 2]
-    while len(sorted_sample) and (low < high).any():
-        middle = (low + high) >> 1
-        i = sorted_sample[np.minimum(middle, len(sorted_sample) - 1)]
-        one = i % 3 == 1
-        less = np.where(one, (t[i] < a) | ((t[i] == a) & (rank[i + 1] < ra)),
-                        (t[i] < a) | ((t[i] == a) & ((t[i + 1] < b) | ((t[i + 1] == b) & (rank[np.minimum(i + 2, n + 2)] < rb)))))
-        go = low < high
-        low = np.where(go & less, middle + 1, low)
-        high = np.where(go & ~less, middle, high)
+    top = n + 4
+    rest = rest[np.argsort(t[rest] * top + rank[rest + 1])]
+    # merge: how many sampled suffixes of either kind come before each remaining one, by what decides between the two
+    one, two = (sorted_sample[sorted_sample % 3 == k] for k in (1, 2))
+    low = np.searchsorted(t[one] * top + rank[one + 1], t[rest] * top + rank[rest + 1])
+    pairs = _names(np.concatenate([t[rest], t[two]]), np.concatenate([t[rest + 1], t[two + 1]]))[0] * top
+    low += np.searchsorted(pairs[len(rest):] + rank[two + 2], pairs[:len(rest)] + rank[rest + 2])
     low = np.maximum.accumulate(low)   # suffixes that are equal up to the length may have met in any order
     out = np.empty(len(rest) + len(sorted_sample), np.int64)
     places = low + np.arange(len(rest))
@@ -478,7 +477,7 @@ def dealt(packs: DataFrame, hot_packs: int = HOT_PACKS) -> tuple[DataFrame, int]
     """pack, blob, repeated, hot; and how many ranges their segments are dealt out to."""
     total = packs.agg(F.sum("size")).first()[0] or 0
     n_ranges, range_bytes = max(1, -(-total // RANGE_BYTES)), RANGE_BYTES
-    again = stored(anchors(packs, n_ranges).groupBy("range")
+    again = stored(anchors(packs, -(-n_ranges // COUNTED_RANGES)).groupBy("range")
                    .applyInArrow(lambda t: repeated_anchors(t, hot_packs, range_bytes), "pack long, repeated binary, hot binary, more long")
                    .groupBy("pack").agg(F.collect_list("repeated").alias("repeated"), F.collect_list("hot").alias("hot"),
                                         F.sum("more").alias("more")))
