@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tally.functions.clean import number_tail, squash_spaces, string_tail
-from tally.operators.names import q
+from tally.operators.names import folded, q
 from tally.operators.normalize import KEY
 from tally.session import scratch_path
 
@@ -70,10 +70,7 @@ def null_masks(columns: list[Column]) -> list[Column]:
     masks = []
     for at in range(0, len(columns), MASK_BITS):
         bits = [F.when(c.isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(columns[at:at + MASK_BITS])]
-        total = bits[0]
-        for b in bits[1:]:
-            total = total.bitwiseOR(b)
-        masks.append(total)
+        masks.append(folded(bits, lambda a, b: a.bitwiseOR(b)))
     return masks
 
 
@@ -88,9 +85,8 @@ def digests(side: DataFrame, number: int, compare: list[str], order_by: list[str
     cleaned = squashed.select(KEY, "_raw", *[tail(i, c).alias(f"_x{i}") for i, c in enumerate(compare)])
     values = [F.col(f"_x{i}") for i in range(len(compare))]
     numbers = [v for v, c in zip(values, compare) if c in numeric]
-    odd = F.lit(False)
-    for x in numbers:
-        odd = odd | F.coalesce(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(False))
+    never = lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(False))
+    odd = folded([F.lit(False), *map(never, numbers)], lambda a, b: a | b)
     own = F.when(odd, F.lit(number)).otherwise(F.lit(0))     # never equal to the other side's
     told = [*values, *(null_masks(numbers) if numbers else []), own]
     return cleaned.select(KEY, F.lit(number).cast("tinyint").alias("_side"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tally.functions.clean import blank_nulls
 from tally.operators.diff import ANY, COLUMN_NAME, src, tgt
-from tally.operators.names import q
+from tally.operators.names import folded, q
 from tally.operators.normalize import KEY
 from tally.operators.pair import MATCHED, MISSING_IN_SOURCE, MISSING_IN_TARGET, STATUS
 from tally.operators.positions import POS, global_positions
@@ -66,9 +66,7 @@ def summary(totals: DataFrame, labels: list[str], source_label: str, target_labe
     """Ordered (ordinal, metric, value, text) rows from the one row of ``counters``."""
     n = {c: F.col(c) for c in COUNTERS}
     per_column = [F.struct((-F.col(f"n{i}")).alias("neg"), F.lit(label).alias("label")) for i, label in enumerate(labels)]
-    total = F.lit(0).cast("bigint")
-    for i in range(len(labels)):
-        total = total + F.col(f"n{i}")
+    total = folded([F.lit(0).cast("bigint"), *[F.col(f"n{i}") for i in range(len(labels))]], lambda a, b: a + b)
     missing_both = n["missing_in_source"] + n["missing_in_target"]
     S_, T_ = source_label, target_label
     no_text, no_value = F.lit(None).cast("string"), F.lit(None).cast("bigint")
@@ -132,16 +130,54 @@ def discrepancy_report(cells: DataFrame, keys: list[str], include: list[str], va
 
 
 MERGED_ROWS = 10_000   # rows a top-n may send from each task to be merged
+PREFIX = 2             # characters by which a round of ``first_rows`` looks further into a value
+
+
+def first_rows(cells: DataFrame, columns: list[str], n: int, most: int) -> Column:
+    """A condition that holds for the first ``n`` rows by ``columns`` (texts without nulls) and at most ``most`` others
+    (or others equal to the n-th in all of them).
+
+    Rounds of counts by the beginnings of one column's values narrow the bucket that holds the n-th
+    row, until what it holds besides is few: nothing is sorted, and a round brings a row a beginning to the driver.
+    """
+    surely, bucket, need = F.lit(False), F.lit(True), n
+    for name in columns:
+        length = 0
+        while True:
+            length += PREFIX
+            part = F.substring(q(name), 1, length)
+            rounds = (cells.where(bucket).groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length(q(name))).alias("longest"))
+                      .orderBy("p").collect())
+            upto, found = 0, None
+            for r in rounds:
+                if upto + r["n"] >= need:
+                    found = r
+                    break
+                upto += r["n"]
+            if found is None:                       # fewer rows than asked for
+                return surely | bucket
+            surely = surely | (bucket & (part < F.lit(found["p"])))
+            bucket = bucket & (part == F.lit(found["p"]))
+            need -= upto
+            if found["n"] - need <= most:
+                return surely | bucket
+            if found["longest"] <= length:          # all of the bucket have the same value here
+                break
+    return surely | bucket
 
 
 def top_n(cells: DataFrame, keys: list[str], include: list[str], value_names: tuple[str, str], n: int,
           comment_columns: tuple[str, ...] = (), partitions: int = 1) -> DataFrame:
-    """First ``n`` report rows in report order: each task's own first rows merged, or, where
-    that merge would be large, the rows with the first ``n`` positions of the distributed sort."""
+    """First ``n`` report rows in report order: each task's own first rows merged, or, where that merge would be large,
+    the rows up to the n-th (``first_rows``), of which those with the first ``n`` positions stay. ``cells`` is read
+    several times then."""
     cols = report_columns(keys, include, value_names, cells.columns)
     order = report_order(keys)
-    first = (cells.orderBy(*order).limit(n) if n <= MERGED_ROWS
-             else global_positions(cells, order, partitions).where(F.col(POS) < n).orderBy(*order))
+    if n <= MERGED_ROWS:
+        first = cells.orderBy(*order).limit(n)
+    else:
+        few = cells.where(first_rows(cells, [COLUMN_NAME, *keys, KEY], n, MERGED_ROWS))
+        first = global_positions(few, order, partitions).where(F.col(POS) < n).orderBy(*order)
     return with_comments(first.select(*[q(c) for c in cols]), comment_columns)
 
 

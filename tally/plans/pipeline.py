@@ -16,7 +16,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tally.operators import diff as D
@@ -200,7 +200,8 @@ class ReconResult:
         return int(self.prepared.source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def top_n(self, n: int) -> DataFrame:
-        return R.top_n(self.cells(), self.al.keys, self.al.include, self.spec.value_label, n,
+        rows = self if self.stored is not None or n <= R.MERGED_ROWS else self.materialize()
+        return R.top_n(rows.cells(), self.al.keys, self.al.include, self.spec.value_label, n,
                        self.spec.comment_columns, self._partitions())
 
     def pages(self, page_rows: int, partitions: int | None = None) -> DataFrame:
@@ -221,6 +222,11 @@ class ReconResult:
         write_table(self.page_files(page_rows), path, fmt)
         return path
 
+    def uncastable(self) -> DataFrame:
+        """Per number column how many values are no numbers: they compare as blank, so two of them are equal (driver-sized)."""
+        found = [(c, d.nonsentinel, d.nonsentinel - d.castable) for c, d in self.prepared.profile.numbers.items() if c in self.prepared.numeric]
+        return self.prepared.source.sparkSession.createDataFrame(found, "column_name string, nonsentinel bigint, uncastable bigint")
+
     def configuration(self) -> DataFrame:
         """How every mapping was treated (one row per mapping; spec-sized)."""
         names, rows = config_rows(self.spec, self.al, self.prepared.dates)
@@ -244,10 +250,15 @@ class ReconResult:
 
     def write(self, out_dir: str, fmt: str = "parquet", page_rows: int | None = None) -> ReconRecord:
         """Write every output (complete sets, no row cap; ``page_rows`` rows a file at most) as ``fmt``
-        (parquet or csv) and return counts and paths."""
+        (parquet or csv) and return counts and paths.
+
+        All or none: each run writes to a folder of its own in ``out_dir``, and when all outputs are there one
+        row is added to the manifest. A run that fails adds none, so ``latest_outputs`` still names
+        the outputs of the run before it. Folders of former and failed runs stay."""
         if fmt not in ("parquet", "csv"):
             raise ValueError(f"unknown output format {fmt!r}: parquet or csv")
         began = time.time()
+        run = f"run-{time.strftime('%Y%m%dT%H%M%S', time.gmtime(began))}-{uuid.uuid4().hex[:8]}"
         result = self.materialize()
         outputs = {
             "discrepancies": result.report(),
@@ -260,17 +271,44 @@ class ReconResult:
             outputs["full_data"] = result.full_data()
         paths = {}
         for name, df in outputs.items():
-            paths[name] = f"{out_dir.rstrip('/')}/{name}"
+            paths[name] = f"{out_dir.rstrip('/')}/{run}/{name}"
             write_table(df, paths[name], fmt, page_rows)
         n = result.judged.counts | result.counted
         per_column = {label: n[f"n{i}"] for i, label in enumerate(self.prepared.labels.values())}
         cells = sum(per_column.values())
-        return ReconRecord(
+        record = ReconRecord(
             **{k: n[k] for k in ("source_rows", "target_rows", "matched", "missing_in_source", "missing_in_target",
                                  "surplus_in_source", "surplus_in_target", "records_affected")},
             cell_discrepancies=cells, per_column=per_column,
             validation_issues=n["missing_in_source"] + n["missing_in_target"] + cells,
             status=R.SOME_DIFFER if cells else R.ALL_MATCHED, paths=paths, elapsed_seconds=time.time() - began)
+        commit_run(self.prepared.source.sparkSession, out_dir, run, began, record, fmt)
+        return record
+
+
+MANIFEST = "_manifest"
+_MANIFEST_ROW = ("run string, began double, format string, status string, source_rows bigint, target_rows bigint, matched bigint, "
+                 "cell_discrepancies bigint, validation_issues bigint, paths map<string, string>")
+
+
+def commit_run(spark: SparkSession, out_dir: str, run: str, began: float, record: ReconRecord, fmt: str) -> None:
+    """Add a finished run to the manifest: one file, which appears whole or not at all."""
+    row = (run, began, fmt, record.status, record.source_rows, record.target_rows, record.matched, record.cell_discrepancies,
+           record.validation_issues, record.paths)
+    spark.createDataFrame([row], _MANIFEST_ROW).coalesce(1).write.mode("append").json(f"{out_dir.rstrip('/')}/{MANIFEST}")
+
+
+def runs_in(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The finished runs of an output folder, one row each."""
+    return spark.read.schema(_MANIFEST_ROW).json(f"{out_dir.rstrip('/')}/{MANIFEST}")
+
+
+def latest_outputs(spark: SparkSession, out_dir: str) -> dict[str, str]:
+    """Name → path of the outputs of the last finished run."""
+    last = runs_in(spark, out_dir).orderBy(F.desc("began"), F.desc("run")).select("paths").first()
+    if last is None:
+        raise ValueError(f"no finished run in {out_dir}")
+    return last["paths"]
 
 
 def reconcile(source: DataFrame, target: DataFrame, spec: ReconSpec, *, numeric: set[str] | None = None,

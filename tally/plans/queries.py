@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tally.functions import clean as C
 from tally.functions import dates as DT
 from tally.operators import profile as PR
-from tally.operators.diff import src, tgt
+from tally.operators import report as R
+from tally.operators.diff import COLUMN_NAME, src, tgt
 from tally.operators.names import q
 from tally.operators.normalize import KEY, add_key, normalize_keys, rename, stringify
 from tally.operators.pair import RN, duplicate_key_counts, hot_keys_of, number_within_key
@@ -539,6 +540,37 @@ def q_summary_files(spark, sf):
     return files_in_order(spark, sf).summary()
 
 
+def q_uncastable_numbers(spark, sf):
+    return run(spark, sf, "events").uncastable().unionByName(run(spark, sf, "orders").uncastable())
+
+
+def sql_uncastable_numbers() -> str:
+    ctes, parts = [], []
+    for name in ("events", "orders"):
+        p = O.FixturePlan(FIXTURES[name])
+        ctes += p.side_ctes("s") + p.side_ctes("t") + p.numeric_ctes()
+        parts += [f"select {O.lit(c)} as column_name, (select t{i} from {p.n('nprof')}) as nonsentinel, "
+                  f"(select t{i} - c{i} from {p.n('nprof')}) as uncastable where {p.is_numeric(c)}" for i, c in enumerate(p.al.compare)]
+    return O.with_ctes(ctes, " union all ".join(parts))
+
+
+def q_top_n_of_many(spark, sf):
+    """The first half of the `conv` cells, found by narrowing beginnings instead of sorting all cells."""
+    r = run(spark, sf, "conv").materialize()
+    half = sum(n for c, n in r.counted.items() if c != "records_affected") // 2
+    keep = R.first_rows(r.cells(), [COLUMN_NAME, *r.al.keys, KEY], half, 0)
+    return r.cells().where(keep).drop(KEY, RN)
+
+
+def sql_top_n_of_many() -> str:
+    def body(p):
+        cols = ", ".join(O.ident(c) for c in p.report_cols())
+        order = ", ".join(['"Column Name"', *[O.ident(k) for k in p.al.keys], "_key"])
+        return (f"select {cols} from (select *, rank() over (order by {order}) as r, count(*) over () as n "
+                f"from ({p.cells_sql(internal=True)}) c) x where r <= n // 2")
+    return O.fixture_sql("conv", body)
+
+
 def q_page_files(spark, sf):
     """The `orders` report written in files of ``PAGE_ROWS`` rows and read back: every row with its file's number and size."""
     path = scratch_path(spark, f"pages-{uuid.uuid4().hex}")
@@ -621,6 +653,8 @@ def registry() -> dict[str, tuple[Builder, Callable[[], str] | str]]:
         "summary_files": (q_summary_files, lambda: _sql_summary("files")),
         "discrepancies_files": (q_discrepancies_files, lambda: _sql_discrepancies("files")),
         "page_files": (q_page_files, sql_page_files),
+        "top_n_of_many": (q_top_n_of_many, sql_top_n_of_many),
+        "uncastable_numbers": (q_uncastable_numbers, sql_uncastable_numbers),
     }
     for name in ("lines", "cust", "conv", "events", "dups"):
         reg[f"discrepancies_{name}"] = (_q_discrepancies(name), (lambda n=name: _sql_discrepancies(n)))

@@ -259,3 +259,67 @@ def test_page_files_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([("1", "a")], "id string, v string")
     r = reconcile(df, df, ReconSpec(mappings=(("id", "id"), ("v", "v")), key_columns=("id",)))
     assert spark.read.parquet(r.write_pages(str(tmp_path / "none"), 10)).count() == 0
+
+
+# ---- top n, and all outputs or none
+
+def test_first_rows_without_a_sort(spark):
+    """For any n the condition holds for the first n rows and few others; ties in all columns stay together."""
+    from tally.operators import report as R
+    rng = random.Random(9)
+    rows = [(rng.choice(["a - b", "a - c", "x"]), rng.choice(["", "1", "12", "123", "1234", "12345", "é", "zz"]) + rng.choice(["", "0", "7"])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "l string, k string").repartition(5)
+    rows.sort(key=lambda r: (r[0].encode(), r[1].encode()))
+    for n, most in ((1, 0), (37, 0), (200, 5), (399, 0), (400, 0), (900, 0)):
+        got = sorted((tuple(r) for r in df.where(R.first_rows(df, ["l", "k"], n, most)).collect()), key=lambda r: (r[0].encode(), r[1].encode()))
+        assert got == rows[:len(got)] and len(got) >= min(n, 400)
+        assert len(got) <= n + most or all(r == rows[n - 1] for r in got[n - 1:])
+
+
+def test_top_n_past_the_merge_limit_reads_few_rows(spark, monkeypatch):
+    from tally.operators import report as R
+    s, t, fx = load(spark, SF_SMALL, "conv")
+    r = reconcile(s, t, fx.spec)
+    expected = [tuple(x) for x in r.report().limit(30).collect()]
+    monkeypatch.setattr(R, "MERGED_ROWS", 4)
+    seen = []
+    plain = R.global_positions
+    monkeypatch.setattr(R, "global_positions", lambda df, *a, **k: (seen.append(df.count()), plain(df, *a, **k))[1])
+    assert [tuple(x) for x in r.top_n(30).collect()] == expected and seen and seen[0] <= 34
+
+
+def test_a_failed_run_leaves_the_former_outputs(spark, tmp_path, monkeypatch):
+    from tally.plans import pipeline as PL
+    s, t, fx = load(spark, SF_SMALL, "orders")
+    r = reconcile(s, t, fx.spec)
+    out = str(tmp_path / "out")
+    first = r.write(out)
+    assert PL.latest_outputs(spark, out) == first.paths
+    before = sorted(map(str, spark.read.parquet(first.paths["summary"]).collect()))
+    calls = []
+
+    def failing(df, path, *a):
+        calls.append(path)
+        if len(calls) == 3:
+            raise RuntimeError("no space")
+        return plain(df, path, *a)
+
+    plain = PL.write_table
+    monkeypatch.setattr(PL, "write_table", failing)
+    with pytest.raises(RuntimeError, match="no space"):
+        r.write(out)
+    assert len(calls) == 3 and PL.latest_outputs(spark, out) == first.paths
+    assert sorted(map(str, spark.read.parquet(PL.latest_outputs(spark, out)["summary"]).collect())) == before
+    monkeypatch.setattr(PL, "write_table", plain)
+    second = r.write(out, fmt="csv")
+    assert PL.latest_outputs(spark, out) == second.paths != first.paths
+    assert [x["format"] for x in PL.runs_in(spark, out).orderBy("began").collect()] == ["parquet", "csv"]
+    assert spark.read.parquet(first.paths["discrepancies"]).count() == scan_csv_strings(spark, second.paths["discrepancies"]).count()
+
+
+def test_values_that_are_no_numbers_are_counted(spark):
+    s = spark.createDataFrame([(str(i), str(i) if i % 10 else "abc") for i in range(40)], "k string, v string")
+    t = spark.createDataFrame([(str(i), str(i) if i % 10 else "xyz") for i in range(40)], "k string, v string")
+    r = reconcile(s, t, ReconSpec(mappings=(("k", "k"), ("v", "v")), key_columns=("k",)))
+    assert r.discrepancies().count() == 0
+    assert {x["column_name"]: x["uncastable"] for x in r.uncastable().collect()} == {"k": 0, "v": 8}
