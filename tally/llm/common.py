@@ -58,6 +58,12 @@ def bounded_labels(labels: DataFrame, column: str, train: Column, bound: int) ->
     return one.where(F.pmod(F.xxhash64("doc_id", F.lit("label sample")), F.lit(1 << 32)) < share)
 
 
+def one_row_an_id(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, label, text of the chosen ids (doc_id, label; bounded), so as many rows at most: of texts that share an id the first."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 SLICE_BYTES = 2 << 20   # of a batch that a task looks at once
 
 

@@ -14,8 +14,9 @@ as empty, whose fingerprint is empty.
 ``with_next`` gives each row the row that follows in order of ``doc_id`` (null
 first; equal ids by text), the last one the first. Ids are cut into ranges at
 approximate quantiles; the first rows of a range are also sent to the range
-before, so a range is complete in one task of bounded size and the texts are
-shuffled once. Extra columns are ignored; an empty table gives an empty result.
+before, so a range is complete in one task and the texts are shuffled once. Rows that share an
+id, or have none, lie in one range (ids are taken to be nearly unique), and there are
+at most ``MAX_RANGES`` of them. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import bounded_labels, map_arrow, text_or_empty
+from tally.llm.common import bounded_labels, map_arrow, one_row_an_id, text_or_empty
 
 LABEL_BOUND = 30_000
 POOL, RIDGE = 0.2, 0.05   # shrinkage to the pooled covariance, and to the diagonal
@@ -123,7 +123,7 @@ def features(docs: DataFrame, keep: str = "") -> DataFrame:
 def train_model(docs: DataFrame, labels: DataFrame, train: Column, bound: int = LABEL_BOUND) -> Model:
     """Fitted on the labelled documents that ``train`` (over ``doc_id``) allows."""
     chosen = bounded_labels(labels, "quality", train, bound)
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    labelled = one_row_an_id(docs, chosen)
     got = features(labelled, "label int").select("label", "x").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, np.array(got.column("label").to_pylist(), dtype=int))

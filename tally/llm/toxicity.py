@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import bounded_labels, map_arrow, stored, text_or_empty
+from tally.llm.common import bounded_labels, map_arrow, one_row_an_id, stored, text_or_empty
 
 LABEL_BOUND = 12_000
 CUT = 0.3
@@ -245,8 +245,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int =
 def train_grammar(docs: DataFrame, labels: DataFrame, train: Column, bound: int = LABEL_BOUND) -> Grammar:
     """Lexicon and logistic weights from the labelled documents that ``train`` (over ``doc_id``) allows."""
     chosen = bounded_labels(labels, "toxic", train, bound)
-    sample = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-                    .join(F.broadcast(chosen), "doc_id").select("text", "label"))
+    sample = stored(one_row_an_id(docs, chosen).select("text", "label"))
     grammar = Grammar(learn_lexicon(sample))
 
     def measured(batch: pa.RecordBatch) -> pa.RecordBatch:

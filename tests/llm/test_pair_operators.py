@@ -374,6 +374,41 @@ def test_fingerprints(docs_of, small_rows):
     assert fingerprints.fingerprints(docs_of([(1, "x")]).where("false")).count() == 0
 
 
+def plain_sketch(text):
+    """The sketch by itself: chained XXH64 of five words, those in the lowest quarter, as signed numbers."""
+    import xxhash
+    words = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()
+    found = set()
+    for k in range(len(words) - 4):
+        h = 42
+        for w in words[k:k + 5]:
+            h = xxhash.xxh64_intdigest(w, seed=h)
+        found.add(h)
+    if 0 < len(words) < 5:
+        found = {xxhash.xxh64_intdigest(b" ".join(words), seed=42)}
+    return {h for h in (x - (1 << 64) if x >> 63 else x for x in found) if h < -(1 << 63) + (1 << 62)}
+
+
+def test_sketches_and_likeness_against_a_plain_version(docs_of, small_rows):
+    rows = [*small_rows, (100_001, None), (100_002, ""), (100_003, "a b c"), (100_004, "A  b\tc"), (100_005, "word " * 60_000), (100_006, "x" * 300_000)]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs_of(rows)).collect()}
+    order = sorted(rows)
+    shown = lambda s: ",".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(s)).upper()
+
+    def near(a, b, same):
+        least = min(len(a), len(b))
+        return len(a & b) / least if least else float(not a and not b and same)
+
+    for k, (i, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        edited = text[:len(text) - half] + after[:half]
+        own, new, other = plain_sketch(text), plain_sketch(edited), plain_sketch(after)
+        r = got[i]
+        assert r["fingerprint"].upper() == shown(own) and r["edited_fingerprint"].upper() == shown(new), i
+        assert abs(r["near_edited"] - near(own, new, text == edited)) < 1e-12 and abs(r["near_next"] - near(own, other, text == after)) < 1e-12, i
+
+
 def test_containment_of_unequal_documents(spark):
     rng = random.Random(1)
     whole = prose(rng, 4000)

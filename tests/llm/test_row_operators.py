@@ -319,3 +319,32 @@ def test_quadratic_discriminant():
     model = quality.fit(x, y)
     assert ((model.score(x) > 0.5) == y).mean() > 0.95
     assert quality.fit(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
+
+
+def test_composed_machine_is_the_three_one_after_the_other():
+    rng = np.random.default_rng(4)
+    parts = [toxicity.reported_speech(), toxicity.negation(), toxicity.target()]
+    composed = toxicity.Grammar().machine
+    symbols = [toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.OTHER]
+    for _ in range(300):
+        tape = [symbols[k] for k in rng.integers(0, 6, 12)]
+        state, got = toxicity.START, []
+        for s in tape:
+            state, _, factor = composed[state, s]
+            got.append(factor)
+        factors, written = np.ones(len(tape)), tape
+        for machine in parts:                       # each reads what the one before wrote
+            at, out = toxicity.START, []
+            for k, s in enumerate(written):
+                at, to, f = machine[at, s]
+                factors[k] *= f
+                out.append(to)
+            written = out
+        assert np.allclose(got, factors)
+
+
+def test_texts_that_share_a_labelled_id_are_one_row(spark, docs_of):
+    from tally.llm.common import one_row_an_id
+    chosen = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
+    got = one_row_an_id(docs_of([(1, "b"), (1, "a"), (1, None), (2, "x"), (2, "x"), (3, "y"), (None, "z")]), chosen).collect()
+    assert sorted((r["doc_id"], r["label"], r["text"]) for r in got) == [(1, 1, ""), (2, 0, "x")]
