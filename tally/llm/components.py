@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import stored
+from tally.llm.common import joined_on_hot, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,19 +20,19 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     knows; small star: each node links its smaller neighbours to the smallest.
     Both keep what is connected and the number of links does not grow; the
     rounds, logarithmic in practice, end when nothing changes. Smallest
-    neighbours are summed up before the shuffle and joined back, so a node with
-    very many links is split by the skew join. Each round is a written table.
+    neighbours are found before the shuffle and joined back without an exchange for nodes with
+    very many links (``joined_on_hot``). Each round is written.
     Nulls and links of an id to itself are left out.
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a) != F.col(b)).distinct())
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                                                                   F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = stored(joined_on_hot(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        smallest = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = joined_on_hot(large, smallest, "u", "n").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+                                                                                  F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = stored(small.select("e.u", "e.v").where("u != v").distinct())
         now = _state(edges)
         if now == state:
