@@ -62,3 +62,19 @@ def test_file_order(spark, tmp_path):
     spark.range(50).select((99 - F.col("id")).alias("v")).coalesce(1).write.parquet(str(tmp_path / "p"))
     rows = with_file_order(spark.read.parquet(str(tmp_path / "p"))).repartition(7).orderBy("_row_order").collect()
     assert [r.v for r in rows] == [99 - i for i in range(50)]
+
+
+def test_csv_lines_stay_where_they_are_read(spark, tmp_path):
+    """Every record with a quoted line end: lines are neither shuffled nor sorted, only the pieces at the ends of splits are."""
+    path = tmp_path / "t.csv"
+    path.write_text("id,x\n" + "".join(f'{i},"a\n{i}"\n' for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        df = scan_csv_strings(spark, str(path), row_order=True)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if " line#" in x and ("Exchange" in x or "Window" in x or "Sort" in x)]
+        got = [r.x for r in df.orderBy("_row_order").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [f"a\n{i}" for i in range(2000)]
