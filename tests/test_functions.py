@@ -77,3 +77,46 @@ def test_date_like_and_two_digit_years(spark):
 def test_float_to_int_text(spark):
     df = spark.createDataFrame([(5.0,), (2.5,), (None,), (-3.0,)], "x double")
     assert [r[0] for r in df.select(C.float_to_int_text("x")).collect()] == ["5", "2.5", None, "-3"]
+
+
+ODD = ["", None, " ", "a", " a", "a ", "a  b", "a b", "a,b", ",", "1,234.50", "1.0", "1.50", "10", "0.0", "a.00", "nan", "NaN", "None", "NONE", "NaT", "nan ",
+       "n,an", "\x7f", "a\tb", "a\n", "\n", "x​y", "x y", "　", "É", "-0", "-0.00", "+1", "1.23456", "1.00005", "999999999.9999", "1234567890.5",
+       "12.", ".5", "1e5", "inf", "-Infinity", "5%", "1.0.0", "1,000", "a-b", "~!", "2024-01-05"]
+
+
+def test_plain_values_are_cleaned_as_by_the_rules(spark):
+    """The short ways of plain values against the rules themselves."""
+    df = spark.createDataFrame([(t,) for t in ODD], "v string")
+    x = C._squashed(C.blank_nulls("v"))
+    pairs = [(C.squash_spaces("v"), x), (C.clean_string("v"), C.string_tail(x)), (C.clean_string("v", False), C.string_tail(x, False)),
+             (C.clean_number("v"), C.number_tail(x)), (C.normalize_key("v"), C._normalized_key(C.blank_nulls("v"))),
+             (C.key_part("v"), F.lower(F.translate(C.blank_nulls("v"), C.white_space_chars(), "")))]
+    for row in df.select("v", *[F.struct(a.cast("string").alias("a"), b.cast("string").alias("b")) for a, b in pairs]).collect():
+        assert [(p.a, p.b) for p in row[1:] if p.a != p.b] == [], row.v
+
+
+def test_dates_taken_apart_are_those_parsed(spark):
+    texts = ["2024-01-05", "2024-02-30", "2024-02-29", "2023-02-29", "2024-13-01", "0000-01-01", "0999-01-01", "2024-1-5", "05/06/2024", "31/06/2024", "28-02-2024",
+             "2024-01-05 23:59:59", "2024-01-05 24:00:00", "2024-01-05T01:02:03", "2024-01-05\n", "05-06-2024 10:00:60", "x", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for f in DT.FORMATS:
+        plain = F.coalesce(F.date_format(DT.parse_with(C.blank_nulls("v"), f), DT.OUTPUT_PATTERN), F.lit(""))
+        assert df.where(~DT.normalize_known("v", f).eqNullSafe(plain)).count() == 0
+
+
+def test_rules_leave_code_that_the_jvm_compiles(spark):
+    """No method of a digest pass or of the profile's counts is over 8,000 bytes, beyond which HotSpot does not compile it."""
+    from tally.operators import profile as PR
+    from tally.operators.judge import digests
+    names = [f"c{i}" for i in range(8)]
+    df = spark.range(5).select(F.col("id").cast("string").alias("_key"), *[F.col("id").cast("string").alias(c) for c in names])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        for frame in (digests(df, 1, names, [], set(names[4:]), True).groupBy("_key").agg(F.bit_xor("_c1")),
+                      PR.shape_histogram(PR._raw_cells(df, names, {"c0"}, "s"))):
+            stats = debug.codegenStringSeq(frame._jdf.queryExecution().executedPlan())
+            sizes = [stats.apply(i)._3().maxMethodCodeSize() for i in range(stats.size())]
+            assert sizes and max(sizes) <= 8000, sizes
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
