@@ -109,6 +109,27 @@ def test_runs_pair_as_single_rows_do(spark, monkeypatch, bucket):
     assert told(P.pair_rows(frame([]), frame(t), ["v"], ["v"], [], None)) == plain_pairs([], t)
 
 
+def test_rows_to_pair_carry_each_value_once(spark, monkeypatch):
+    """Both sides share their value columns, an ordering column among them is not added, and only an end that the other side
+    goes on from is an event of its own; context columns (source only) and an order that is not compared stay right."""
+    widths, pair = [], P.cold_pairs
+    monkeypatch.setattr(P, "cold_pairs", lambda u, *rest: widths.append(len(u.columns)) or pair(u, *rest))
+    s = spark.createDataFrame([("k", "a", "2", "c2", "9"), ("k", "b", "1", "c1", "8"), ("k", "b", "1", "c1", "8"), ("m", "x", None, None, "1")],
+                              "_key string, v string, w string, ctx string, o string")
+    t = spark.createDataFrame([("k", "q", "1", "9"), ("k", "b", "1", "8"), ("n", "y", "3", "1")], "_key string, v string, w string, o string")
+    rows = lambda order: sorted(((r["_key"], r["_rn"], r["_status"], r["_s_v"], r["_s_w"], r["_s_ctx"], r["_t_v"], r["_t_w"])
+                                 for r in RU.expanded(P.pair_rows(s, t, ["v", "w", "ctx"], ["v", "w"], order)).collect()), key=str)
+    others = [("m", 0, "MISSING_IN_TARGET", "x", None, None, None, None), ("n", 0, "MISSING_IN_SOURCE", None, None, None, "y", "3")]
+    by_o = [("k", 0, "MATCHED", "b", "1", "c1", "b", "1"), ("k", 1, "MATCHED", "b", "1", "c1", "q", "1"),
+            ("k", 2, "SURPLUS_IN_SOURCE", "a", "2", "c2", None, None)]
+    assert rows(["w"]) == by_o + others        # w, then v: the same pairs
+    assert rows(["o"]) == by_o + others
+    by_v = [("k", 0, "MATCHED", "a", "2", "c2", "b", "1"), ("k", 1, "MATCHED", "b", "1", "c1", "q", "1"),
+            ("k", 2, "SURPLUS_IN_SOURCE", "b", "1", "c1", None, None)]
+    assert rows([]) == by_v + others
+    assert widths == [5, 6, 5]                 # key, side, three values (and ``o``)
+
+
 def test_many_equal_rows_of_one_key_are_few_runs_and_spread(spark):
     """Ten million equal rows of one key: few runs, cut by position, and no task gets them all."""
     n = 5_000_000
