@@ -195,6 +195,15 @@ def test_only_needed_columns_are_read(spark, tmp_path):
     assert [x.id for x in lost] == ["3"] and lost[0].unmapped1 == "big"
 
 
+def test_small_sides_are_dealt_out_once(spark):
+    """What reads the sides later finds them dealt out, stringified and with keys normalised: no exchange below its own."""
+    s, t, fx = load(spark, SF_SMALL, "orders")
+    r = reconcile(s, t, fx.spec)
+    for side in (r.prepared.source, r.prepared.target):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "o_orderkey" not in plan and "ReadSchema" in plan
+
+
 def test_filter_below_generator(spark):
     s, t, fx = load(spark, SF_SMALL, "orders")
     plan = reconcile(s, t, fx.spec).discrepancies()._jdf.queryExecution().executedPlan().toString()
