@@ -276,6 +276,18 @@ def test_page_files_are_exact(spark, tmp_path):
         assert blank(x for p in pages for x in p) == blank(expected)
 
 
+def test_many_pages_are_written_by_few_tasks(spark, tmp_path):
+    s, t, fx = load(spark, SF_SMALL, "orders")
+    r = reconcile(s, t, fx.spec).materialize()
+    files = sorted((tmp_path / "many").glob("part-*") if r.write_pages(str(tmp_path / "many"), 3) else [])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    expected = [tuple(x) for x in r.report().collect()]
+    assert len(files) == -(-len(expected) // 3) > tasks >= len({f.name[:10] for f in files})
+    pages = [[tuple(x) for x in spark.read.parquet(str(f)).collect()] for f in (files[0], files[1], files[len(files) // 2], files[-1])]
+    at = [0, 3, 3 * (len(files) // 2), 3 * (len(files) - 1)]
+    assert pages == [expected[i:i + 3] for i in at]
+
+
 def test_page_files_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([("1", "a")], "id string, v string")
     r = reconcile(df, df, ReconSpec(mappings=(("id", "id"), ("v", "v")), key_columns=("id",)))
