@@ -215,6 +215,35 @@ def test_whole_sentences_are_found_wherever_they_stand(docs_of):
         assert any(s <= start and e >= end - 1 and c == i - i % 2 for s, e, c in got[i]), i
 
 
+def test_paragraphs_without_repeats_are_left_out_before_keys(docs_of):
+    """Only units with marks that occur elsewhere, and those linked with them in place, are written and get keys."""
+    rng = random.Random(51)
+    rows = [(k, "\n".join(prose(rng, rng.randrange(8, 40)) + "." for _ in range(4))) for k in range(200)]
+    assert paragraphs.sketched_paragraphs(docs_of(rows)).count() == 0
+    passage = prose(rng, 30) + "."
+    rows += [(500 + k, f"{prose(rng, 60)}\n{passage}\n{prose(rng, 60)}") for k in range(2)]
+    got = paragraphs.sketched_paragraphs(docs_of(rows)).collect()
+    assert {r["doc_id"] for r in got} == {500, 501} and len(got) < 20
+
+
+def test_clusters_of_overlapping_and_repeated_units(docs_of):
+    """Against all pairs: links in place, crowded buckets, texts with repeats of their own."""
+    rng = random.Random(52)
+    base = [" ".join(prose(rng, rng.randrange(9, 14)) + "." for _ in range(5)) for _ in range(3)]
+    rows = [(k, "\n".join([prose(rng, 12), edited(rng, base[k % 3], 0.006 * (k % 7)), prose(rng, 11)])) for k in range(42)]
+    rows += [(100 + k, f"{base[0]} {prose(rng, 3)} {base[0]}") for k in range(3)]
+    rows += [(200, "ha " * 40), (201, "ha " * 25), (202, "one two three four five six " * 9), (203, f"{'ha ' * 12}{base[1]}")]
+    places = [(i, s, e, neardup.shingles(t[s:e])) for i, t in rows for s, e in paragraphs.paragraphs(t)]
+    label = {p[:3]: p[:3] for p in places}
+    links = [(a[:3], b[:3]) for k, a in enumerate(places) for b in places[:k] if neardup.linked(a[3], b[3], 80)]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    several = {v for k, v in label.items() if k[0] != v[0] or k[1] >= v[2]}
+    got = {(r["doc_id"], r["start"], r["end"]): (r["cluster_doc_id"], r["cluster_start"]) for r in paragraphs.clusters(docs_of(rows)).collect()}
+    assert got == {k: v[:2] for k, v in label.items() if v in several} and len(got) > 200
+
+
 def test_every_word_lies_in_a_paragraph():
     rng = random.Random(13)
     for n in range(10, 120):
