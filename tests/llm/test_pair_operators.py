@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tally.llm import fingerprints, neardup, neighbours, paragraphs, suffixes
+from tally.llm.common import FREE_SHUFFLES, stored
 from tally.llm.components import components
 
 WORDS = [f"w{i}" for i in range(3000)]
@@ -244,6 +245,59 @@ def test_clusters_of_overlapping_and_repeated_units(docs_of):
     assert got == {k: v[:2] for k, v in label.items() if v in several} and len(got) > 200
 
 
+def test_buckets_of_paragraph_keys_against_a_plain_version(docs_of):
+    rng = random.Random(41)
+    words = [f"w{i}" for i in range(400)]
+    sentence = lambda n: " ".join(rng.choices(words, k=n)) + "."
+    shared = [sentence(rng.randint(10, 30)) for _ in range(12)]
+    docs = [(i, " ".join(rng.choice([sentence(14), rng.choice(shared), rng.choice(shared).replace("w1", "v", 1)]) for _ in range(6))) for i in range(60)]
+    rows = paragraphs.sketched_paragraphs(docs_of(docs)).cache()
+    all_rows = rows.collect()
+    # a key takes 14 bytes of the exchange, whatever it belongs to
+    sent = paragraphs.dealt_keys(rows).agg(F.sum(F.octet_length("entries"))).first()[0]
+    assert sent == 14 * sum(len(r.bands) for r in all_rows) > 0
+    sets, of_text, again = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(bool)
+    for r in all_rows:
+        for band in r.bands:
+            sets[band].add(bytes(r.set_key))
+            of_text[band][r.text_key].add(bytes(r.set_key))
+            again[band] |= r.again
+    met = {frozenset(s) for band, s in sets.items() if len(s) > 1}
+    # buckets of which one text holds all sets need not be there
+    needed = {frozenset(s) for band, s in sets.items() if len(s) > 1 and (again[band] or s not in of_text[band].values())}
+    got = defaultdict(set)
+    for r in paragraphs.bucket_members(rows).collect():
+        got[bytes(r.band)].add((bytes(r.set_key), bytes(r.hub), r.members))
+    found = {frozenset(k for k, _, _ in b) for b in got.values()}
+    assert len(found) == len(got) > 10                                   # the same members once
+    assert all(len({(h, n) for _, h, n in b}) == 1 and len(b) == min(b)[2] and min(b)[1] in {k for k, _, _ in b} for b in got.values())
+    assert needed <= found <= met and needed
+    rows.unpersist()
+
+
+def test_sets_of_a_crowded_bucket_are_listed_in_rows_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(paragraphs, "LISTED", 3)
+    entries = np.zeros(9, paragraphs.KEY_ENTRY)
+    entries["key"] = [5 << 16 | i % 2 for i in range(8)] + [6 << 16]
+    entries["low"], entries["high"] = np.arange(9), 7
+    rows = paragraphs.buckets_of([entries[:4].tobytes(), entries[4:].tobytes()]).to_pylist()
+    assert [(r["part"], r["members"], len(r["sets"])) for r in rows] == [(0, 8, 3), (1, 8, 3), (2, 8, 2)]
+    assert len({r["name"] for r in rows}) == 1 and [int.from_bytes(m[:4], "little") for r in rows for m in r["sets"]] == list(range(8))
+    one_text = np.zeros(2, paragraphs.KEY_ENTRY)
+    one_text["key"], one_text["low"] = 5 << 16, [1, 2]
+    assert paragraphs.buckets_of([one_text.tobytes()]).num_rows == 0
+    one_text["key"] |= paragraphs.SOME_TEXT
+    assert paragraphs.buckets_of([one_text.tobytes()]).num_rows == 1
+
+
+def test_shuffle_files_are_deleted_when_a_table_is_stored(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before, setting = files(), spark.conf.get(FREE_SHUFFLES, None)
+    out = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() <= before and spark.conf.get(FREE_SHUFFLES, None) == setting
+    assert out.agg(F.sum("count")).first()[0] == 1000
+
+
 def test_every_word_lies_in_a_paragraph():
     rng = random.Random(13)
     for n in range(10, 120):
