@@ -109,6 +109,21 @@ def test_runs_pair_as_single_rows_do(spark, monkeypatch, bucket):
     assert told(P.pair_rows(frame([]), frame(t), ["v"], ["v"], [], None)) == plain_pairs([], t)
 
 
+def test_small_keys_pair_as_lists(spark):
+    """Keys with few rows: no window, no sort but by key, and the same pairs as the sweep finds, nulls, equal rows and other orders included."""
+    rng = random.Random(5)
+    side = lambda n, ks: [(rng.choice(ks), rng.choice([None, "", "x", "y"]), rng.choice([None, "1", "2"]), rng.choice(["7", "8", None])) for _ in range(n)]
+    frame = lambda rows: spark.createDataFrame(rows, "_key string, v string, w string, o string").repartition(3)
+    s, t = frame(side(150, ["", "a", "b", "c", "d"])), frame(side(120, ["a", "b", "c", "d", "e"]))
+    rows = lambda pairs: sorted((tuple(r[c] for c in sorted(pairs.columns) if c != "_copies") for r in RU.expanded(pairs).collect()), key=str)
+    for order in ([], ["w"], ["o"], ["o", "w"]):
+        pairs = [P.pair_rows(s, t, ["v", "w"], ["v"], order, None, small=small) for small in (True, False)]
+        assert rows(pairs[0]) == rows(pairs[1])
+        assert "Window" not in pairs[0]._jdf.queryExecution().executedPlan().toString()
+    r = reconcile(s.withColumnRenamed("_key", "k"), t.withColumnRenamed("_key", "k"), ReconSpec(mappings=[(c, c) for c in "kvw"], key_columns=["k"]))
+    assert "Window" not in r.paired._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rows_to_pair_carry_each_value_once(spark, monkeypatch):
     """Both sides share their value columns, an ordering column among them is not added, and only an end that the other side
     goes on from is an event of its own; context columns (source only) and an order that is not compared stay right."""
