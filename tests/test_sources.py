@@ -78,3 +78,17 @@ def test_csv_lines_stay_where_they_are_read(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == [f"a\n{i}" for i in range(2000)]
+
+
+def test_places_of_csv_rows_are_short_and_in_the_order_of_the_paths(spark, tmp_path):
+    """Rows carry the number of their file, not its path; the paths' order is that of the numbers, whatever is in the names."""
+    folder = tmp_path / ("a long name " * 8)
+    folder.mkdir()
+    names = ["b é.csv", "a%20.csv", "a 1.csv", "c+.csv", *[f"p{i}.csv" for i in range(12)]]
+    for name in names:
+        (folder / name).write_text("id,x\n" + "".join(f'"{name}",{i}\n' for i in range(3)))
+    rows = scan_csv_strings(spark, str(folder), row_order=True).orderBy("_row_order").collect()
+    lines = spark.read.text(str(folder)).where(F.col("value").endswith(",0")).select(F.split("value", '"')[1].alias("id"), "_metadata.file_path")
+    listed = [r.id for r in lines.orderBy("file_path").collect()]
+    assert [(r.id, r.x) for r in rows] == [(n, str(i)) for n in listed for i in range(3)]
+    assert max(len(r["_row_order"]) for r in rows) <= 42
